@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shotspark.functions.expr import round_doubles
 from shotspark.operators import deliverables as dv
-from shotspark.plans.oracle import r6, with_shots
+from shotspark.operators import shapes as sh
+from shotspark.plans.oracle import dbl, r6, rnd, with_shots
 from shotspark.sources import testdata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,16 +37,130 @@ def register(name: str, oracle: str | None = None):
 # --------------------------------------------------------------------------
 # A3 carry averages
 # --------------------------------------------------------------------------
-_CARRY_ORACLE = with_shots(f"""
+_CARRY_BODY = f"""
 SELECT user_id, club_type, count(*) AS shots,
   {r6('avg(carry_distance)')} AS avg_carry_yd,
   {r6('stddev_samp(carry_distance)')} AS std_carry_yd,
   {r6('quantile_cont(carry_distance, 0.1)')} AS p10_carry_yd,
   {r6('quantile_cont(carry_distance, 0.5)')} AS p50_carry_yd,
   {r6('quantile_cont(carry_distance, 0.9)')} AS p90_carry_yd
-FROM shots GROUP BY user_id, club_type""")
+FROM shots GROUP BY user_id, club_type"""
+_CARRY_ORACLE = with_shots(_CARRY_BODY)
 
 
 @register("carry_averages", _CARRY_ORACLE)
 def q_carry_averages(spark, sf_dir):
     return dv.carry_averages(testdata.shots(spark, sf_dir), by=BY)
+
+
+# --------------------------------------------------------------------------
+# A1 club summary, A2 face variance, A4 fused deliverables
+# --------------------------------------------------------------------------
+def _spec_sql(spec) -> str:
+    fn = {"mean": "avg", "std": "stddev_samp"}
+    return ",\n  ".join(f"{r6(f'{fn[stat]}({src})')} AS {out}" for out, src, stat in spec)
+
+
+_BIAS_SQL = ("CASE WHEN avg(face_to_path) < -0.5 THEN 'Draw bias' "
+             "WHEN avg(face_to_path) > 0.5 THEN 'Fade bias' ELSE 'Neutral' END")
+
+_CS_BODY = f"""
+SELECT user_id, club_type, count(*) AS shots,
+  {_spec_sql(dv.CLUB_SUMMARY_SPEC)}
+FROM shots GROUP BY user_id, club_type"""
+_CLUB_SUMMARY_ORACLE = with_shots(_CS_BODY)
+
+_FV_BODY = f"""
+SELECT user_id, club_type, count(*) AS shots,
+  {_spec_sql(dv.FACE_VARIANCE_SPEC)},
+  {_BIAS_SQL} AS shape_bias
+FROM shots GROUP BY user_id, club_type"""
+_FACE_VARIANCE_ORACLE = with_shots(_FV_BODY)
+
+_FUSED_ORACLE = with_shots(f"""
+SELECT cs.*, fv.avg_club_path_deg, fv.avg_club_face_deg, fv.avg_face_to_path_deg,
+  fv.std_face_to_path_deg, fv.shape_bias, ca.p10_carry_yd, ca.p50_carry_yd, ca.p90_carry_yd
+FROM ({_CS_BODY}) cs
+JOIN ({_FV_BODY}) fv
+  ON cs.user_id = fv.user_id AND cs.club_type IS NOT DISTINCT FROM fv.club_type
+JOIN ({_CARRY_BODY}) ca
+  ON cs.user_id = ca.user_id AND cs.club_type IS NOT DISTINCT FROM ca.club_type""")
+
+
+@register("club_summary", _CLUB_SUMMARY_ORACLE)
+def q_club_summary(spark, sf_dir):
+    return dv.club_summary(testdata.shots(spark, sf_dir), by=BY)
+
+
+@register("face_variance", _FACE_VARIANCE_ORACLE)
+def q_face_variance(spark, sf_dir):
+    return dv.face_variance(testdata.shots(spark, sf_dir), by=BY)
+
+
+@register("all_deliverables_fused", _FUSED_ORACLE)
+def q_all_deliverables_fused(spark, sf_dir):
+    return dv.fused_deliverables(testdata.shots(spark, sf_dir), by=BY)
+
+
+# --------------------------------------------------------------------------
+# F8/F15 decomposition, F16/F17 labels, A5/A6 shape summary
+# --------------------------------------------------------------------------
+_SCF_SQL = """
+sc AS (
+  SELECT *, carry_distance * tan(radians(launch_direction)) AS start_yards,
+    carry_deviation_distance AS finish_x, carry_distance AS finish_y,
+    carry_deviation_distance - carry_distance * tan(radians(launch_direction)) AS curve_yards
+  FROM shots
+  WHERE club_type IS NOT NULL AND carry_distance IS NOT NULL
+    AND carry_deviation_distance IS NOT NULL AND launch_direction IS NOT NULL)"""
+
+_CURVE_DIR_SQL = ("(CASE WHEN curve_yards < -2.0 THEN 'Draw' WHEN curve_yards > 2.0 THEN 'Fade' "
+                  "ELSE 'Straight' END)")
+_SHAPE_SQL = f"""CASE
+    WHEN start_yards IS NULL OR curve_yards IS NULL OR isnan(start_yards) OR isnan(curve_yards) THEN 'Unknown'
+    WHEN abs(start_yards) <= 2.0 AND abs(curve_yards) <= 2.0 THEN 'Straight'
+    WHEN start_yards < -2.0 THEN 'Pull-' || {_CURVE_DIR_SQL}
+    WHEN start_yards > 2.0 THEN 'Push-' || {_CURVE_DIR_SQL}
+    ELSE 'Center-' || {_CURVE_DIR_SQL} END"""
+_LAB_SQL = f"lab AS (SELECT *, {_SHAPE_SQL} AS shape FROM sc)"
+
+
+def _all_cols_sql(extra: list[str]) -> str:
+    from shotspark.schema import METRICS
+    cols = ["user_id", "session_id", "club_type"] + [r6(m) + f" AS {m}" for m in METRICS]
+    return ", ".join(cols + [r6(e) + f" AS {e}" for e in extra])
+
+
+_DERIVED = ["start_yards", "finish_x", "finish_y", "curve_yards"]
+
+
+@register("start_curve_finish",
+          with_shots(f"SELECT {_all_cols_sql(_DERIVED)} FROM sc", _SCF_SQL))
+def q_start_curve_finish(spark, sf_dir):
+    return sh.start_curve_finish(testdata.shots(spark, sf_dir))
+
+
+@register("shape_labels",
+          with_shots(f"SELECT {_all_cols_sql(_DERIVED)}, shape FROM lab", _SCF_SQL, _LAB_SQL))
+def q_shape_labels(spark, sf_dir):
+    return sh.shape_labels(sh.start_curve_finish(testdata.shots(spark, sf_dir)))
+
+
+_SHAPE_SUMMARY_ORACLE = with_shots(f"""
+SELECT a.user_id, a.club_type, a.shots, m.shape AS most_common_shape,
+  {r6(rnd('a.s', 2))} AS avg_start_yards, {r6(rnd('a.c', 2))} AS avg_curve_yards,
+  {r6(rnd('a.f', 2))} AS avg_finish_yards, {r6(rnd('a.fs', 2))} AS finish_std_yards
+FROM agg a JOIN md m ON a.user_id = m.user_id AND a.club_type = m.club_type""",
+    _SCF_SQL, _LAB_SQL,
+    """agg AS (SELECT user_id, club_type, count(*) AS shots, avg(start_yards) AS s,
+       avg(curve_yards) AS c, avg(finish_x) AS f, stddev_samp(finish_x) AS fs
+     FROM lab GROUP BY user_id, club_type)""",
+    """md AS (SELECT user_id, club_type, shape FROM (
+       SELECT user_id, club_type, shape, row_number() OVER (
+         PARTITION BY user_id, club_type ORDER BY n DESC, shape) AS rn
+       FROM (SELECT user_id, club_type, shape, count(*) AS n FROM lab GROUP BY ALL)) WHERE rn = 1)""")
+
+
+@register("shape_summary", _SHAPE_SUMMARY_ORACLE)
+def q_shape_summary(spark, sf_dir):
+    return sh.shape_summary(sh.start_curve_finish(testdata.shots(spark, sf_dir)), by=BY)
