@@ -8,14 +8,23 @@ both sides for comparison (sums of doubles depend on evaluation order).
 
 from __future__ import annotations
 
+import math
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shotspark.functions.expr import round_doubles
 from shotspark.operators import deliverables as dv
+from shotspark.operators import clean as cl
+from shotspark.operators import dispersion as ds
+from shotspark.operators import gapping as gp
+from shotspark.operators import reshape as rs
 from shotspark.operators import shapes as sh
+from shotspark.operators import wind as wd
 from shotspark.plans.oracle import dbl, r6, rnd, with_shots
+from shotspark.schema import (BASE_CARRY, CLUBS, ELLIPSE_POINTS, GAP_EDGES, METRICS,
+                              PERFORMANCE_METRICS, SCRIPT_HEADWIND_PENALTY, SCRIPT_MEAN_COLUMNS,
+                              SCRIPT_TAILWIND_SUBTRACT, SCRIPT_WIND_MULTIPLIERS, WIND_FACTORS)
 from shotspark.sources import testdata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +173,258 @@ FROM agg a JOIN md m ON a.user_id = m.user_id AND a.club_type = m.club_type""",
 @register("shape_summary", _SHAPE_SUMMARY_ORACLE)
 def q_shape_summary(spark, sf_dir):
     return sh.shape_summary(sh.start_curve_finish(testdata.shots(spark, sf_dir)), by=BY)
+
+
+# --------------------------------------------------------------------------
+# W1 API wind table, A7 extremes, R1 wind long form
+# --------------------------------------------------------------------------
+def _q(name: str) -> str:
+    return '"' + name + '"'
+
+
+_W1_CTE = ("w1 AS (SELECT user_id, club_type, b AS base, "
+           + ", ".join(f"{rnd(f'b * {dbl(1 + f)}', 1)} AS {_q(n)}" for n, f in WIND_FACTORS)
+           + f" FROM (SELECT user_id, club_type, {rnd('avg(carry_distance)', 1)} AS b "
+             "FROM shots GROUP BY user_id, club_type))")
+
+_W1_ORACLE = with_shots(
+    f"SELECT user_id, club_type, {r6('base')} AS {_q(BASE_CARRY)}, "
+    + ", ".join(f"{r6(_q(n))} AS {_q(n)}" for n, _ in WIND_FACTORS) + " FROM w1", _W1_CTE)
+
+
+@register("avg_carry_wind", _W1_ORACLE)
+def q_avg_carry_wind(spark, sf_dir):
+    return wd.avg_carry_wind(testdata.shots(spark, sf_dir), by=BY)
+
+
+_EXTREMES_ORACLE = with_shots(f"""
+SELECT u.user_id, {r6('u.hi')} AS longest_value, l.club_type AS longest_club,
+  {r6('u.lo')} AS shortest_value, s.club_type AS shortest_club
+FROM (SELECT user_id, max(base) AS hi, min(base) AS lo FROM w1 GROUP BY user_id) u
+LEFT JOIN (SELECT user_id, club_type FROM (SELECT user_id, club_type, row_number() OVER (
+    PARTITION BY user_id ORDER BY base DESC, club_type ASC NULLS LAST) AS rn
+  FROM w1 WHERE base IS NOT NULL) WHERE rn = 1) l ON l.user_id = u.user_id
+LEFT JOIN (SELECT user_id, club_type FROM (SELECT user_id, club_type, row_number() OVER (
+    PARTITION BY user_id ORDER BY base ASC, club_type ASC NULLS LAST) AS rn
+  FROM w1 WHERE base IS NOT NULL) WHERE rn = 1) s ON s.user_id = u.user_id""", _W1_CTE)
+
+
+@register("carry_extremes", _EXTREMES_ORACLE)
+def q_carry_extremes(spark, sf_dir):
+    return dv.carry_extremes(wd.avg_carry_wind(testdata.shots(spark, sf_dir), by=BY),
+                             by=BY, value=BASE_CARRY)
+
+
+_WIND_LONG_ORACLE = with_shots("\nUNION ALL\n".join(
+    [f"SELECT user_id, club_type, '{BASE_CARRY}' AS wind_condition, {r6('base')} AS value FROM w1"]
+    + [f"SELECT user_id, club_type, '{n}' AS wind_condition, {r6(_q(n))} AS value FROM w1"
+       for n, _ in WIND_FACTORS]), _W1_CTE)
+
+
+@register("wind_long", _WIND_LONG_ORACLE)
+def q_wind_long(spark, sf_dir):
+    return rs.wind_long(wd.avg_carry_wind(testdata.shots(spark, sf_dir), by=BY), by=BY)
+
+
+# --------------------------------------------------------------------------
+# A12 performance means, R2 long form, R3/O7 ranking
+# --------------------------------------------------------------------------
+_PERF_CTE = ("perf AS (" + "\nUNION ALL\n".join(
+    f"SELECT user_id, club_type, '{label}' AS metric, avg({src}) AS value FROM shots "
+    "WHERE club_type IS NOT NULL GROUP BY user_id, club_type"
+    for src, label in PERFORMANCE_METRICS) + ")")
+
+
+@register("performance_long", with_shots(
+    f"SELECT user_id, club_type, metric, {r6('value')} AS value FROM perf", _PERF_CTE))
+def q_performance_long(spark, sf_dir):
+    return rs.metric_long(rs.performance_means(testdata.shots(spark, sf_dir), by=BY), by=BY)
+
+
+@register("performance_ranked", with_shots(
+    f"SELECT user_id, club_type, metric, {r6('value')} AS value, rank() OVER ("
+    "PARTITION BY user_id, metric ORDER BY value DESC NULLS LAST) AS rank FROM perf", _PERF_CTE))
+def q_performance_ranked(spark, sf_dir):
+    return rs.performance_chart_data(testdata.shots(spark, sf_dir), by=BY, metric=None)
+
+
+# --------------------------------------------------------------------------
+# A8-A11, R4-R7 dispersion
+# --------------------------------------------------------------------------
+_LO, _HI = ds.corridor_bounds()
+
+
+@register("finish_corridor", with_shots(f"""
+SELECT user_id, {r6(f'quantile_cont(finish_x, {_LO!r})')} AS corridor_lower,
+  {r6(f'quantile_cont(finish_x, {_HI!r})')} AS corridor_upper,
+  {r6(f'quantile_cont(finish_x, {_HI!r}) - quantile_cont(finish_x, {_LO!r})')} AS corridor_width,
+  {r6('avg(finish_x)')} AS mean_x
+FROM sc GROUP BY user_id""", _SCF_SQL))
+def q_finish_corridor(spark, sf_dir):
+    return ds.corridor(sh.start_curve_finish(testdata.shots(spark, sf_dir)), "finish_x", by=BY)
+
+
+_ELL_CTE = """ell AS (
+  SELECT *, 4.0 * sqrt(greatest((var_x + var_y) / 2 + sqrt(pow((var_x - var_y) / 2, 2) + pow(cov_xy, 2)), 0.0)) AS width,
+    4.0 * sqrt(greatest((var_x + var_y) / 2 - sqrt(pow((var_x - var_y) / 2, 2) + pow(cov_xy, 2)), 0.0)) AS height,
+    0.5 * atan2(2 * cov_xy, var_x - var_y) AS theta
+  FROM (SELECT user_id, n, sx / n AS mean_x, sy / n AS mean_y, (sxx - sx * sx / n) / (n - 1) AS var_x,
+      (syy - sy * sy / n) / (n - 1) AS var_y, (sxy - sx * sy / n) / (n - 1) AS cov_xy
+    FROM (SELECT user_id, CAST(count(*) AS DOUBLE) AS n, sum(finish_x) AS sx, sum(finish_y) AS sy,
+        sum(finish_x * finish_x) AS sxx, sum(finish_y * finish_y) AS syy, sum(finish_x * finish_y) AS sxy
+      FROM sc WHERE isfinite(finish_x) AND isfinite(finish_y) GROUP BY user_id HAVING count(*) >= 3)))"""
+
+
+@register("finish_ellipse", with_shots(
+    "SELECT user_id, CAST(n AS BIGINT) AS n, " + ", ".join(f"{r6(c)} AS {c}" for c in
+                                       ["mean_x", "mean_y", "var_x", "var_y", "cov_xy", "width", "height", "theta"])
+    + " FROM ell", _SCF_SQL, _ELL_CTE))
+def q_finish_ellipse(spark, sf_dir):
+    return ds.ellipse(sh.start_curve_finish(testdata.shots(spark, sf_dir)), by=BY)
+
+
+_STEP = 2 * math.pi / (ELLIPSE_POINTS - 1)
+_T_SQL = f"(CASE WHEN r.i = {ELLIPSE_POINTS - 1} THEN {dbl(2 * math.pi)} ELSE CAST(r.i AS DOUBLE) * {dbl(_STEP)} END)"
+
+
+@register("finish_ellipse_path", with_shots(f"""
+SELECT user_id, i,
+  {r6('mean_x + (width / 2) * cos(t) * cos(theta) - (height / 2) * sin(t) * sin(theta)')} AS x,
+  {r6('mean_y + (width / 2) * cos(t) * sin(theta) + (height / 2) * sin(t) * cos(theta)')} AS y,
+  {r6('t')} AS t
+FROM (SELECT e.*, r.i, {_T_SQL} AS t FROM ell e CROSS JOIN range({ELLIPSE_POINTS}) r(i))""",
+    _SCF_SQL, _ELL_CTE))
+def q_finish_ellipse_path(spark, sf_dir):
+    ell = ds.ellipse(sh.start_curve_finish(testdata.shots(spark, sf_dir)), by=BY)
+    return ds.ellipse_path(ell, by=BY)
+
+
+@register("dispersion_points", with_shots(
+    f"SELECT user_id, club_type, {r6('finish_x')} AS finish_x, {r6('finish_y')} AS finish_y FROM sc", _SCF_SQL))
+def q_dispersion_points(spark, sf_dir):
+    return ds.dispersion_points(sh.start_curve_finish(testdata.shots(spark, sf_dir)), by=BY)
+
+
+@register("start_vs_curve_points", with_shots(
+    f"SELECT user_id, club_type, {r6('start_yards')} AS start_yards, {r6('curve_yards')} AS curve_yards FROM sc",
+    _SCF_SQL))
+def q_start_vs_curve_points(spark, sf_dir):
+    return ds.start_vs_curve_points(sh.start_curve_finish(testdata.shots(spark, sf_dir)), by=BY)
+
+
+@register("club_dispersion", with_shots(f"""
+SELECT s.user_id, s.club_type, {r6('s.carry_deviation_distance')} AS carry_deviation_distance,
+  {r6('s.carry_distance')} AS carry_distance, {r6('m.mc')} AS mean_carry
+FROM shots s JOIN (SELECT user_id, club_type, avg(carry_distance) AS mc FROM shots
+  WHERE club_type IS NOT NULL GROUP BY user_id, club_type) m
+  ON s.user_id = m.user_id AND s.club_type = m.club_type"""))
+def q_club_dispersion(spark, sf_dir):
+    return ds.club_dispersion(testdata.shots(spark, sf_dir), by=BY)
+
+
+# --------------------------------------------------------------------------
+# Notebook script path: F4-F7 cleaning, A13-A16, W2-W4, J1, O6
+# --------------------------------------------------------------------------
+_INT_METRICS = [m for m in METRICS if m != "smash_factor"]
+_CLEAN_CTE = ("clean AS (SELECT user_id, session_id, club_type, "
+              + ", ".join(f"CAST(trunc(coalesce({m}, 0)) AS BIGINT) AS {m}" for m in _INT_METRICS)
+              + f", {rnd('smash_factor', 2)} AS smash_factor FROM shots "
+              "WHERE club_type IS NOT NULL AND smash_factor IS NOT NULL)")
+
+
+def _script_shots(spark, sf_dir):
+    return cl.script_clean(testdata.shots(spark, sf_dir))
+
+
+@register("script_clean", with_shots(
+    "SELECT user_id, session_id, club_type, " + ", ".join(_INT_METRICS)
+    + f", {r6('smash_factor')} AS smash_factor FROM clean", _CLEAN_CTE))
+def q_script_clean(spark, sf_dir):
+    return _script_shots(spark, sf_dir)
+
+
+@register("script_club_means", with_shots(
+    "SELECT user_id, club_type, " + ", ".join(f"{r6(f'avg({c})')} AS {c}" for c in SCRIPT_MEAN_COLUMNS)
+    + f", {r6(rnd('avg(carry_distance)', 2))} AS avg_carry_yds FROM clean GROUP BY user_id, club_type",
+    _CLEAN_CTE))
+def q_script_club_means(spark, sf_dir):
+    return gp.club_means(_script_shots(spark, sf_dir), by=BY)
+
+
+@register("script_wind_pct", with_shots(
+    f"SELECT user_id, club_type, {r6(rnd('avg(carry_distance)', 1))} AS {_q(BASE_CARRY)}, "
+    + ", ".join(f"{r6(rnd(f'avg(carry_distance) * {dbl(k)}', 1))} AS {_q(n)}" for n, k in SCRIPT_WIND_MULTIPLIERS)
+    + " FROM clean GROUP BY user_id, club_type", _CLEAN_CTE))
+def q_script_wind_pct(spark, sf_dir):
+    return wd.script_wind_pct(_script_shots(spark, sf_dir), by=BY)
+
+
+@register("script_headwind_yards", with_shots(
+    "SELECT user_id, club_type, "
+    + ", ".join(f"{r6(f'avg(carry_distance) * {dbl(k)}')} AS {_q(n)}" for n, k in SCRIPT_HEADWIND_PENALTY)
+    + " FROM clean GROUP BY user_id, club_type", _CLEAN_CTE))
+def q_script_headwind_yards(spark, sf_dir):
+    return wd.script_headwind_yards(_script_shots(spark, sf_dir), by=BY)
+
+
+@register("script_tailwind_yards", with_shots(
+    f"SELECT user_id, club_type, {r6(f'avg(carry_distance) - {dbl(SCRIPT_TAILWIND_SUBTRACT)}')} AS {_q('0 to 5mph')}"
+    " FROM clean GROUP BY user_id, club_type", _CLEAN_CTE))
+def q_script_tailwind_yards(spark, sf_dir):
+    return wd.script_tailwind_yards(_script_shots(spark, sf_dir), by=BY)
+
+
+@register("ideal_gap", with_shots(
+    f"SELECT user_id, {r6(rnd(f'avg(CASE WHEN club_type = {chr(39)}7i{chr(39)} THEN club_speed END) / 10.0', 2))}"
+    " AS ideal_gap_yds FROM clean GROUP BY user_id", _CLEAN_CTE))
+def q_ideal_gap(spark, sf_dir):
+    return gp.ideal_gap(_script_shots(spark, sf_dir), by=BY)
+
+
+_CODES_SQL = ", ".join(f"'{c}'" for _, c, _ in CLUBS)
+_EDGES_SQL = ", ".join(f"('{g}', '{a}', '{b}')" for g, a, b in GAP_EDGES)
+
+
+@register("yardage_gaps", with_shots(f"""
+SELECT u.user_id, e.gap, e.shorter, e.longer, {r6('l.mc - s.mc')} AS gap_yds,
+  {r6(rnd('l.mc - s.mc', 0))} AS gap_yds_display
+FROM (SELECT DISTINCT user_id FROM clean WHERE club_type IN ({_CODES_SQL})) u
+CROSS JOIN (VALUES {_EDGES_SQL}) e(gap, shorter, longer)
+LEFT JOIN m s ON s.user_id = u.user_id AND s.club_type = e.shorter
+LEFT JOIN m l ON l.user_id = u.user_id AND l.club_type = e.longer""", _CLEAN_CTE,
+    "m AS (SELECT user_id, club_type, avg(carry_distance) AS mc FROM clean GROUP BY user_id, club_type)"))
+def q_yardage_gaps(spark, sf_dir):
+    return gp.yardage_gaps(_script_shots(spark, sf_dir), by=BY)
+
+
+_POS_SQL = "CASE club_type " + " ".join(f"WHEN '{c}' THEN {p}" for p, c, _ in CLUBS) + " END"
+
+
+@register("bag_order_table", with_shots(
+    f"SELECT user_id, club_type, CAST({_POS_SQL} AS BIGINT) AS pos, "
+    f"{r6(rnd(rnd('avg(carry_distance)', 1), 0))} AS {_q(BASE_CARRY)}, "
+    + ", ".join(f"{r6(rnd(rnd(f'avg(carry_distance) * {dbl(k)}', 1), 0))} AS {_q(n)}"
+                for n, k in SCRIPT_WIND_MULTIPLIERS)
+    + " FROM clean GROUP BY user_id, club_type", _CLEAN_CTE))
+def q_bag_order_table(spark, sf_dir):
+    return gp.bag_order(wd.script_wind_pct(_script_shots(spark, sf_dir), by=BY), by=BY)
+
+
+# --------------------------------------------------------------------------
+# F20 distinct clubs, F21 profile
+# --------------------------------------------------------------------------
+@register("clubs_distinct", with_shots(
+    "SELECT DISTINCT user_id, club_type FROM shots WHERE club_type IS NOT NULL"))
+def q_clubs_distinct(spark, sf_dir):
+    return cl.clubs_distinct(testdata.shots(spark, sf_dir), by=BY)
+
+
+_PROFILE_TYPES = [("user_id", "bigint"), ("session_id", "bigint"), ("club_type", "string")] + \
+    [(m, "double") for m in METRICS]
+
+
+@register("shots_profile", with_shots("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, count({c}) AS non_null, '{t}' AS dtype FROM shots"
+    for c, t in _PROFILE_TYPES)))
+def q_shots_profile(spark, sf_dir):
+    return cl.profile(testdata.shots(spark, sf_dir))
