@@ -12,6 +12,7 @@ import math
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shotspark.functions.expr import round_doubles
 from shotspark.operators import deliverables as dv
@@ -21,10 +22,13 @@ from shotspark.operators import gapping as gp
 from shotspark.operators import reshape as rs
 from shotspark.operators import shapes as sh
 from shotspark.operators import wind as wd
-from shotspark.plans.oracle import dbl, r6, rnd, with_shots
-from shotspark.schema import (BASE_CARRY, CLUBS, ELLIPSE_POINTS, GAP_EDGES, METRICS,
+from shotspark.plans.ingest import ingest_frame
+from shotspark.plans.oracle import SESSIONS_CTE, dbl, r6, rnd, with_shots
+from shotspark.schema import (BASE_CARRY, CLUBS, ELLIPSE_POINTS, GAP_EDGES, METRIC_TITLES, METRICS,
                               PERFORMANCE_METRICS, SCRIPT_HEADWIND_PENALTY, SCRIPT_MEAN_COLUMNS,
                               SCRIPT_TAILWIND_SUBTRACT, SCRIPT_WIND_MULTIPLIERS, WIND_FACTORS)
+from shotspark.sources import csv_sessions as csvs
+from shotspark.sources import tables as tb
 from shotspark.sources import testdata
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -428,3 +432,103 @@ _PROFILE_TYPES = [("user_id", "bigint"), ("session_id", "bigint"), ("club_type",
     for c, t in _PROFILE_TYPES)))
 def q_shots_profile(spark, sf_dir):
     return cl.profile(testdata.shots(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# Tables: K1-K8, K12-K13, S8-S11, J2 (tables built from the views in the
+# session's checkpoint folder, one fresh root per call)
+# --------------------------------------------------------------------------
+def _scratch(spark, name: str) -> str:
+    import uuid
+    from shotspark.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/shotspark-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def build_tables(spark, sf_dir, name: str) -> tb.Tables:
+    """Load the shots and sessions views into a fresh set of tables."""
+    tables = tb.Tables(spark, _scratch(spark, name))
+    sessions = testdata.sessions(spark, sf_dir).select(
+        F.col("id").cast("string"), F.col("user_id").cast("string"), "filename", "storage_path",
+        F.col("uploaded_at").cast("timestamp"))
+    ingest_frame(tables, tb.shots_from_view(testdata.shots(spark, sf_dir)), sessions)
+    return tables
+
+
+_CACHE_COLS = ["user_id", "club_type", "shots", "avg_carry_yd", "std_carry_yd", "avg_ball_speed",
+               "avg_smash", "avg_club_speed", "avg_launch_deg", "avg_backspin", "shape_bias"]
+
+
+@register("cached_summary", with_shots(f"""
+SELECT CAST(user_id AS VARCHAR) AS user_id, club_type, count(*) AS shots,
+  {r6('avg(carry_distance)')} AS avg_carry_yd, {r6('stddev_samp(carry_distance)')} AS std_carry_yd,
+  {r6('avg(ball_speed)')} AS avg_ball_speed, {r6('avg(smash_factor)')} AS avg_smash,
+  {r6('avg(club_speed)')} AS avg_club_speed, {r6('avg(launch_angle)')} AS avg_launch_deg,
+  {r6('avg(backspin)')} AS avg_backspin, CAST(NULL AS VARCHAR) AS shape_bias
+FROM shots GROUP BY user_id, club_type"""))
+def q_cached_summary(spark, sf_dir):
+    tables = build_tables(spark, sf_dir, "cache")
+    tb.generate(tables)
+    return tb.cached_summary(tables).select(*_CACHE_COLS)
+
+
+_KEYED_SHOT_COLS = ("CAST(user_id AS VARCHAR) AS user_id, CAST(session_id AS VARCHAR) AS session_id, club_type, "
+                    + ", ".join(f"{r6(m)} AS {m}" for m in METRICS))
+
+
+def _live_shots(tables):
+    return tables.shots().select("user_id", "session_id", "club_type", *METRICS)
+
+
+@register("after_delete_session", with_shots(
+    f"SELECT {_KEYED_SHOT_COLS} FROM shots WHERE session_id NOT IN "
+    "(SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"))
+def q_after_delete_session(spark, sf_dir):
+    """Delete every urgent-priority session (a data-derived request set),
+    compact, read back: the compacted table equals the anti-join."""
+    tables = build_tables(spark, sf_dir, "delete")
+    dead = (testdata.table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT")
+            .select(F.col("o_orderkey").cast("string").alias("session_id")))
+    tables.delete_sessions(dead)
+    tables.compact()
+    return _live_shots(tables)
+
+
+@register("after_erase_user", with_shots(
+    f"SELECT {_KEYED_SHOT_COLS} FROM shots WHERE user_id NOT IN "
+    "(SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"))
+def q_after_erase_user(spark, sf_dir):
+    """Erase every building-segment customer (tombstones, read-time anti-join)."""
+    tables = build_tables(spark, sf_dir, "erase")
+    dead = (testdata.table(spark, sf_dir, "customer").where(F.col("c_mktsegment") == "BUILDING")
+            .select(F.col("c_custkey").cast("string").alias("user_id")))
+    tables.erase_users(dead)
+    return _live_shots(tables)
+
+
+@register("sessions_list", "WITH " + SESSIONS_CTE + """
+SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(id AS VARCHAR) AS id, filename, uploaded_at FROM sessions""")
+def q_sessions_list(spark, sf_dir):
+    tables = build_tables(spark, sf_dir, "sessions")
+    s = tb.list_sessions(tables)
+    return s.withColumn("uploaded_at", F.col("uploaded_at").cast("timestamp_ntz"))
+
+
+@register("shots_export", with_shots(
+    "SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(session_id AS VARCHAR) AS session_id, "
+    "club_type AS \"Club Type\", "
+    + ", ".join(f"{r6(s)} AS \"{t}\"" for t, s in METRIC_TITLES) + " FROM shots"))
+def q_shots_export(spark, sf_dir):
+    tables = build_tables(spark, sf_dir, "export")
+    return cl.to_title_case(tb.fetch_shots(tables).select("user_id", "session_id", "club_type", *METRICS))
+
+
+@register("ingest_csv", with_shots(
+    "SELECT user_id, session_id, club_type, " + ", ".join(f"{r6(m)} AS {m}" for m in METRICS) + " FROM shots"))
+def q_ingest_csv(spark, sf_dir):
+    """Shots written as raw session CSVs (two header layouts, units rows,
+    BOM, NA markers), read back through the CSV ingest path."""
+    dirs = testdata.write_session_csvs(testdata.shots(spark, sf_dir), _scratch(spark, "csv"))
+    typed = csvs.read_sessions(spark, dirs, keep=["User Id", "Session Id"])
+    return typed.select(F.col("User Id").cast("bigint").alias("user_id"),
+                        F.col("Session Id").cast("bigint").alias("session_id"),
+                        "club_type", *METRICS)

@@ -86,3 +86,39 @@ def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(*SESSION_SELECT)
+
+
+def write_session_csvs(shots_df: DataFrame, out_dir: str, files: int = 16) -> list[str]:
+    """Export shots as raw launch-monitor CSVs (Title Case header, a units
+    row with an empty Player, one row per shot) in two header layouts:
+
+    A: Player, User Id, Session Id, Club Type, metrics in file order.
+    B: BOM + padded headers, reversed metric order, an extra Note column,
+       NULL written as ``NA``.
+    Users are split between the layouts by key parity; returns the two dirs.
+    """
+    from pyspark.sql import functions as F
+    from shotspark.schema import METRIC_TITLES
+
+    def layout(df, cols, bom, null_value, path):
+        units = (df.select("_file").distinct()
+                   .select("_file", *[F.lit(None).cast("string").alias(c) for c, _ in cols[:3]],
+                           F.lit("").alias(cols[3][0]),
+                           *[F.lit("[u]").alias(c) for c, _ in cols[4:]], F.lit(0).alias("_data")))
+        data = df.select("_file", *[F.col(src).cast("string").alias(c) for c, src in cols], F.lit(1).alias("_data"))
+        out = units.unionByName(data).repartition(files, "_file").sortWithinPartitions("_file", "_data")
+        names = [c for c, _ in cols]
+        if bom:
+            names = ["\ufeff" + names[0]] + [f" {n} " if n == "Club Type" else n for n in names[1:]]
+        (out.drop("_file", "_data").toDF(*names)
+            .write.mode("overwrite").option("header", True).option("nullValue", null_value).csv(path))
+        return path
+
+    base = shots_df.withColumn("_file", F.pmod(F.xxhash64("session_id"), F.lit(files)))
+    keys = [("Player", "user_id"), ("User Id", "user_id"), ("Session Id", "session_id"), ("Club Type", "club_type")]
+    metrics = [(t, s) for t, s in METRIC_TITLES]
+    a = layout(base.where(F.pmod(F.col("user_id"), F.lit(2)) == 0), keys + metrics, False, "",
+               f"{out_dir}/layout_a")
+    b_df = base.where(F.pmod(F.col("user_id"), F.lit(2)) == 1).withColumn("_note", F.lit("x"))
+    b = layout(b_df, keys + metrics[::-1] + [("Note", "_note")], True, "NA", f"{out_dir}/layout_b")
+    return [a, b]
