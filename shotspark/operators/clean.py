@@ -90,7 +90,13 @@ def script_clean(df: DataFrame, strict: bool = False) -> DataFrame:
             out.append(np_round(c, 2).alias(f.name))
         else:
             out.append(c)
-    return df.select(*out).na.drop("any")
+    out = df.select(*out)
+    # "Drop rows with any NULL": the filled integer columns cannot be NULL
+    # (coalesce with 0), so only the other columns are tested.  This keeps
+    # column pruning intact: a query reading five columns does not evaluate
+    # the other eighteen inside the filter.
+    maybe_null = [c for c in out.columns if c not in ints]
+    return out.na.drop("any", subset=maybe_null) if maybe_null else out
 
 
 def clubs_distinct(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
