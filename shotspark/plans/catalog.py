@@ -532,3 +532,20 @@ def q_ingest_csv(spark, sf_dir):
     return typed.select(F.col("User Id").cast("bigint").alias("user_id"),
                         F.col("Session Id").cast("bigint").alias("session_id"),
                         "club_type", *METRICS)
+
+
+# --------------------------------------------------------------------------
+# F11 drop all-NULL columns (data-dependent schema, opt-in)
+# --------------------------------------------------------------------------
+_CS_NO_SPIN = [s for s in dv.CLUB_SUMMARY_SPEC if s[1] != "spin_axis"]
+
+
+@register("drop_all_null", with_shots(f"""
+SELECT user_id, club_type, count(*) AS shots,
+  {_spec_sql(_CS_NO_SPIN)}
+FROM shots GROUP BY user_id, club_type"""))
+def q_drop_all_null(spark, sf_dir):
+    """Club summary over shots whose spin axis was never recorded: the
+    all-NULL ``avg_spin_axis_deg`` column is dropped from the result."""
+    shots = testdata.shots(spark, sf_dir).withColumn("spin_axis", F.lit(None).cast("double"))
+    return dv.drop_all_null(dv.club_summary(shots, by=BY))
