@@ -118,3 +118,21 @@ def profile(df: DataFrame) -> DataFrame:
 def head(df: DataFrame, n: int = 5) -> DataFrame:
     """First ``n`` rows (a preview; the limit is the feature)."""
     return df.limit(n)
+
+
+def for_club(df: DataFrame, club: str) -> DataFrame:
+    """one club's rows, all columns."""
+    return df.where(F.col("club_type") == club)
+
+
+def sort_clubs(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Group keys ascending, NULL club last (the order grouped results come out in)."""
+    return df.orderBy(*by, F.asc_nulls_last("club_type"))
+
+
+def ensure_not_empty(df: DataFrame, message: str) -> DataFrame:
+    """the empty-input guard, for the edge (one tiny action); library
+    functions themselves return empty frames."""
+    if df.isEmpty():
+        raise LookupError(message)
+    return df

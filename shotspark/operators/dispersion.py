@@ -8,7 +8,7 @@ built-in aggregates and column math (no per-group Python).
 from __future__ import annotations
 
 import math
-from typing import Sequence
+from typing import NamedTuple, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,3 +130,19 @@ def club_dispersion(df: DataFrame, club: str | None = None, by: Sequence[str] =
     pts = pts.select(*by, CLUB, "carry_deviation_distance", "carry_distance")
     means = pts.groupBy(*by, CLUB).agg(F.avg("carry_distance").alias("mean_carry"))
     return pts.join(means, [*by, CLUB], "inner")
+
+
+class FinishDispersion(NamedTuple):
+    points: DataFrame
+    corridor: DataFrame
+    ellipse: DataFrame
+    ellipse_path: DataFrame
+
+
+def finish_dispersion(sc: DataFrame, by: Sequence[str] = (), level: float = CORRIDOR_LEVEL,
+                      n_sigma: float = ELLIPSE_SIGMA) -> FinishDispersion:
+    """The four layers of the finish-dispersion chart (points, 95 %
+    corridor with mean line, 2-sigma ellipse and its outline)."""
+    ell = ellipse(sc, by=by, n_sigma=n_sigma)
+    return FinishDispersion(dispersion_points(sc, by), corridor(sc, "finish_x", level, by), ell,
+                            ellipse_path(ell, by))

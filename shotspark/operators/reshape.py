@@ -58,3 +58,12 @@ def performance_chart_data(df: DataFrame, by: Sequence[str] = (),
     """Means -> long -> ranked; ``metric=None`` keeps all seven metrics."""
     ranked = rank_metrics(metric_long(performance_means(df, by), by), by)
     return ranked if metric is None else select_metric(ranked, metric)
+
+
+# FIXED VALUES: y-axis domain of the carry comparison chart.
+CARRY_DOMAIN_MAX = 320
+
+
+def carry_comparison_data(wind_table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The long wind table behind the grouped carry bar chart."""
+    return wind_long(wind_table, by)

@@ -61,3 +61,9 @@ def shape_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     if "shape" not in df.columns:
         df = shape_labels(df)
     return df.groupBy(*by, CLUB, "shape").agg(F.count(F.lit(1)).alias("shots"))
+
+
+def mode_of(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+    """A5: most common non-NULL value per group, smallest on ties; NULL when
+    a group has no value."""
+    return df.groupBy(*by).agg(F.mode(col, True).alias(f"mode_{col}"))

@@ -19,6 +19,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from shotspark.functions.expr import null_if_na_text, to_double
 from shotspark.operators.clean import clean_name, snake
@@ -37,9 +38,15 @@ def file_headers(spark: SparkSession, paths: str | Sequence[str], limit: int | N
 
     Session files are small; each is read whole once to take its first line.
     """
-    df = (spark.read.text(_paths(paths), wholetext=True)
-          .select(F.col("_metadata.file_path").alias(SOURCE),
-                  F.regexp_extract("value", r"^([^\r\n]*)", 1).alias("header")))
+    try:
+        text = spark.read.text(_paths(paths), wholetext=True)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
+            raise
+        # S3: a missing session directory means no sessions, not an error.
+        return spark.createDataFrame([], f"{SOURCE} string, header string")
+    df = text.select(F.col("_metadata.file_path").alias(SOURCE),
+                     F.regexp_extract("value", r"^([^\r\n]*)", 1).alias("header"))
     if limit is not None:
         df = df.orderBy(SOURCE).limit(limit)
     return df
@@ -124,3 +131,8 @@ def concat_sessions(frames: Iterable[DataFrame | None]) -> DataFrame | None:
             continue
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def merge_stats(raw: DataFrame) -> DataFrame:
+    """Files merged and rows merged, from one aggregate."""
+    return raw.agg(F.countDistinct(SOURCE).alias("files"), F.count(F.lit(1)).alias("rows"))
