@@ -162,12 +162,16 @@ def deliverables(df: DataFrame, by: Sequence[str] = (), exact: bool = True,
     )
 
 
-def drop_all_null(df: DataFrame) -> DataFrame:
+def drop_all_null(df: DataFrame, materialize: bool = False) -> DataFrame:
     """Drop columns that are NULL in every row (data-dependent schema, opt-in).
 
-    One aggregate action over the frame (count of non-null per column); meant
-    for small results such as per-club summaries.
+    One aggregate action over the frame (count of non-null per column).
+    ``materialize=True`` checkpoints the frame first (reliable checkpoint in
+    the session's checkpoint folder) so a large input is computed once, not
+    once for the counts and again for the result.
     """
+    if materialize:
+        df = df.checkpoint(eager=True)
     counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
     keep = [c for i, c in enumerate(df.columns) if counts[f"c{i}"] > 0]
     return df.select(*[F.col(f"`{c}`") for c in keep])
