@@ -133,3 +133,16 @@ def test_session_stream_ingest(spark, tmpdir_path):
     q.awaitTermination(120)
     assert t.shots().count() == 3
     assert {r["user_id"] for r in t.sessions().collect()} == {"user-9"}
+
+
+def test_save_deliverables_roundtrip(spark, tmpdir_path):
+    from shotspark.operators import deliverables as dv
+    from shotspark.sources import testdata
+    from tests.conftest import SF_SMALL
+    d = dv.deliverables(testdata.shots(spark, SF_SMALL), by=("user_id",), materialize=True)
+    assert "p50_carry_yd" in d.club_carry_averages.columns and "shape_bias" in d.face_variance_by_club.columns
+    paths = sinks.save_deliverables(d, f"{tmpdir_path}/out")
+    assert set(paths) == {"club_summary", "face_variance_by_club", "club_carry_averages"}
+    back = sinks.read_csv_table(spark, paths["club_summary"])
+    assert back.count() == d.club_summary.count()
+    assert back.columns == d.club_summary.columns
