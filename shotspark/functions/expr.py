@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from shotspark.schema import BIAS_THRESHOLD, CURVE_TOL, NA_STRINGS, START_TOL
 
-# Text accepted as a number: optional sign, decimal with optional exponent,
-# or inf/infinity.  Rejects `12d`, `12f`, `1,234`, `0x1A`, `1_000`, `nan`
+# Text accepted as a number (pandas to_numeric): optional sign and a decimal
+# with optional exponent, blanks allowed around it; or inf/infinity in any
+# case, with no blanks.  Rejects `12d`, `12f`, `1,234`, `0x1A`, `1_000`, `nan`
 # and empty text, which a bare try_cast would partly accept.
-NUMBER_RX = (r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?"
-             r"|[iI][nN][fF]([iI][nN][iI][tT][yY])?)\s*$")
+NUMBER_RX = (r"^(\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?)\s*"
+             r"|[+-]?[iI][nN][fF]([iI][nN][iI][tT][yY])?)$")
 
 
 
