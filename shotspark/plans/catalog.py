@@ -14,7 +14,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotspark.functions.expr import round_doubles
+from shotspark.functions.expr import NUMBER_RX, round_doubles
 from shotspark.operators import deliverables as dv
 from shotspark.operators import clean as cl
 from shotspark.operators import dispersion as ds
@@ -549,3 +549,44 @@ def q_drop_all_null(spark, sf_dir):
     all-NULL ``avg_spin_axis_deg`` column is dropped from the result."""
     shots = testdata.shots(spark, sf_dir).withColumn("spin_axis", F.lit(None).cast("double"))
     return dv.drop_all_null(dv.club_summary(shots, by=BY))
+
+
+# --------------------------------------------------------------------------
+# F3 numeric coercion of raw text (S2-style NA markers, padded values, junk)
+# --------------------------------------------------------------------------
+_COERCE_METRICS = ["carry_distance", "ball_speed", "smash_factor", "spin_axis"]
+
+
+def _raw_text_spark(m: str):
+    x = F.col(m)
+    key = F.col("session_id") + F.col("user_id")
+    return (F.when(x.isNull(), F.lit("NA"))
+            .when(F.pmod(key, F.lit(11)) == 0, F.concat(x.cast("string"), F.lit("d")))
+            .when(F.pmod(key, F.lit(13)) == 0, F.concat(F.lit(" "), x.cast("string"), F.lit(" ")))
+            .when(F.pmod(key, F.lit(17)) == 0, F.regexp_replace(x.cast("string"), r"\.", ","))
+            .otherwise(x.cast("string")).alias(m))
+
+
+def _raw_text_sql(m: str) -> str:
+    return (f"CASE WHEN {m} IS NULL THEN 'NA' "
+            f"WHEN (session_id + user_id) % 11 = 0 THEN CAST({m} AS VARCHAR) || 'd' "
+            f"WHEN (session_id + user_id) % 13 = 0 THEN ' ' || CAST({m} AS VARCHAR) || ' ' "
+            f"WHEN (session_id + user_id) % 17 = 0 THEN replace(CAST({m} AS VARCHAR), '.', ',') "
+            f"ELSE CAST({m} AS VARCHAR) END")
+
+
+_RX_SQL = NUMBER_RX.replace("'", "''")
+
+
+@register("coerce_numeric", with_shots(
+    "SELECT user_id, session_id, "
+    + ", ".join(f"{r6(f'CASE WHEN regexp_full_match(t_{m}, {chr(39)}{_RX_SQL}{chr(39)}) THEN TRY_CAST(t_{m} AS DOUBLE) END')} AS {m}"
+                for m in _COERCE_METRICS)
+    + " FROM (SELECT user_id, session_id, "
+    + ", ".join(f"{_raw_text_sql(m)} AS t_{m}" for m in _COERCE_METRICS) + " FROM shots)"))
+def q_coerce_numeric(spark, sf_dir):
+    """Every shot's metrics as raw text (NA markers, padded values, unit
+    suffixes, decimal commas), coerced back: bad text -> NULL."""
+    raw = testdata.shots(spark, sf_dir).select("user_id", "session_id",
+                                               *[_raw_text_spark(m) for m in _COERCE_METRICS])
+    return cl.coerce_numeric(raw, _COERCE_METRICS)
