@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from shotspark.llm import op02_mixing as op2
+from shotspark.llm import op03_jaccard_join as op3
 from shotspark.llm import op08_exact_dedup as op8
+from shotspark.llm import op10_url_filter as op10
 
 QUERIES = {
+    "op2_mixing": op2.op2_mixing,
+    "op3_jaccard_join": op3.op3_jaccard_join,
     "op8_exact_dedup": op8.op8_exact_dedup,
+    "op10_url_filter": op10.op10_url_filter,
 }
 
 # Queries without an entry cannot be stated in SQL; their tests compare with
 # brute force, an exact round trip or held-out labels.
 ORACLE = {
     "op8_exact_dedup": op8.SQL,
+    "op10_url_filter": op10.sql(),
 }
