@@ -46,7 +46,9 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", first:
     base = p.withColumn("_n", F.octet_length(txt).cast("long")).withColumn("_head", head)
     live = (base.groupBy("_n", "_head").agg(F.count(F.lit(1)).alias("_c"))
             .where("_c > 1").select("_n", "_head"))
-    live = write_table(live, "radix-live")
+    # Groups of copies grow with the data: no join here may turn into a broadcast
+    # of them, so each one asks for a merge join, which AQE splits at a hot group.
+    live = write_table(live, "radix-live").hint("merge")
     singles = base.join(live, ["_n", "_head"], "left_anti").select(
         *p.columns, F.col(i).alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"))
@@ -62,7 +64,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", first:
         groups = (cut.groupBy("_gid", "_digit")
                   .agg(F.count(F.lit(1)).alias("_c"), F.max("_rid").alias("_new"))
                   .where("_c > 1").drop("_c"))
-        state = write_table(cut.join(groups, ["_gid", "_digit"])
+        state = write_table(cut.join(groups.hint("merge"), ["_gid", "_digit"])
                             .select("_rid", F.col("_new").alias("_gid"), "_n", "_rest"), "radix-round")
         offset += width
         ended.append(state.where(F.col("_n") <= offset).select("_rid", "_gid"))
@@ -72,11 +74,11 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", first:
         width = min(width * growth, longest)
 
     same = reduce(DataFrame.unionAll, ended)
-    member = same.join(pool.select("_rid", F.col(i).alias("_id")), "_rid")
+    member = same.join(pool.select("_rid", F.col(i).alias("_id")).hint("merge"), "_rid")
     best = member.groupBy("_gid").agg(F.max(F.struct("_id", "_rid")).alias("_top"),
                                       F.count(F.lit(1)).alias("_size"))
-    decided = same.join(best, "_gid").select("_rid", "_top", "_size")
-    copies = pool.join(decided, "_rid", "left").select(
+    decided = same.join(best.hint("merge"), "_gid").select("_rid", "_top", "_size")
+    copies = pool.join(decided.hint("merge"), "_rid", "left").select(
         *p.columns,
         F.when(F.col("_size").isNull(), F.col(i)).otherwise(F.col("_top._id")).alias("keep_id"),
         F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
