@@ -3,7 +3,10 @@ ASCII lowering and word patterns."""
 
 from __future__ import annotations
 
+import pathlib
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +31,25 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session: Python tasks import
+    it by name, wherever the driver found it."""
+    context = spark.sparkContext
+    if getattr(context, "_llm_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parents[1]
+    name = pathlib.Path(tempfile.mkdtemp()) / "shotspark_package.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(name))
+    context._llm_shipped = True
+
+
 def positional(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """Columns renamed by position, so that no input name can clash with an
     operator's own names; the second value restores the names."""
+    ship(df.sparkSession)
     names = df.columns
     return df.toDF(*[f"_p{i}" for i in range(len(names))]), names
 
