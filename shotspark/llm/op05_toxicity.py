@@ -71,7 +71,6 @@ def _feature_hits(column: pa.Array, known: Model | None):
     for text, hashes in letter_hashes(data, offsets, PREFIXES):
         words += np.bincount(text, minlength=len(words))
         for k, h in enumerate(hashes):
-            h = h ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1) if k == 0 else h
             good = (h != 0) if known is None else known.seen[(h >> np.uint64(44)).astype(np.int64)] & (h != 0)
             out.append((text[good], h[good], k > 0))
     return out, words
@@ -148,8 +147,8 @@ def counterfactuals(texts: list[str]) -> list[tuple[str, str]]:
     return out
 
 
-def fit(texts: list[str], labels: list[int], share: float | None = None, features: int = 1 << 15, strength: float = 1.0,
-        decay: float = 2e-4, steps: int = 250, rate: float = 0.1) -> Model:
+def fit(texts: list[str], labels: list[int], share: float | None = None, features: int = 1 << 9, strength: float = 1.0,
+        decay: float = 1e-4, steps: int = 300, rate: float = 0.1) -> Model:
     """Logistic loss + strength * mean squared change under swaps + decay."""
     y = np.array(labels, float)
     share = float(y.mean()) if share is None and len(y) else share or 0.0

@@ -7,6 +7,8 @@ from shotspark.llm import op02_mixing as op2
 from shotspark.llm import op03_jaccard_join as op3
 from shotspark.llm import op04_records as op4
 from shotspark.llm import op05_toxicity as op5
+from shotspark.llm import op06_graph_ann as op6
+from shotspark.llm import op07_pii as op7
 from shotspark.llm import op08_exact_dedup as op8
 from shotspark.llm import op09_byte_bpe as op9
 from shotspark.llm import op10_url_filter as op10
@@ -17,6 +19,8 @@ QUERIES = {
     "op3_jaccard_join": op3.op3_jaccard_join,
     "op4_records": op4.op4_records,
     "op5_toxicity": op5.op5_toxicity,
+    "op6_graph_ann": op6.op6_graph_ann,
+    "op7_pii": op7.op7_pii,
     "op8_exact_dedup": op8.op8_exact_dedup,
     "op9_byte_bpe": op9.op9_byte_bpe,
     "op10_url_filter": op10.op10_url_filter,
