@@ -1,0 +1,90 @@
+"""Personal data against Python's re, position by position; added spans."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import types as T
+
+from shotspark.llm import op07_pii as P
+from tests.conftest import SF_SMALL
+
+SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+
+
+def luhn(d):
+    total = 0
+    for k, c in enumerate(reversed(d)):
+        n = int(c) * (1 + k % 2)
+        total += n - 9 if n > 9 else n
+    return total % 10 == 0
+
+
+BASE = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+]
+
+
+def brute(text):
+    return [(k, m.start(), m.end()) for k, p, good in BASE for m in re.finditer(p, text or "") if good(m.group())]
+
+
+def check(spark, texts):
+    out = P.find_pii(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).orderBy("doc_id").collect()
+    for t, r in zip(texts, out):
+        base = [(s.kind, s.start, s.end) for s in r.base_spans]
+        assert base == brute(t), (t, base, brute(t))
+        spans = [(s.kind, s.start, s.end) for s in r.spans]
+        assert set(base) <= set(spans) and spans == sorted(spans, key=lambda s: (P.KINDS.index(s[0]), s[1:]))
+        assert [r[f"n_{k}"] for k in P.KINDS] == [sum(s[0] == k for s in spans) for k in P.KINDS]
+    return out
+
+
+def test_random_texts(spark):
+    rng = random.Random(8)
+    bits = ["a", "b.c", "@", ".", "_", "-", " ", "+", "(", ")", "1", "22", "255", "256", "0007", "é", "😀", "x@y.z",
+            "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (017) 555-7713", "10.0.0.1", "\n", "(at)", "555-123-4567"]
+    check(spark, [None, "", "@", "+", "1"] + ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 16))) for _ in range(600)])
+
+
+def test_long_texts(spark):
+    check(spark, ["a" * 200_000, "1" * 100_000, "1 " * 20_000, "1." * 30_000, "a@" * 20_000, "+1(" * 20_000, "😀 a@b.cd 10.0.0.1 " * 2500])
+
+
+def test_added_spans(spark):
+    some = ["please write to jane (at) example (dot) com soon", "call me on 555-123-4567 today", "order 555-123-4567 shipped",
+            "plain words only", "invoice 1234567890123456 due"]
+    out = check(spark, some)
+    added = [[(s.kind, t[s.start:s.end]) for s in r.spans if s not in r.base_spans] for t, r in zip(some, out)]
+    assert added == [[("email", "jane (at) example (dot) com")], [("phone", "555-123-4567")], [], [], []]
+    red = P.redact(P.find_pii(spark.createDataFrame([(1, "é a@b.cd, call me on 555-123-4567 now")], SCHEMA))).first().redacted
+    assert red == "é [email], call me on [phone] now"
+
+
+def test_cases(spark):
+    df = spark.createDataFrame([(1, "a@b.c", "p", 9), (1, "a@b.c", "p", 9), (None, "a@b.c", "p", 9)],
+                               "doc_id long, text string, spans string, _t int")
+    out = P.find_pii(df)
+    assert out.columns == ["doc_id", "text", "_t", *P.OWN] and len({str(r[1:]) for r in out.collect()}) == 1
+    assert P.find_pii(df.limit(0)).count() == 0
+
+
+def test_query_on_table(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
+    out = P.op7_pii(spark, SF_SMALL)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+    for r in out.collect():
+        want = brute(docs[r.doc_id])
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w[0] == k for w in want) for k in P.KINDS]
+
+
+@pytest.mark.parametrize("digits,good", [("4111111111111111", True), ("4111111111111112", False), ("0", True)])
+def test_luhn_oracle(digits, good):
+    assert luhn(digits) is good
