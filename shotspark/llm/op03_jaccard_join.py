@@ -17,10 +17,11 @@ distinct 5-word shingles.  Then the symmetric difference is at most
   joined; no linked pair is lost.
 * *Stars.* A block's documents are paired with its smallest document, never
   all with all.  Each document is verified against its best partner first;
-  links give components.  Only blocks that still hold documents of several
-  components are joined further: first with the smallest document, then pair
-  by pair across components, behind the test of sizes and of the Hamming
-  distance of a compact sketch.
+  links give components.  Blocks that still hold documents of several
+  components go on: first with their smallest document, then each document
+  with those of other components, inside a task, by size and by the Hamming
+  distance of a compact sketch.  Only pairs near enough to link become rows; a
+  block of more than ``GROUP`` documents is dealt to tasks by pairs of groups.
 * *Verify.* Exact intersection of the shingle sets of the whole texts.
 
 Nodes are set fingerprints (64 bits; a second one guards against collisions),
@@ -53,6 +54,8 @@ from shotspark.llm.wordsets import mix64, shingle_sets
 OWN = ["n_shingles", "component_id"]
 #: Block names of one packed row; rows of a partition; a block is frequent in a chunk from this many documents on.
 CHUNK, PART_ROWS, FREQUENT = 1 << 20, 1_500_000, 32
+#: Documents of a block that are compared in one task; larger blocks go by pairs of such groups.
+GROUP = 4096
 _U = np.uint64
 
 
@@ -310,6 +313,66 @@ def _near(batches):
         yield batch.filter(pa.array(np.array(d, np.int64) <= most)).select(["a", "b"])
 
 
+def _close_pairs(own, fp, root, n, sk, across: bool):
+    """Pairs of one block in different components whose sizes and sketches are
+    near enough; ``sk`` is a matrix of sketch words."""
+    left, right = [], []
+    for x in range(len(fp)):
+        y = np.flatnonzero((root[x + 1:] != root[x]) & ((own[x + 1:] != own[x]) if across else True)) + x + 1
+        y = y[(5 * n[y] >= 4 * n[x]) & (5 * n[x] >= 4 * n[y])]
+        if len(y):
+            d = np.bitwise_count(sk[y] ^ sk[x]).sum(axis=1, dtype=np.int64)
+            y = y[d <= (n[y] + n[x]) // 9]
+            left.append(np.full(len(y), fp[x])), right.append(fp[y])
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _fold(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one block's documents, folded to the shortest length."""
+    words = min(len(s) for s in sketches) // 8
+    out = np.empty((len(sketches), words), np.uint64)
+    for k, s in enumerate(sketches):
+        x = np.frombuffer(s, np.uint64)
+        while len(x) > words:
+            x = x[:len(x) // 2] ^ x[len(x) // 2:]
+        out[k] = x
+    return out
+
+
+def _near_across(batches):
+    """Rows sorted by (key, i, j): the close pairs of each block, or of two
+    groups i < j of a large block.  Pairs that are not close are never rows."""
+    names = ("key", "i", "j", "own", "fp", "r", "n")
+    held = None
+
+    def close(cols, sks):
+        own, fp, root, n = cols[3:]
+        return _close_pairs(own, fp, root, n, _fold(sks), cols[1][0] != cols[2][0])
+
+    def rows(found):
+        a = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
+        b = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
+        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pair[0], pa.int64()), pa.array(pair[1], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        sks = batch.column("sk").to_pylist()
+        if held is not None:
+            cols, sks = [np.concatenate([x, y]) for x, y in zip(held[0], cols)], held[1] + sks
+        cut = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
+        cut = np.concatenate([[0], cut])
+        found = [close([c[x:y] for c in cols], sks[x:y]) for x, y in zip(cut[:-1], cut[1:]) if y - x > 1]
+        last = cut[-1]
+        held = [c[last:] for c in cols], sks[last:]
+        if found:
+            yield rows(found)
+    if held is not None and len(held[1]) > 1:
+        yield rows([close(*held)])
+
+
 # -- the join --------------------------------------------------------------------
 
 def _links(pairs: DataFrame, tagged: DataFrame, sets: DataFrame, text: str) -> DataFrame:
@@ -376,17 +439,20 @@ def _join(p: DataFrame, text: str, id: str) -> tuple[DataFrame, DataFrame, DataF
         links = links.unionAll(new)
         root = components(links)
 
-    # What is left: pairs of one block across components.
-    held = rooted(shared.select("key", "fp", "hub"), "fp", "r")
-    open_ = (held.groupBy("key").agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
-             .where("lo <> hi").select("key"))
-    held = write_table(held.join(open_, "key", "left_semi").join(sets.select(F.col("_fp").alias("fp"), "_n"), "fp"),
-                       "jaccard-open")
-    x = held.select("key", F.col("fp").alias("a"), F.col("r").alias("ra"), F.col("_n").alias("na"), F.col("hub").alias("h"))
-    y = held.select("key", F.col("fp").alias("b"), F.col("r").alias("rb"), F.col("_n").alias("nb"))
-    cross = (x.join(y, "key").where("ra < rb and 5 * least(na, nb) >= 4 * greatest(na, nb) and a <> h and b <> h")
-             .select("a", "b").distinct())
-    new = _links(_sketched(cross, sets), tagged, sets, "_text")
+    # What is left: blocks whose documents are still in several components.
+    held = rooted(shared.select("key", "fp"), "fp", "r").unionAll(
+        rooted(shared.select("key", F.col("hub").alias("fp")).distinct(), "fp", "r").select("fp", "key", "r")).distinct()
+    open_ = write_table(held.groupBy("key").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count(F.lit(1)).alias("c"))
+                        .where("lo <> hi").select("key", F.ceil(F.col("c") / GROUP).alias("groups")), "jaccard-open")
+    held = held.join(open_, "key").join(sets.select(F.col("_fp").alias("fp"), F.col("_n").alias("n"),
+                                                    F.col("_sketch").alias("sk")), "fp")
+    held = held.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("groups")))
+    held = held.select("key", "own", "fp", "r", "n", "sk", F.explode(F.expr(
+        "transform(sequence(0L, groups - 1), g -> struct(least(own, g) as i, greatest(own, g) as j))")).alias("at"))
+    held = held.select("key", "at.i", "at.j", "own", "fp", "r", "n", "sk")
+    cross = (held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+             .mapInArrow(_near_across, "a long, b long").distinct())
+    new = _links(cross, tagged, sets, "_text")
     if not new.isEmpty():
         root = components(links.unionAll(new))
     return rows, root, tagged
