@@ -57,24 +57,11 @@ def ellipse(df: DataFrame, x: str = "finish_x", y: str = "finish_y",
     Groups with fewer than ``min_points`` finite rows produce no row.
     """
     pts = df.where(is_finite(x) & is_finite(y))
-    # Moments from power sums: each sum is one partial aggregate, and the
-    # result does not depend on how partitions are merged (Spark's online
-    # var/covar updates do), so reruns and engines agree bit for bit on data
-    # with exact sums.
     s = pts.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(x).alias("sx"), F.sum(y).alias("sy"),
-        F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(y) * F.col(y)).alias("syy"),
-        F.sum(F.col(x) * F.col(y)).alias("sxy"),
-    ).where(F.col("n") >= min_points)
-    n = F.col("n").cast("double")
-    sx, sy = F.col("sx"), F.col("sy")
-    s = s.select(
-        *by, "n", (sx / n).alias("mean_x"), (sy / n).alias("mean_y"),
-        ((F.col("sxx") - sx * sx / n) / (n - 1)).alias("var_x"),
-        ((F.col("syy") - sy * sy / n) / (n - 1)).alias("var_y"),
-        ((F.col("sxy") - sx * sy / n) / (n - 1)).alias("cov_xy"),
-    )
+        F.count(F.lit(1)).alias("_n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"),
+        F.var_samp(x).alias("var_x"), F.var_samp(y).alias("var_y"), F.covar_samp(x, y).alias("cov_xy"),
+    ).where(F.col("_n") >= min_points)
+    s = s.select(*by, F.col("_n").alias("n"), "mean_x", "mean_y", "var_x", "var_y", "cov_xy")
     a, b, c = F.col("var_x"), F.col("cov_xy"), F.col("var_y")
     m = (a + c) / 2
     d = F.sqrt(F.pow((a - c) / 2, 2) + F.pow(b, 2))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from shotspark.functions.expr import null_if_na_text, to_double
 from shotspark.operators.clean import clean_headers
 
 # FIXED VALUES: the named CSV datasets and their file names.
@@ -32,15 +34,34 @@ class Registry:
 
 def read_csv_table(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     """A header CSV (file or directory of part files); headers cleaned.
-    A missing path raises FileNotFoundError."""
+    Missing-value markers become NULL; with ``infer``, a column whose other
+    values are all numbers is a number (one aggregate over the table).  A
+    missing path raises FileNotFoundError."""
     try:
-        df = (spark.read.option("header", True).option("inferSchema", infer)
+        df = (spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
               .option("encoding", "UTF-8").csv(path))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
-            raise FileNotFoundError(f"Expected {path} to exist. Put the CSV there or pass a path.") from e
+            raise FileNotFoundError(f"no CSV table at {path}") from e
         raise
-    return clean_headers(df)
+    df = clean_headers(df)
+    df = df.select(*[null_if_na_text(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    if not infer or not df.columns:
+        return df
+    bad = df.agg(*[F.count(F.when(to_double(F.col(f"`{c}`")).isNull(), F.col(f"`{c}`"))).alias(f"b{i}")
+                   for i, c in enumerate(df.columns)],
+                 *[F.count(F.when(~F.col(f"`{c}`").rlike(r"^\s*[+-]?[0-9]{1,9}\s*$"), F.col(f"`{c}`"))).alias(f"w{i}")
+                   for i, c in enumerate(df.columns)],
+                 *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(df.columns)]).first()
+    typed = []
+    for i, c in enumerate(df.columns):
+        x = F.col(f"`{c}`")
+        if bad[f"n{i}"] and not bad[f"w{i}"]:
+            x = F.trim(x).cast("int")
+        elif bad[f"n{i}"] and not bad[f"b{i}"]:
+            x = to_double(x)
+        typed.append(x.alias(c))
+    return df.select(*typed)
 
 
 def load(spark: SparkSession, name: str, path: str | None = None, data_dir: str = "data") -> DataFrame:
