@@ -1,17 +1,23 @@
 """The three tables (sessions, shots, club_summaries) as Parquet on shared storage.
 
-Layout under ``root``:
-  <table>/v=<n>/...        one immutable version per rewrite
-  <table>/_current/        one-line text file naming the live version
-  deleted_sessions/, deleted_users/   append-only tombstones
-
-* shots are partitioned by ``user_bucket = pmod(xxhash64(user_id), N)`` so a
-  per-user read prunes to one bucket; writes use AQE's rebalance so a hot
-  bucket is split across several files instead of one task.
-* Appends add files to the live version; deletes append tombstones and every
-  read anti-joins them; ``compact`` rewrites a table into a new version
-  without the dead rows and then switches ``_current`` (a delete that empties
-  a bucket leaves no stale files behind, unlike a dynamic partition overwrite).
+Layout under ``root``, for each table and each kind of tombstone:
+  <table>/data/batch=<id>/...   immutable folders, one per batch
+  <table>/_log/<number>.json    commits, only ever added; the highest is live
+
+* A commit names the live folders (and, for the cache, the buckets that each
+  folder is valid for) and the table's bucket count.  It is written aside and
+  moved to its number without overwriting: of two writers with one number the
+  second one reads the new state and tries again, so no commit is lost, and a
+  crash leaves the old commit live.  A table folder without any commit raises.
+* An append writes the folder of its batch id and then commits; a replay of
+  the batch replaces its own folder and changes nothing else.
+* Deletes append tombstones and every read anti-joins them.  ``compact``
+  rewrites the folders it read; batches that were added meanwhile stay live.
+  Tombstones whose rows are gone from all tables are retired with it.
+* Shots and cache are partitioned by ``user_bucket = pmod(xxhash64(user_id), N)``;
+  N is a stored property of the table (choose it for files of some GB at the
+  full size), so a per-user read prunes to one bucket and an opener with
+  another N is refused.  Writes use AQE's rebalance, which splits a hot bucket.
 * Row-level security becomes ``for_user``: a user filter that also prunes
   the bucket.
 """
@@ -19,60 +25,143 @@ Layout under ``root``:
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+import json
+import uuid
+from functools import reduce
 from typing import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import types as T
 
+from shotspark.functions.expr import nan_to_null
 from shotspark.operators.deliverables import club_summary
-from shotspark.schema import CACHE_RENAMES, CLUB_SUMMARIES_SCHEMA, SESSIONS_SCHEMA, SHOTS_SCHEMA
+from shotspark.schema import CACHE_RENAMES, CLUB_SUMMARIES_SCHEMA, METRICS, SESSIONS_SCHEMA, SHOTS_SCHEMA
 
 DEFAULT_BUCKETS = 64
+_BUCKETED = {"shots", "club_summaries"}
+_BUCKET = T.StructField("user_bucket", T.LongType())
+_SCHEMAS = {
+    "sessions": SESSIONS_SCHEMA, "shots": SHOTS_SCHEMA, "club_summaries": CLUB_SUMMARIES_SCHEMA,
+    "deleted_sessions": T.StructType([T.StructField("session_id", T.StringType()), T.StructField("deleted_at", T.TimestampType())]),
+    "deleted_users": T.StructType([T.StructField("user_id", T.StringType()), T.StructField("deleted_at", T.TimestampType())]),
+}
 
 
 def bucket_of(user_id_col, n: int) -> "F.Column":
     return F.pmod(F.xxhash64(user_id_col.cast("string")), F.lit(n))
 
 
-@dataclass
-class Tables:
-    spark: SparkSession
-    root: str
-    buckets: int = DEFAULT_BUCKETS
+class CommitConflict(RuntimeError):
+    """Another writer took the commit number."""
 
-    # -- paths and versions ---------------------------------------------
-    def _dir(self, table: str) -> str:
-        return f"{self.root.rstrip('/')}/{table}"
 
-    def version(self, table: str) -> int | None:
-        try:
-            row = self.spark.read.text(f"{self._dir(table)}/_current").first()
-        except AnalysisException:
+class Tables:
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
+        """``buckets`` counts for new tables; for existing ones it must be
+        theirs (or None)."""
+        self.spark, self.root, self._wanted = spark, root.rstrip("/"), buckets
+        for table in _BUCKETED:
+            entry = self.live(table)
+            if entry and buckets is not None and entry["buckets"] != buckets:
+                raise ValueError(f"{table} has {entry['buckets']} buckets, not {buckets}")
+
+    @property
+    def buckets(self) -> int:
+        for table in ("shots", "club_summaries"):
+            entry = self.live(table)
+            if entry:
+                return entry["buckets"]
+        return self._wanted or DEFAULT_BUCKETS
+
+    # -- commits (small driver-side files) -------------------------------------
+    def _dir(self, table: str) -> str:
+        return f"{self.root}/{table}"
+
+    def _path(self, path: str):
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _numbers(self, table: str) -> list[int]:
+        log, fs = self._path(f"{self._dir(table)}/_log")
+        if not fs.exists(log):
+            if fs.exists(log.getParent()):
+                raise RuntimeError(f"{table} has data but no commit; it was not written by this library or its log is gone")
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(log)]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def live(self, table: str) -> dict | None:
+        """The live commit: number, buckets and folders (path, buckets or None)."""
+        numbers = self._numbers(table)
+        if not numbers:
             return None
-        return int(row[0]) if row else None
-
-    def _set_version(self, table: str, v: int) -> None:
-        (self.spark.createDataFrame([(str(v),)], "value string").coalesce(1)
-         .write.mode("overwrite").text(f"{self._dir(table)}/_current"))
-
-    def _vdir(self, table: str, v: int) -> str:
-        return f"{self._dir(table)}/v={v}"
+        p, fs = self._path(f"{self._dir(table)}/_log/{numbers[-1]:012d}.json")
+        stream = fs.open(p)
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text) | {"number": numbers[-1]}
+
+    def _commit(self, table: str, number: int, folders: list, buckets: int) -> None:
+        jvm = self.spark.sparkContext._jvm
+        log = f"{self._dir(table)}/_log"
+        aside, fs = self._path(f"{log}/.{uuid.uuid4().hex}")
+        stream = fs.create(aside, False)
+        stream.write(bytearray(json.dumps({"buckets": buckets, "folders": folders}).encode()))
+        stream.close()
+        target, _ = self._path(f"{log}/{number:012d}.json")
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+                aside.toUri() if aside.toUri().getScheme() else fs.getUri(),
+                self.spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, target, options)
+        except Exception as e:
+            if "FileAlreadyExists" in str(e) or fs.exists(target):
+                raise CommitConflict(f"{table} commit {number}") from e
+            raise
+
+    def _change(self, table: str, fn) -> None:
+        """Commit ``fn(live folders)``; on a conflict, once more on the new state."""
+        while True:
+            entry = self.live(table)
+            buckets = entry["buckets"] if entry else (self.buckets if table in _BUCKETED else 0)
+            folders = fn(entry["folders"] if entry else [])
+            if entry and folders == entry["folders"]:
+                return
+            try:
+                return self._commit(table, entry["number"] + 1 if entry else 0, folders, buckets)
+            except CommitConflict:
+                continue
 
     # -- raw reads ----------------------------------------------------------
-    def _read(self, table: str, schema) -> DataFrame:
-        v = self.version(table)
-        if v is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(self._vdir(table, v))
+    def _schema(self, table: str) -> T.StructType:
+        extra = [_BUCKET] if table in _BUCKETED else []
+        return T.StructType([*_SCHEMAS[table].fields, *extra])
+
+    def _folders(self, table: str, folders: list) -> DataFrame:
+        """One scan of all folders; a folder that is valid for some buckets
+        only is read for those (both are partition filters)."""
+        if not folders:
+            return self.spark.createDataFrame([], self._schema(table))
+        base = self._dir(table)
+        out = (self.spark.read.schema(T.StructType([*self._schema(table).fields, T.StructField("batch", T.StringType())]))
+               .option("basePath", f"{base}/data").parquet(*[f"{base}/{path}" for path, _ in folders]))
+        some = [(F.col("batch") == path.partition("=")[2]) & F.col("user_bucket").isin(only)
+                for path, only in folders if only is not None]
+        if some:
+            whole = [path.partition("=")[2] for path, only in folders if only is None]
+            out = out.where(reduce(lambda x, y: x | y, some, F.col("batch").isin(whole)))
+        return out.drop("batch")
+
+    def _read(self, table: str) -> DataFrame:
+        entry = self.live(table)
+        return self._folders(table, entry["folders"] if entry else [])
 
     def tombstones(self, kind: str) -> DataFrame:
-        key = "session_id" if kind == "deleted_sessions" else "user_id"
-        try:
-            return self.spark.read.parquet(self._dir(kind)).select(key, "deleted_at")
-        except AnalysisException:
-            return self.spark.createDataFrame([], f"{key} string, deleted_at timestamp")
+        return self._read(kind)
 
     # -- live reads (tombstones applied) -------------------------------------
     def _live(self, df: DataFrame, session_key: str | None) -> DataFrame:
@@ -84,44 +173,37 @@ class Tables:
         return df.join(self.tombstones("deleted_users").select("user_id"), "user_id", "left_anti")
 
     def sessions(self) -> DataFrame:
-        return self._live(self._read("sessions", SESSIONS_SCHEMA), "id")
+        return self._live(self._read("sessions"), "id")
 
     def shots(self) -> DataFrame:
-        s = self._read("shots", SHOTS_SCHEMA)
-        return self._live(s, "session_id")
+        return self._live(self._read("shots"), "session_id")
 
     def club_summaries(self) -> DataFrame:
-        return self._live(self._read("club_summaries", CLUB_SUMMARIES_SCHEMA), None)
+        return self._live(self._read("club_summaries"), None)
 
     # -- writes --------------------------------------------------------------
-    def _append(self, table: str, df: DataFrame, partition: str | None = None) -> None:
-        v = self.version(table)
-        first = v is None
-        v = 0 if first else v
-        w = df.write.mode("append")
-        if partition:
-            df = df.hint("rebalance", partition)
-            w = df.write.mode("append").partitionBy(partition)
-        w.parquet(self._vdir(table, v))
-        if first:
-            self._set_version(table, v)
-
-    def append_sessions(self, sessions: DataFrame) -> None:
-        self._append("sessions", sessions.select([f.name for f in SESSIONS_SCHEMA.fields]))
-
-    def append_shots(self, shots: DataFrame) -> None:
-        cols = [f.name for f in SHOTS_SCHEMA.fields]
-        df = shots.select(*cols).withColumn("user_bucket", bucket_of(F.col("user_id"), self.buckets))
-        self._append("shots", df, partition="user_bucket")
-
-    def _rewrite(self, table: str, df: DataFrame, partition: str | None = None) -> int:
-        """Write ``df`` as a new version, then make it live."""
-        v = (self.version(table) or 0) + 1
-        w = df.hint("rebalance", partition).write if partition else df.write
-        w = w.mode("overwrite")
-        (w.partitionBy(partition) if partition else w).parquet(self._vdir(table, v))
-        self._set_version(table, v)
-        return v
+    def _write(self, table: str, df: DataFrame, folder: str) -> None:
+        df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _SCHEMAS[table].fields])
+        if table in _BUCKETED:
+            df = df.withColumn("user_bucket", bucket_of(F.col("user_id"), self.buckets)).hint("rebalance", "user_bucket")
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy("user_bucket") if table in _BUCKETED else writer).parquet(f"{self._dir(table)}/{folder}")
+
+    def _append(self, table: str, df: DataFrame, batch: str | None) -> None:
+        self.live(table)  # a folder without a log is refused before anything is written to it
+        folder = f"data/batch={batch or uuid.uuid4().hex}"
+        log, fs = self._path(f"{self._dir(table)}/_log")
+        fs.mkdirs(log)
+        self._write(table, df, folder)
+        self._change(table, lambda now: now if [folder, None] in now else [*now, [folder, None]])
+
+    def append_sessions(self, sessions: DataFrame, batch: str | None = None) -> None:
+        self._append("sessions", sessions, batch)
+
+    def append_shots(self, shots: DataFrame, batch: str | None = None) -> None:
+        """NaN metrics become NULL, so that averages skip them."""
+        clean = shots.withColumns({m: nan_to_null(F.col(m).cast("double")) for m in METRICS if m in shots.columns})
+        self._append("shots", clean, batch)
 
     # -- maintenance ----------------------------------------------------------
     def delete_session(self, session_id: str, user_id: str, now: dt.datetime | None = None) -> None:
@@ -131,32 +213,48 @@ class Tables:
             raise KeyError("Session not found")
         self.delete_sessions(owned.select(F.col("id").alias("session_id")), now)
 
-    def delete_sessions(self, session_ids: DataFrame, now: dt.datetime | None = None) -> None:
+    def delete_sessions(self, session_ids: DataFrame, now: dt.datetime | None = None, batch: str | None = None) -> None:
         """Bulk K4/K6: tombstone every session in ``session_ids`` (column session_id)."""
         ts = F.lit(now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).cast("timestamp")
-        (session_ids.select(F.col("session_id").cast("string"), ts.alias("deleted_at"))
-         .write.mode("append").parquet(self._dir("deleted_sessions")))
+        self._append("deleted_sessions", session_ids.select("session_id", ts.alias("deleted_at")), batch)
 
-    def erase_users(self, user_ids: DataFrame, now: dt.datetime | None = None) -> None:
+    def erase_users(self, user_ids: DataFrame, now: dt.datetime | None = None, batch: str | None = None) -> None:
         """K5: tombstone users (column user_id): shots, summaries, sessions hidden."""
         ts = F.lit(now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).cast("timestamp")
-        (user_ids.select(F.col("user_id").cast("string"), ts.alias("deleted_at"))
-         .write.mode("append").parquet(self._dir("deleted_users")))
+        self._append("deleted_users", user_ids.select("user_id", ts.alias("deleted_at")), batch)
 
-    def compact(self) -> None:
-        """Rewrite the three tables without tombstoned rows into new versions.
+    def _replace(self, table: str, before: list, df: DataFrame) -> bool:
+        """Rewrite the folders ``before`` as one; False if they are no longer
+        live.  Folders added meanwhile stay."""
+        folder = f"data/batch={uuid.uuid4().hex}"
+        self._write(table, df, folder)
+        done = []
+
+        def swap(now):
+            done[:] = [all(f in now for f in before)]
+            return [[folder, None], *[f for f in now if f not in before]] if done[0] else now
 
-        The new version is written from the old one (different directory, no
-        read-overwrite conflict), so an executor lost mid-way only costs a
-        retry; the switch happens after the write commits.
-        """
-        shots = self.shots()
-        sessions = self.sessions()
-        cache = self.club_summaries()
-        self._rewrite("shots", shots.withColumn("user_bucket", bucket_of(F.col("user_id"), self.buckets)),
-                      partition="user_bucket")
-        self._rewrite("sessions", sessions)
-        self._rewrite("club_summaries", cache)
+        self._change(table, swap)
+        return done[0]
+
+    def compact(self) -> None:
+        """Rewrite the three tables without tombstoned rows.
+
+        Each table's commit replaces just the folders that were read.  When no
+        batch came in meanwhile, the applied tombstones are retired."""
+        marks = {k: self.live(k) for k in ("deleted_sessions", "deleted_users")}
+        quiet = True
+        for table, key in (("shots", "session_id"), ("sessions", "id"), ("club_summaries", None)):
+            entry = self.live(table)
+            while entry:
+                if self._replace(table, entry["folders"], self._live(self._folders(table, entry["folders"]), key)):
+                    quiet &= len(self.live(table)["folders"]) == 1
+                    break
+                entry = self.live(table)
+        if quiet:
+            for kind, entry in marks.items():
+                if entry:
+                    self._change(kind, lambda now, gone=entry["folders"]: [f for f in now if f not in gone])
 
 
 def for_user(df: DataFrame, user_id: str, buckets: int | None = None) -> DataFrame:
@@ -169,9 +267,11 @@ def for_user(df: DataFrame, user_id: str, buckets: int | None = None) -> DataFra
 
 
 def fetch_shots(tables: Tables, user_id: str | None = None) -> DataFrame:
-    """Shots of one user (or all), every column, NaN-free doubles."""
+    """Shots of one user (or all), every column of the table; NaN was
+    replaced by NULL when the shots were written."""
     df = tables.shots()
-    return for_user(df, user_id, tables.buckets) if user_id is not None else df
+    df = for_user(df, user_id, tables.buckets) if user_id is not None else df
+    return df.drop("user_bucket")
 
 
 def list_sessions(tables: Tables, user_id: str | None = None) -> DataFrame:
@@ -205,44 +305,77 @@ def to_cache_rows(summary: DataFrame, computed_at: dt.datetime | None = None) ->
     return summary.select(*cols)
 
 
+class NoShotData(LookupError):
+    """There are no shots to summarise; the cache was left as it is."""
+
+
+class NoSummary(LookupError):
+    """No summary was generated for the user yet."""
+
+
 def generate(tables: Tables, users: DataFrame | None = None,
              computed_at: dt.datetime | None = None) -> DataFrame:
     """K13 (+K7/K8): recompute the cached club summary for ``users`` (a
     frame with a user_id column; None = everyone) in one job.
 
-    New cache = old rows of other users UNION new rows, written as a new
-    version; returns clubs computed per user (the caller's count).
+    Only buckets that get new rows are rewritten: their other users' rows are
+    carried over, and a user without shots keeps the cached rows.  Without any
+    shots nothing is changed and ``NoShotData`` is raised.  Returns clubs
+    computed per user (the caller's count).
     """
     shots = tables.shots()
     if users is not None:
         shots = shots.join(users.select(F.col("user_id").cast("string")).distinct(), "user_id", "left_semi")
+    n = tables.buckets
     new_rows = to_cache_rows(club_summary(shots, by=("user_id",)), computed_at)
-    old = tables.club_summaries()
-    if users is not None:
-        keep_old = old.join(users.select(F.col("user_id").cast("string")).distinct(), "user_id", "left_anti")
-    else:
-        keep_old = old.where(F.lit(False))
-    # The new version is written to its own directory from the old one plus
-    # the shots, then switched in: a failed job leaves the old cache live.
-    tables._rewrite("club_summaries", keep_old.unionByName(new_rows))
-    return tables.club_summaries().groupBy("user_id").agg(F.count(F.lit(1)).alias("clubs_computed"))
+    folder = f"data/batch={uuid.uuid4().hex}-new"
+    log, fs = tables._path(f"{tables._dir('club_summaries')}/_log")
+    fs.mkdirs(log)
+    tables._write("club_summaries", new_rows, folder)
+    written = tables._folders("club_summaries", [[folder, None]])
+    # At most ``n`` bucket numbers.
+    touched = sorted(r[0] for r in written.select("user_bucket").distinct().collect())
+    if not touched:
+        raise NoShotData("no shot data")
+    while True:
+        entry = tables.live("club_summaries")
+        old = tables._folders("club_summaries", entry["folders"] if entry else []).where(F.col("user_bucket").isin(touched))
+        carried = old.join(written.select("user_id").distinct(), "user_id", "left_anti")
+        both = f"data/batch={uuid.uuid4().hex}"
+        tables._write("club_summaries", carried.unionByName(written).drop("user_bucket"), both)
+        # A folder holds good for the buckets that no later one has.
+        rest = []
+        for path, only in entry["folders"] if entry else []:
+            left = [b for b in (only if only is not None else range(n)) if b not in touched]
+            if left:
+                rest.append([path, left])
+        try:
+            tables._commit("club_summaries", entry["number"] + 1 if entry else 0, [*rest, [both, touched]], n)
+            break
+        except CommitConflict:
+            continue
+    return written.groupBy("user_id").agg(F.count(F.lit(1)).alias("clubs_computed"))
 
 
 def cached_summary(tables: Tables, user_id: str | None = None) -> DataFrame:
-    """The cached summary ordered by club (NULL club last)."""
+    """The cached summary ordered by club (NULL club last).  For one user
+    without cached rows ``NoSummary`` is raised."""
     c = tables.club_summaries()
     if user_id is not None:
-        c = for_user(c, user_id)
-    return c.orderBy("user_id", F.asc_nulls_last("club_type"))
+        c = for_user(c, user_id, tables.buckets)
+        if c.isEmpty():
+            raise NoSummary(f"no summary for user {user_id}")
+    return c.drop("user_bucket").orderBy("user_id", F.asc_nulls_last("club_type"))
 
 
 def session_rows(files: DataFrame, user_id_col: str = "user_id",
                  uploaded_at: dt.datetime | None = None) -> DataFrame:
-    """K1/K2: one sessions row per landed file (columns user_id, filename);
-    the id is a hash of (storage_path, upload time), so a retried job
-    produces the same ids."""
+    """K1/K2: one sessions row per landed file (columns user_id, filename and,
+    where given, storage_path); the id is a hash of (storage_path, upload
+    time), so a job that is run again with the same time has the same ids."""
     ts = uploaded_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    path = F.concat_ws("/", F.col(user_id_col).cast("string"), F.col("filename"))
+    path = (F.col("storage_path") if "storage_path" in files.columns
+            else F.concat_ws("/", F.col(user_id_col).cast("string"), F.col("filename")))
     return files.select(
         F.sha2(F.concat_ws("|", path, F.lit(ts.isoformat())), 256).alias("id"),
         F.col(user_id_col).cast("string").alias("user_id"),
@@ -251,8 +384,8 @@ def session_rows(files: DataFrame, user_id_col: str = "user_id",
 
 
 def with_shot_ids(shots: DataFrame, key_cols: Sequence[str] = ("session_id",)) -> DataFrame:
-    """Deterministic shot ids: hash of the session and the row's position in
-    the scan (stable under task retries of the same input listing)."""
+    """Shot ids: a hash of the session and the row's place in the scan.  They
+    are unique within a batch; a scan that is split otherwise gives others."""
     return shots.withColumn("id", F.sha2(F.concat_ws(
         "|", *[F.col(k).cast("string") for k in key_cols],
         F.monotonically_increasing_id().cast("string")), 256))

@@ -124,6 +124,74 @@ def test_generate_for_some_users_keeps_others(spark, tmpdir_path):
     assert got == {"u1": 2, "u2": 1}
 
 
+def _shots(spark, rows):
+    from shotspark.schema import METRICS
+    df = spark.createDataFrame(rows, "session_id string, user_id string, club_type string, carry_distance double")
+    return tb.with_shot_ids(df.select("*", *[F.lit(None).cast("double").alias(m) for m in METRICS if m != "carry_distance"]))
+
+
+def test_bucket_count_is_the_tables(spark, tmpdir_path):
+    t = tb.Tables(spark, f"{tmpdir_path}/tables", buckets=16)
+    t.append_shots(_shots(spark, [("s1", "u1", "7i", 150.0), ("s2", "u2", "7i", 151.0)]))
+    with pytest.raises(ValueError):
+        tb.Tables(spark, f"{tmpdir_path}/tables", buckets=7)
+    again = tb.Tables(spark, f"{tmpdir_path}/tables")
+    assert again.buckets == 16 and tb.fetch_shots(again, "u1").count() == 1
+    assert "user_bucket" not in tb.fetch_shots(again).columns
+
+
+def test_data_without_commit_is_refused(spark, tmpdir_path):
+    _shots(spark, [("s1", "u1", "7i", 150.0)]).write.parquet(f"{tmpdir_path}/tables/shots/data/x")
+    with pytest.raises(RuntimeError):
+        tb.Tables(spark, f"{tmpdir_path}/tables")
+
+
+def test_replay_and_conflicting_commits(spark, tmpdir_path):
+    t = tb.Tables(spark, f"{tmpdir_path}/tables", buckets=4)
+    for _ in range(2):
+        t.append_shots(_shots(spark, [("s1", "u1", "7i", 150.0)]), batch="b1")
+    assert t.shots().count() == 1
+    entry = t.live("shots")
+    with pytest.raises(tb.CommitConflict):
+        t._commit("shots", entry["number"], entry["folders"], 4)
+    assert t.live("shots") == entry
+
+
+def test_append_during_compact_is_kept(spark, tmpdir_path):
+    t = tb.Tables(spark, f"{tmpdir_path}/tables", buckets=4)
+    t.append_shots(_shots(spark, [("s1", "u1", "7i", 150.0), ("s2", "u1", "7i", 151.0)]))
+    t.delete_sessions(spark.createDataFrame([("s2",)], "session_id string"))
+    write = t._write
+
+    def slow(table, df, folder):
+        write(table, df, folder)
+        if table == "shots" and not slow.done:
+            slow.done = True
+            t.append_shots(_shots(spark, [("s3", "u1", "7i", 152.0)]))
+
+    slow.done, t._write = False, slow
+    t.compact()
+    t._write = write
+    assert sorted(r["session_id"] for r in t.shots().collect()) == ["s1", "s3"]
+    t.compact()  # nothing came in between: the tombstone goes
+    assert t.tombstones("deleted_sessions").count() == 0 and t.shots().count() == 2
+
+
+def test_nan_is_null_and_cache_survives_deletes(spark, tmpdir_path):
+    t = tb.Tables(spark, f"{tmpdir_path}/tables", buckets=4)
+    t.append_shots(_shots(spark, [("s1", "u1", "7i", 150.0), ("s1", "u1", "7i", float("nan")), ("s2", "u2", "D", 250.0)]))
+    tb.generate(t)
+    assert tb.cached_summary(t, "u1").first()["avg_carry_yd"] == 150.0
+    t.delete_sessions(spark.createDataFrame([("s1",), ("s2",)], "session_id string"))
+    with pytest.raises(tb.NoShotData):
+        tb.generate(t, users=tb.users_frame(spark, ["u1"]))
+    with pytest.raises(tb.NoShotData):
+        tb.generate(t)
+    assert tb.cached_summary(t).count() == 2
+    with pytest.raises(tb.NoSummary):
+        tb.cached_summary(t, "u3")
+
+
 def test_session_stream_ingest(spark, tmpdir_path):
     from shotspark.streaming.session_stream import start_session_stream
     write(f"{tmpdir_path}/landing/user-9/a.csv", HEAD_A + UNITS_A + "p,7i,150,100,1\n")
