@@ -61,9 +61,11 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", first:
     while True:
         digit = F.substring(F.col("_rest"), 1, width)
         cut = state.withColumn("_digit", digit).withColumn("_rest", F.expr(f"substring(_rest, {width + 1})"))
-        groups = (cut.groupBy("_gid", "_digit")
-                  .agg(F.count(F.lit(1)).alias("_c"), F.max("_rid").alias("_new"))
-                  .where("_c > 1").drop("_c"))
+        # Written, so that both sides of the join are shuffled anew and AQE can
+        # split a hot group; below an aggregate it could not.
+        groups = write_table(cut.groupBy("_gid", "_digit")
+                             .agg(F.count(F.lit(1)).alias("_c"), F.max("_rid").alias("_new"))
+                             .where("_c > 1").drop("_c"), "radix-groups")
         state = write_table(cut.join(groups.hint("merge"), ["_gid", "_digit"])
                             .select("_rid", F.col("_new").alias("_gid"), "_n", "_rest"), "radix-round")
         offset += width
@@ -75,8 +77,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", first:
 
     same = reduce(DataFrame.unionAll, ended)
     member = same.join(pool.select("_rid", F.col(i).alias("_id")).hint("merge"), "_rid")
-    best = member.groupBy("_gid").agg(F.max(F.struct("_id", "_rid")).alias("_top"),
-                                      F.count(F.lit(1)).alias("_size"))
+    best = write_table(member.groupBy("_gid").agg(F.max(F.struct("_id", "_rid")).alias("_top"),
+                                                  F.count(F.lit(1)).alias("_size")), "radix-best")
     decided = same.join(best.hint("merge"), "_gid").select("_rid", "_top", "_size")
     copies = pool.join(decided.hint("merge"), "_rid", "left").select(
         *p.columns,
