@@ -538,6 +538,48 @@ def q_ingest_csv(spark, sf_dir):
                         "club_type", *METRICS)
 
 
+@register("upload_sessions", with_shots(
+    "SELECT CAST(user_id AS VARCHAR) AS user_id, club_type, count(*) AS rows_imported, "
+    f"{r6('avg(carry_distance)')} AS avg_carry_yd FROM shots GROUP BY user_id, club_type"))
+def q_upload_sessions(spark, sf_dir):
+    """Raw session files of all users uploaded in one job, counted
+    from the tables (a file of the fixture holds several users' shots, so the
+    user comes from its column)."""
+    import datetime as dt
+    from shotspark.plans.ingest import upload_sessions
+    dirs = testdata.write_session_csvs(testdata.shots(spark, sf_dir), _scratch(spark, "upload csv"))
+    tables = tb.Tables(spark, _scratch(spark, "upload"))
+    upload_sessions(spark, tables, dirs, F.col("user_id"), dt.datetime(2025, 1, 1), keep=("User Id",))
+    shots = tables.shots()
+    return shots.groupBy("user_id", "club_type").agg(F.count(F.lit(1)).alias("rows_imported"),
+                                                     F.avg("carry_distance").alias("avg_carry_yd"))
+
+
+_SOME_USERS = "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')"
+
+
+@register("generate_some_users", with_shots(f"""
+SELECT CAST(user_id AS VARCHAR) AS user_id, club_type, count(*) * (CASE WHEN user_id IN ({_SOME_USERS})
+    AND user_id IN (SELECT o_custkey FROM orders WHERE o_orderpriority <> '1-URGENT') THEN 2 ELSE 1 END) AS shots
+FROM shots WHERE NOT (user_id IN ({_SOME_USERS}) AND session_id IN (SELECT o_orderkey FROM orders
+    WHERE o_orderpriority = '1-URGENT') AND user_id IN (SELECT o_custkey FROM orders WHERE o_orderpriority <> '1-URGENT'))
+GROUP BY user_id, club_type"""))
+def q_generate_some_users(spark, sf_dir):
+    """The cache of all users; then the urgent sessions go, the other
+    shots are doubled, and two segments' users are generated anew.  Users of
+    those who have no shots left keep their cached rows."""
+    tables = build_tables(spark, sf_dir, "some")
+    tb.generate(tables)
+    orders = testdata.table(spark, sf_dir, "orders")
+    tables.delete_sessions(orders.where("o_orderpriority = '1-URGENT'")
+                           .select(F.col("o_orderkey").cast("string").alias("session_id")))
+    tables.append_shots(tb.shots_from_view(testdata.shots(spark, sf_dir)))
+    users = (testdata.table(spark, sf_dir, "customer").where("c_mktsegment in ('BUILDING', 'MACHINERY')")
+             .select(F.col("c_custkey").cast("string").alias("user_id")))
+    tb.generate(tables, users=users)
+    return tb.cached_summary(tables).select("user_id", "club_type", "shots")
+
+
 # --------------------------------------------------------------------------
 # F11 drop all-NULL columns (data-dependent schema, opt-in)
 # --------------------------------------------------------------------------

@@ -1,46 +1,97 @@
-"""Session upload as a batch job (K1-K3): many CSV files for one user in one job."""
+"""Session upload as a batch job (K1-K3): many CSV files of many users in one job."""
 
 from __future__ import annotations
 
 import datetime as dt
-from typing import Sequence
+import hashlib
+from typing import NamedTuple, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotspark.sources.csv_sessions import SOURCE, file_headers, read_raw_sessions, typed_shots
+from shotspark.operators.clean import snake
+from shotspark.sources.csv_sessions import SOURCE, _paths, read_raw, typed_shots
 from shotspark.sources.tables import Tables, session_rows, with_shot_ids
 
 
-def _session_id(user_id: str, ts: dt.datetime):
-    path = F.concat_ws("/", F.lit(user_id), F.element_at(F.split(F.col(SOURCE), "/"), -1))
-    return F.sha2(F.concat_ws("|", path, F.lit(ts.isoformat())), 256)
+class Upload(NamedTuple):
+    """What became of the files of one upload."""
 
+    counts: DataFrame    # user_id, session_id, source_file, rows_imported
+    rejected: DataFrame  # source_file of files with over-long rows
+    empty: DataFrame     # source_file of files without a shot, zero bytes included
 
-def ingest_sessions(spark: SparkSession, tables: Tables, paths: str | Sequence[str], user_id: str,
-                    uploaded_at: dt.datetime | None = None) -> dict:
-    """Land CSV files for ``user_id``: shots appended first, then sessions.
+    @property
+    def rows_imported(self) -> int:
+        return self.counts.agg(F.coalesce(F.sum("rows_imported"), F.lit(0))).first()[0]
+
+
+def folder_user() -> Column:
+    """The user of a file in ``<landing>/<user_id>/<file>``."""
+    return F.url_decode(F.element_at(F.split(F.col(SOURCE), "/"), -2))
+
+
+def _zero_byte_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Files of no bytes, which Spark's scans pass over: found in the folder
+    listing, which the driver does for any read; only these are kept."""
+    sc, found = spark.sparkContext, []
+    for path in paths:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+        if fs.exists(p):
+            files = fs.listFiles(p, False)
+            while files.hasNext():
+                f = files.next()
+                name = f.getPath().getName()
+                if f.getLen() == 0 and not name.startswith(("_", ".")):
+                    found.append((f.getPath().toUri().toString().replace("file:/", "file:///", 1)
+                                  if f.getPath().toUri().toString().startswith("file:/") else f.getPath().toUri().toString(),))
+    return spark.createDataFrame(found, f"{SOURCE} string")
 
-    Each file becomes one session (id = hash of storage path and upload
-    time, so a retry yields the same ids); shot rows are typed, keyed and
-    appended to the bucketed shots table.  Files with over-long rows are
-    rejected, files with no shot row get no session.  Row counts come from
-    an ``Observation`` on the write (no second job).
+
+def upload_sessions(spark: SparkSession, tables: Tables, paths: str | Sequence[str], user: Column | str,
+                    uploaded_at: dt.datetime, batch: str | None = None, keep: Sequence[str] = ()) -> Upload:
+    """Land session files: each becomes one session of its user.
+
+    ``user`` is a column over ``source_file`` and the raw columns ``keep`` (or one
+    user's id), ``uploaded_at``
+    the time of the batch, given by the caller: the same files uploaded at
+    another time are new sessions, the same batch run again replaces itself
+    (shots and sessions carry its ``batch`` id).  The session id is a hash of
+    the file's full path and that time.  The files are parsed once, into the
+    batch's folder of shots; the sessions and counts are read from there.
     """
+    name = batch or hashlib.sha256(f"{uploaded_at.isoformat()}|{'|'.join(sorted(_paths(paths)))}".encode()).hexdigest()[:32]
+    raw = read_raw(spark, paths)
+    owner = (F.lit(user) if isinstance(user, str) else user).cast("string")
+    shots = typed_shots(raw.rows.withColumnsRenamed({k: snake(k) for k in keep}), keep=[SOURCE, *map(snake, keep)])
+    shots = shots.withColumn("user_id", owner)
+    session_id = F.sha2(F.concat_ws("|", F.col(SOURCE), F.lit(uploaded_at.isoformat())), 256)
+    shots = with_shot_ids(shots.withColumn("session_id", session_id))
+    tables.append_shots(shots, batch=name)
+    landed = (tables.batch("shots", name).groupBy("user_id", "session_id")
+              .agg(F.count(F.lit(1)).alias("rows_imported")))
+    files = raw.files.withColumn("session_id", session_id)
+    counts = landed.join(files.select("session_id", SOURCE), "session_id").select(
+        "user_id", "session_id", SOURCE, "rows_imported")
+    sessions = counts.select("user_id", F.url_decode(F.element_at(F.split(F.col(SOURCE), "/"), -1)).alias("filename"),
+                             F.col(SOURCE).alias("storage_path"))
+    tables.append_sessions(session_rows(sessions, uploaded_at=uploaded_at), batch=name)
+    every = spark.read.format("binaryFile").load(_paths(paths)).select(F.col("_metadata.file_path").alias(SOURCE))
+    empty = (every.join(counts.select(SOURCE), SOURCE, "left_anti").join(raw.rejected, SOURCE, "left_anti")
+             .unionAll(_zero_byte_files(spark, _paths(paths))))
+    return Upload(counts, raw.rejected, empty)
+
+
+def ingest_sessions(spark: SparkSession, tables: Tables, paths: str | Sequence[str], user_id: str,
+                    uploaded_at: dt.datetime | None = None) -> dict:
+    """``upload_sessions`` for one user; raises if no file has a shot."""
     ts = uploaded_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    raw, rejected = read_raw_sessions(spark, paths, with_rejected=True)
-    shots = typed_shots(raw, keep=[SOURCE])
-    shots = shots.withColumn("session_id", _session_id(user_id, ts)).withColumn("user_id", F.lit(user_id))
-    shots = with_shot_ids(shots)
-    obs = Observation("ingest")
-    tables.append_shots(shots.observe(obs, F.count(F.lit(1)).alias("rows")))
-    landed = (shots.select(F.element_at(F.split(F.col(SOURCE), "/"), -1).alias("filename"))
-                   .distinct().withColumn("user_id", F.lit(user_id)))
-    tables.append_sessions(session_rows(landed, uploaded_at=ts))
-    all_files = file_headers(spark, paths).select(SOURCE)
-    empty = all_files.join(shots.select(SOURCE).distinct(), SOURCE, "left_anti") \
-                     .join(rejected, SOURCE, "left_anti")
-    return {"rows_imported": obs.get.get("rows", 0), "rejected_files": rejected, "empty_files": empty}
+    done = upload_sessions(spark, tables, paths, user_id, ts)
+    rows = done.rows_imported
+    if not rows:
+        raise ValueError("no shots in the uploaded files")
+    return {"rows_imported": rows, "rejected_files": done.rejected, "empty_files": done.empty}
 
 
 def ingest_frame(tables: Tables, shots: DataFrame, sessions: DataFrame) -> None:

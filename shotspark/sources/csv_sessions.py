@@ -1,20 +1,24 @@
 """Raw launch-monitor session CSVs.
 
-Files may differ in header (column order, extra or missing columns).  A
-multi-path CSV read applies ONE header positionally, so files are grouped
-by their header line first and each group is read with Spark's CSV reader
-using that header as the schema; the groups are then unioned by name.
+Files may differ in header (column order, extra or missing columns), and a
+CSV read applies one schema by position.  So the first line of each file is
+taken from a line-wise read, the *distinct* headers (layouts; few) are
+collected, and all files are read in one pass by position, as wide as the
+widest header.  A join on the file's path gives each row its layout, which
+says where each column is.  No file name is collected or handed back to a
+reader, so names with blanks and any number of files are fine.
 
 Per file: header cleaned (blanks, BOM), the units row dropped (rows with an
 empty ``Player``, only when that column exists), pandas' missing markers
-(``NA``, ``n/a``, ...) -> NULL.  A row longer than its header marks the
-whole file as rejected (the reference refuses such a file); shorter rows
-get trailing NULLs.
+(``NA``, ``n/a``, ...) -> NULL.  Quotes are doubled inside quoted fields, which
+may hold line breaks.  A row longer than its header marks the whole file as
+rejected (the reference refuses such a file); shorter rows get trailing NULLs.
 """
 
 from __future__ import annotations
 
-from typing import Iterable, Sequence
+import csv
+from typing import Iterable, NamedTuple, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,82 +29,104 @@ from shotspark.functions.expr import null_if_na_text, to_double
 from shotspark.operators.clean import clean_name, snake
 from shotspark.schema import METRICS, PLAYER_TITLE
 
-OVERFLOW = "_overflow"
 SOURCE = "source_file"
 
 
+class RawSessions(NamedTuple):
+    rows: DataFrame        # raw strings under cleaned headers, plus source_file
+    rejected: DataFrame    # source_file of files with a row longer than the header
+    files: DataFrame       # source_file and header of every file with a first line
+
+
 def _paths(paths: str | Sequence[str]) -> list[str]:
     return [paths] if isinstance(paths, str) else list(paths)
 
 
+def _missing(e: AnalysisException) -> bool:
+    return (e.getCondition() or "") == "PATH_NOT_FOUND"
+
+
 def file_headers(spark: SparkSession, paths: str | Sequence[str], limit: int | None = None) -> DataFrame:
-    """(source_file, header) per CSV file, files in path order.
+    """(source_file, header) per CSV file with at least one line; with
+    ``limit`` the first files by path.
 
-    Session files are small; each is read whole once to take its first line.
+    Lines are read as lines, so a file of any size is split as usual; the
+    first line is the first row of the block that starts at byte 0.
     """
     try:
-        text = spark.read.text(_paths(paths), wholetext=True)
+        text = spark.read.text(_paths(paths))
     except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
+        if not _missing(e):
             raise
         # S3: a missing session directory means no sessions, not an error.
         return spark.createDataFrame([], f"{SOURCE} string, header string")
-    df = text.select(F.col("_metadata.file_path").alias(SOURCE),
-                     F.regexp_extract("value", r"^([^\r\n]*)", 1).alias("header"))
-    if limit is not None:
-        df = df.orderBy(SOURCE).limit(limit)
-    return df
-
-
-def _split_header(header: str) -> list[str]:
-    import csv
-    return next(csv.reader([header]))
-
-
-def _read_group(spark: SparkSession, files: list[str], header: str) -> DataFrame:
-    raw_names = _split_header(header)
-    # Positional schema: the group's own header, plus one slot that is only
-    # filled when a row is longer than the header.
-    names = [f"_c{i}" for i in range(len(raw_names))]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names]
-                          + [T.StructField(OVERFLOW, T.StringType())])
-    df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-          .csv(files).withColumn(SOURCE, F.col("_metadata.file_path")))
-    cleaned = [clean_name(n) for n in raw_names]
-    seen: dict[str, int] = {}
-    final = []
-    for n in cleaned:  # duplicate headers get a position suffix
-        seen[n] = seen.get(n, 0) + 1
-        final.append(n if seen[n] == 1 else f"{n}{seen[n]}")
-    df = df.select(SOURCE, OVERFLOW, *[null_if_na_text(F.col(c)).alias(t) for c, t in zip(names, final)])
-    if PLAYER_TITLE in final:
-        df = df.where(F.col(PLAYER_TITLE).isNotNull())
-    return df
+    first = (text.where(F.col("_metadata.file_block_start") == 0)
+             .select(F.col("_metadata.file_path").alias(SOURCE), "value", F.monotonically_increasing_id().alias("_at"))
+             .groupBy(SOURCE).agg(F.min_by("value", "_at").alias("header")))
+    df = first.withColumn("header", F.regexp_replace("header", r"\r$", ""))
+    return df.orderBy(SOURCE).limit(limit) if limit is not None else df
+
+
+def column_names(header: str) -> list[str]:
+    """Cleaned names of a header line; a name that is taken gets the first
+    free number behind it."""
+    out: list[str] = []
+    cells = [clean_name(n) for n in next(csv.reader([header]), [])]
+    for n in cells:
+        name, k = n, 2
+        while name in out or (name != n and name in cells):
+            name, k = f"{n}{k}", k + 1
+        out.append(name)
+    return out
+
+
+def read_raw(spark: SparkSession, paths: str | Sequence[str], limit: int | None = None) -> RawSessions:
+    """All session files as one raw frame of strings."""
+    heads = file_headers(spark, paths, limit)
+    # Layouts, not files: as many as there are different header lines.
+    layout_rows = heads.select("header").distinct().orderBy("header").collect()
+    layouts = [column_names(r["header"]) for r in layout_rows]
+    empty = spark.createDataFrame([], T.StructType([T.StructField(SOURCE, T.StringType())]))
+    if not layouts:
+        return RawSessions(empty, empty, heads)
+    number = F.lit(None).cast("int")
+    for k, r in enumerate(layout_rows):
+        number = F.when(F.col("header") == r["header"], k).otherwise(number)
+    width = max(map(len, layouts)) + 1  # one more shows that a row is too long
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
+    cells = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("quote", '"')
+             .option("escape", '"').option("multiLine", True).csv(_paths(paths))
+             .withColumn(SOURCE, F.col("_metadata.file_path")))
+    cells = cells.join(heads.select(SOURCE, number.alias("_layout")), SOURCE)
+    names = list(dict.fromkeys(n for names in layouts for n in names))
+    columns = []
+    for n in names:
+        cell = F.lit(None).cast("string")
+        for k, own in enumerate(layouts):
+            if n in own:
+                cell = F.when(F.col("_layout") == k, F.col(f"_c{own.index(n)}")).otherwise(cell)
+        columns.append(null_if_na_text(cell).alias(n))
+    beyond = F.lit(False)
+    for k, own in enumerate(layouts):
+        extra = [F.col(f"_c{i}").isNotNull() for i in range(len(own), width)]
+        over = extra[0]
+        for x in extra[1:]:
+            over = over | x
+        beyond = F.when(F.col("_layout") == k, over).otherwise(beyond)
+    rejected = cells.where(beyond).select(SOURCE).distinct()
+    rows = cells.select(SOURCE, "_layout", *columns)
+    if PLAYER_TITLE in names:
+        with_player = [k for k, own in enumerate(layouts) if PLAYER_TITLE in own]
+        rows = rows.where(~F.col("_layout").isin(with_player) | F.col(f"`{PLAYER_TITLE}`").isNotNull())
+    return RawSessions(rows.drop("_layout").join(rejected, SOURCE, "left_anti"), rejected, heads)
 
 
 def read_raw_sessions(spark: SparkSession, paths: str | Sequence[str], limit: int | None = None,
                       with_rejected: bool = False):
-    """All session files as one raw frame of strings (Title Case
-    headers, cleaned), plus ``source_file``.
-
-    Files with a row longer than their header are removed (anti-join on the
-    rejected file set); ``with_rejected=True`` also returns that set.
-    """
-    heads = file_headers(spark, paths, limit)
-    # Collected: distinct headers with their file lists (file names only,
-    # which Spark's own file index already holds on the driver).
-    groups = (heads.groupBy("header").agg(F.sort_array(F.collect_list(SOURCE)).alias("files"))
-                   .orderBy("header").collect())
-    frames = [_read_group(spark, list(g["files"]), g["header"]) for g in groups]
-    if not frames:
-        empty = spark.createDataFrame([], T.StructType([T.StructField(SOURCE, T.StringType())]))
-        return (empty, empty) if with_rejected else empty
-    raw = frames[0]
-    for f in frames[1:]:
-        raw = raw.unionByName(f, allowMissingColumns=True)
-    rejected = raw.where(F.col(OVERFLOW).isNotNull()).select(SOURCE).distinct()
-    good = raw.join(rejected, SOURCE, "left_anti").drop(OVERFLOW)
-    return (good, rejected) if with_rejected else good
+    """The rows of ``read_raw``; ``with_rejected=True`` also returns the
+    rejected files."""
+    raw = read_raw(spark, paths, limit)
+    return (raw.rows, raw.rejected) if with_rejected else raw.rows
 
 
 def typed_shots(raw: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
@@ -122,15 +148,15 @@ def read_sessions(spark: SparkSession, paths: str | Sequence[str], limit: int |
     return typed_shots(read_raw_sessions(spark, paths, limit), keep=keep)
 
 
-def concat_sessions(frames: Iterable[DataFrame | None]) -> DataFrame | None:
+def concat_sessions(spark: SparkSession, frames: Iterable[DataFrame | None]) -> DataFrame:
     """Union by name with outer columns; None frames skipped (no row
-    count is taken, empty frames union to nothing)."""
+    count is taken); no frame at all gives an empty one."""
     out = None
     for f in frames:
         if f is None:
             continue
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)
-    return out
+    return spark.createDataFrame([], T.StructType([])) if out is None else out
 
 
 def merge_stats(raw: DataFrame) -> DataFrame:

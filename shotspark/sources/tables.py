@@ -160,6 +160,10 @@ class Tables:
         entry = self.live(table)
         return self._folders(table, entry["folders"] if entry else [])
 
+    def batch(self, table: str, batch: str) -> DataFrame:
+        """The rows of one batch, as it was written."""
+        return self._folders(table, [[f"data/batch={batch}", None]])
+
     def tombstones(self, kind: str) -> DataFrame:
         return self._read(kind)
 

@@ -88,16 +88,19 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(*SESSION_SELECT)
 
 
-def write_session_csvs(shots_df: DataFrame, out_dir: str, files: int = 16) -> list[str]:
+def write_session_csvs(shots_df: DataFrame, out_dir: str, shots_per_file: int = 5000) -> list[str]:
     """Export shots as raw launch-monitor CSVs (Title Case header, a units
     row with an empty Player, one row per shot) in two header layouts:
 
     A: Player, User Id, Session Id, Club Type, metrics in file order.
     B: BOM + padded headers, reversed metric order, an extra Note column,
        NULL written as ``NA``.
-    Users are split between the layouts by key parity; returns the two dirs.
+    Users are split between the layouts by key parity; returns the two dirs,
+    whose names hold a blank.  Notes hold commas, doubled quotes and a line
+    break.  The number of files follows the number of shots.
     """
     from pyspark.sql import functions as F
+    files = max(2, -(-shots_df.count() // shots_per_file))
     from shotspark.schema import METRIC_TITLES
 
     def layout(df, cols, bom, null_value, path):
@@ -111,14 +114,16 @@ def write_session_csvs(shots_df: DataFrame, out_dir: str, files: int = 16) -> li
         if bom:
             names = ["\ufeff" + names[0]] + [f" {n} " if n == "Club Type" else n for n in names[1:]]
         (out.drop("_file", "_data").toDF(*names)
-            .write.mode("overwrite").option("header", True).option("nullValue", null_value).csv(path))
+            .write.mode("overwrite").option("header", True).option("nullValue", null_value)
+            .option("escape", '"').csv(path))
         return path
 
     base = shots_df.withColumn("_file", F.pmod(F.xxhash64("session_id"), F.lit(files)))
     keys = [("Player", "user_id"), ("User Id", "user_id"), ("Session Id", "session_id"), ("Club Type", "club_type")]
     metrics = [(t, s) for t, s in METRIC_TITLES]
     a = layout(base.where(F.pmod(F.col("user_id"), F.lit(2)) == 0), keys + metrics, False, "",
-               f"{out_dir}/layout_a")
-    b_df = base.where(F.pmod(F.col("user_id"), F.lit(2)) == 1).withColumn("_note", F.lit("x"))
-    b = layout(b_df, keys + metrics[::-1] + [("Note", "_note")], True, "NA", f"{out_dir}/layout_b")
+               f"{out_dir}/layout a")
+    b_df = base.where(F.pmod(F.col("user_id"), F.lit(2)) == 1).withColumn(
+        "_note", F.when(F.pmod(F.col("session_id"), F.lit(3)) == 0, F.lit('said "hi, there"\nand left')).otherwise(F.lit('a "b", c')))
+    b = layout(b_df, keys + metrics[::-1] + [("Note", "_note")], True, "NA", f"{out_dir}/layout b")
     return [a, b]

@@ -92,7 +92,7 @@ def test_ingest_delete_compact_roundtrip(spark, tmpdir_path):
     res = ingest_sessions(spark, t, f"{tmpdir_path}/up", "user-1", uploaded_at=dt.datetime(2025, 1, 1))
     assert res["rows_imported"] == 3
     sessions = t.sessions().collect()
-    assert len(sessions) == 2 and {s["storage_path"] for s in sessions} == {"user-1/s1.csv", "user-1/s2.csv"}
+    assert len(sessions) == 2 and {s["storage_path"].rsplit("/", 1)[1] for s in sessions} == {"s1.csv", "s2.csv"}
     # per-user read prunes to the user's bucket
     assert tb.fetch_shots(t, "user-1").count() == 3
     # generate the cache, then delete a session: cache stays (stale, as the reference)
@@ -203,6 +203,30 @@ def test_session_stream_ingest(spark, tmpdir_path):
     assert {r["user_id"] for r in t.sessions().collect()} == {"user-9"}
 
 
+def test_upload_of_many_users(spark, tmpdir_path):
+    from shotspark.plans.ingest import folder_user, upload_sessions
+    t = tb.Tables(spark, f"{tmpdir_path}/tables", buckets=4)
+    note = HEAD_A.replace("Launch Direction", "Launch Direction,Note")
+    write(f"{tmpdir_path}/up/u 1/s.csv", note + ',,,,,\np,7i,150,100,1,"said ""hi, there"""\np,8i,140,95,1,"two\nlines"\n')
+    write(f"{tmpdir_path}/up/u2/s.csv", HEAD_A + UNITS_A + "p,D,250,150,0\n")
+    write(f"{tmpdir_path}/up/u2/long.csv", HEAD_A + "p,D,250,150,0,9\n")
+    write(f"{tmpdir_path}/up/u2/empty.csv", "")
+    write(f"{tmpdir_path}/up/u2/units.csv", HEAD_A + UNITS_A)
+    dirs = [f"{tmpdir_path}/up/u 1", f"{tmpdir_path}/up/u2"]
+    for _ in range(2):  # the second run replays the batch
+        done = upload_sessions(spark, t, dirs, folder_user(), dt.datetime(2025, 1, 1))
+    assert done.rows_imported == 3 and t.shots().count() == 3 and t.sessions().count() == 2
+    assert {(r["user_id"], r["filename"]) for r in t.sessions().collect()} == {("u 1", "s.csv"), ("u2", "s.csv")}
+    assert [r[0].rsplit("/", 1)[1] for r in done.rejected.collect()] == ["long.csv"]
+    assert sorted(r[0].rsplit("/", 1)[1] for r in done.empty.collect()) == ["empty.csv", "units.csv"]
+    upload_sessions(spark, t, dirs, folder_user(), dt.datetime(2025, 1, 2))  # a re-upload is new
+    assert t.shots().count() == 6 and t.sessions().count() == 4
+
+
+def test_duplicate_headers():
+    assert csvs.column_names("X, X ,X2,\ufeffY") == ["X", "X3", "X2", "Y"]
+
+
 def test_save_deliverables_roundtrip(spark, tmpdir_path):
     from shotspark.operators import deliverables as dv
     from shotspark.sources import testdata
