@@ -62,14 +62,25 @@ class Model:
 
 def _pieces(column: pa.Array):
     """Buckets of all subwords, in pieces of bounded size: (text number of each
-    subword, bucket)."""
+    subword, bucket).  Texts are taken about _PIECE bytes at a time, longer
+    ones alone."""
     data, offsets = text_buffer(column)
+    rows, at = len(offsets) - 1, 0
+    while at < rows:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _PIECE, "right")) - 1)
+        for text, bucket in _subwords(data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at]):
+            yield text + at, bucket
+        at = to
+
+
+def _subwords(data: np.ndarray, offsets: np.ndarray):
     rows = len(offsets) - 1
-    if not rows:
-        return
     # One boundary before each text and one behind the last.
     whole = np.full(len(data) + rows + 1, 0x20, np.uint8)
-    whole[np.arange(len(data)) + np.repeat(np.arange(1, rows + 1), np.diff(offsets))] = _BYTE[data]
+    if rows == 1:
+        whole[1:-1] = _BYTE[data]
+    else:
+        whole[np.arange(len(data)) + np.repeat(np.arange(1, rows + 1), np.diff(offsets))] = _BYTE[data]
     first = offsets + np.arange(rows + 1)
     last = len(whole)
     for a in range(0, last - 1, _PIECE):

@@ -161,7 +161,7 @@ def encode_texts(spec: str, texts: pa.Array) -> list[np.ndarray]:
     return [gather(flat, start, length, index[a:b]) for a, b in zip(ends[:-1], ends[1:])]
 
 
-def _to_records(spec, end_id: int, batch_bytes: int = 1 << 25):
+def _to_records(spec, end_id: int, batch_bytes: int = 1 << 24):
     def run(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.large_string())
