@@ -185,6 +185,7 @@ def carry_extremes(df: DataFrame, by: Sequence[str] = (), value: str = "Base Car
     else by club name ascending with the NULL club last (the order grouped
     results come out in).
     """
+    require_columns(df, [value, club], "carry_extremes")
     v = F.col(f"`{value}`")
     c = F.col(club)
     tie = [F.col(position)] if position else [c.isNull(), c]

@@ -580,6 +580,47 @@ def q_generate_some_users(spark, sf_dir):
     return tb.cached_summary(tables).select("user_id", "club_type", "shots")
 
 
+# --------------------------------------------------------------------------
+# K9-K11, S6, S7 CSV results; F14, F19, R3
+# --------------------------------------------------------------------------
+@register("deliverables_csv", _CLUB_SUMMARY_ORACLE)
+def q_deliverables_csv(spark, sf_dir):
+    """The deliverables written as CSV and the club summary loaded again by
+    its name in the registry."""
+    from shotspark.sources import sinks
+    found = dv.deliverables(testdata.shots(spark, sf_dir), by=BY, materialize=True)
+    paths = sinks.save_deliverables(found, _scratch(spark, "csv out"))
+    back = sinks.load(spark, "club_summary", path=paths["club_summary"])
+    types = dict(found.club_summary.dtypes)
+    return back.select(*[F.col(c).cast(types[c]).alias(c) for c in back.columns])
+
+
+@register("face_variance_derived", with_shots(_FV_BODY.replace("FROM shots", "FROM derived"),
+          "derived AS (SELECT * REPLACE (club_face - club_path AS face_to_path) FROM shots)"))
+def q_face_variance_derived(spark, sf_dir):
+    """Shots without a face-to-path column: it is the difference of two others."""
+    return dv.face_variance(testdata.shots(spark, sf_dir).drop("face_to_path"), by=BY)
+
+
+@register("one_club_shots", with_shots(
+    "SELECT user_id, session_id, club_type, " + ", ".join(f"{r6(m)} AS {m}" for m in METRICS)
+    + " FROM shots WHERE club_type = '7i'"))
+def q_one_club_shots(spark, sf_dir):
+    """The choice of a club is the feature; all users' shots with it."""
+    return cl.for_club(testdata.shots(spark, sf_dir), "7i")
+
+
+_ONE_METRIC = PERFORMANCE_METRICS[0][1]
+
+
+@register("performance_one_metric", with_shots(
+    f"SELECT user_id, club_type, metric, {r6('value')} AS value, rank() OVER ("
+    "PARTITION BY user_id, metric ORDER BY value DESC NULLS LAST) AS rank FROM perf "
+    f"WHERE metric = '{_ONE_METRIC}'", _PERF_CTE))
+def q_performance_one_metric(spark, sf_dir):
+    return rs.performance_chart_data(testdata.shots(spark, sf_dir), by=BY, metric=_ONE_METRIC)
+
+
 # --------------------------------------------------------------------------
 # F11 drop all-NULL columns (data-dependent schema, opt-in)
 # --------------------------------------------------------------------------

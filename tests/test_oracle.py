@@ -1,34 +1,16 @@
 """Every registered query against its DuckDB oracle at sf0.001 (the driver's
 check, on the smallest tables)."""
 
-import datetime as dt
-import hashlib
-import math
 import os
 
 import duckdb
 import pytest
 
 import __spark_entry__ as E
+from scripts.check_oracle import TABLES, digest
+from shotspark.plans import catalog
 from tests.conftest import SF_SMALL
 
-TABLES = ("region nation customer supplier part orders lineitem events documents "
-          "embeddings pages benchmark labels conversations").split()
-
-
-def _norm(v):
-    if isinstance(v, float):
-        return "NaN" if math.isnan(v) else repr(v + 0.0)
-    if isinstance(v, (dt.datetime, dt.date)):
-        return v.isoformat()
-    return repr(v)
-
-
-def _digest(cols, rows):
-    order = sorted(range(len(cols)), key=lambda i: cols[i])
-    lines = sorted("|".join(_norm(r[i]) for i in order) for r in rows)
-    return hashlib.sha256("\n".join(lines).encode()).hexdigest()
-
 
 @pytest.fixture(scope="module")
 def duck():
@@ -46,10 +28,11 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLE)
+    assert set(catalog.QUERIES) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     sdf = E.queries()[name](spark, SF_SMALL)
     srows = [tuple(r) for r in sdf.collect()]
@@ -58,4 +41,4 @@ def test_query_matches_oracle(spark, duck, name):
     drows = cur.fetchall()
     assert sorted(sdf.columns) == sorted(dcols)
     assert len(srows) == len(drows)
-    assert _digest(sdf.columns, srows) == _digest(dcols, drows)
+    assert digest(sdf.columns, srows) == digest(dcols, drows)
