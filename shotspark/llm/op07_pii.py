@@ -131,9 +131,9 @@ def propose(df: DataFrame, text: str) -> DataFrame:
 
 # -- the model ---------------------------------------------------------------------
 
-def default_sentences(seed: int = 5, each: int = 60) -> list[tuple[str, int]]:
-    """The small labelled table: sentences with one proposal each, and whether
-    it is personal data."""
+def default_sentences(seed: int = 5, each: int = 60) -> list[tuple[str, str]]:
+    """The small labelled table: sentences, and the kind of personal data in
+    them ('' for none).  Proposals of another kind are wrong."""
     rng = np.random.default_rng(seed)
     word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(3, 9))))
     num = lambda n: "".join(rng.choice(list("0123456789"), n))
@@ -153,15 +153,15 @@ def default_sentences(seed: int = 5, each: int = 60) -> list[tuple[str, int]]:
         says = rng.choice(["call me on ", "phone: ", "my mobile is ", "tel ", "reach us at ", "fax "])
         about = rng.choice(["order ", "invoice no ", "part ", "serial ", "build ", "ref ", "model ", "score "])
         a, b = word(), word()
-        out += [(f"{a} write to {word()}{at}{word()}{dot}com {b}", 1),
-                (f"{a} {says}{local} {b}", 1), (f"{a} {about}{local} {b}", 0), (f"{a} {word()} {local} {b}", 0),
-                (f"{a} {about}={num(3)}-{num(3)}-{num(4)} {b}", 0),
-                (f"{a} pay by card {card(True)} {b}", 1), (f"{a} pay by card {card(False)} {b}", 0),
-                (f"{a} {about}{num(int(rng.choice([8, 10, 12, 16])))} {b}", 0), (f"{a} {num(int(rng.integers(2, 9)))} {b}", 0),
-                (f"{a} host {octet()}.{octet()}.{octet()}.{octet()} {b}", 1),
-                (f"{a} version {octet()}.{num(4)}.{octet()}.{num(5)} {b}", 0),
-                (f"{a} mail {word()}@{word()}.org {b}", 1), (f"{a} call +1 ({num(3)}) {num(3)}-{num(4)} {b}", 1),
-                (f"{a} +{num(1)} {num(2)} {num(2)} {b}", 0), (f"{a} meet {word()} (at) {num(1)}.{num(2)} {b}", 0)]
+        out += [(f"{a} write to {word()}{at}{word()}{dot}com {b}", "email"),
+                (f"{a} {says}{local} {b}", "phone"), (f"{a} {about}{local} {b}", ""), (f"{a} {word()} {local} {b}", ""),
+                (f"{a} {about}={num(3)}-{num(3)}-{num(4)} {b}", ""),
+                (f"{a} pay by card {card(True)} {b}", "card"), (f"{a} pay by card {card(False)} {b}", ""),
+                (f"{a} {about}{num(int(rng.choice([8, 10, 12, 16])))} {b}", ""), (f"{a} {num(int(rng.integers(2, 9)))} {b}", ""),
+                (f"{a} host {octet()}.{octet()}.{octet()}.{octet()} {b}", "ip"),
+                (f"{a} version {octet()}.{num(4)}.{octet()}.{num(5)} {b}", ""),
+                (f"{a} mail {word()}@{word()}.org {b}", "email"), (f"{a} call +1 ({num(3)}) {num(3)}-{num(4)} {b}", "phone"),
+                (f"{a} +{num(1)} {num(2)} {num(2)} {b}", ""), (f"{a} meet {word()} (at) {num(1)}.{num(2)} {b}", "")]
     return out
 
 
@@ -221,18 +221,17 @@ def _tree_sql(tree) -> str:
     return f"if(y.f{f} <= {t}, {_tree_sql(a)}, {_tree_sql(b)})"
 
 
-def train(spark: SparkSession, sentences: list[tuple[str, int]] | None = None, **how):
+def train(spark: SparkSession, sentences: list[tuple[str, str]] | None = None, **how):
     """Fit on the labelled sentences; their features come from the SQL below."""
     rows = sentences or default_sentences()
-    table = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(rows)], "k int, t string, y int")
+    table = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(rows)], "k int, t string, y string")
     every = F.concat(*[F.col(f"_x_{name}") for name, *_ in GENERATORS])
     found = propose(table, "t").select("k", "y", F.explode(every).alias("x"))
     found = found.select("k", "y", *[F.expr(sql).cast("int").alias(f"f{k}") for k, (_, sql) in enumerate(FEATURES)])
     got = sorted(tuple(r) for r in found.collect())
     x = np.array([r[2:] for r in got], float)
-    y = np.array([r[1] for r in got], float)
-    # Small numbers inside a sentence about something else are proposals too: never personal.
-    y[x[:, 1] < 7] *= np.isin(x[:, 0], (0, 1, 4))[x[:, 1] < 7]
+    # A proposal is right if it is of the sentence's kind (feature 0 is its generator).
+    y = np.array([GENERATORS[r[2]][1] == r[1] for r in got], float)
     return fit_trees(x, y, **how)
 
 

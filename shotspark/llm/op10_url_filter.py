@@ -83,7 +83,7 @@ def _grams(host: str, path: str) -> list[int]:
     return out
 
 
-def train(urls: list[tuple[str, int]], steps: int = 400, rate: float = 30.0, decay: float = 1e-5
+def train(urls: list[tuple[str, int]], steps: int = 1500, rate: float = 60.0, decay: float = 1e-6
           ) -> tuple[int, list[int]]:
     """Logistic regression by full-batch gradient descent on mean trigram
     counts; returns the integer bias and bucket weights."""
