@@ -13,7 +13,8 @@ from typing import NamedTuple, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotspark.functions.expr import is_finite, to_double
+from shotspark.functions.expr import is_finite, nan_to_null, to_double
+from shotspark.operators.deliverables import require_columns
 from shotspark.schema import CORRIDOR_LEVEL, ELLIPSE_MIN_POINTS, ELLIPSE_POINTS, ELLIPSE_SIGMA
 
 CLUB = "club_type"
@@ -32,8 +33,9 @@ def corridor(df: DataFrame, col: str = "finish_x", level: float = CORRIDOR_LEVEL
     Exact ``percentile`` keeps a value->count map per group, so a hot group
     ships its distinct values, not its rows.
     """
+    require_columns(df, [*by, col], "corridor")
     lo, hi = corridor_bounds(level)
-    x = to_double(F.col(col)) if dict(df.dtypes)[col] == "string" else F.col(col)
+    x = to_double(F.col(col)) if dict(df.dtypes)[col] == "string" else nan_to_null(F.col(col).cast("double"))
     q = F.percentile(x, [lo, hi])
     out = df.groupBy(*by).agg(q.alias("_q"), F.avg(x).alias("mean_x"))
     return out.select(*by, F.col("_q")[0].alias("corridor_lower"),
@@ -56,6 +58,7 @@ def ellipse(df: DataFrame, x: str = "finish_x", y: str = "finish_y",
     2 * n_sigma * sqrt(max(lambda, 0));  major-axis angle 0.5 * atan2(2b, a - c).
     Groups with fewer than ``min_points`` finite rows produce no row.
     """
+    require_columns(df, [*by, x, y], "ellipse")
     pts = df.where(is_finite(x) & is_finite(y))
     s = pts.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"),
@@ -98,11 +101,13 @@ def ellipse_path(ell: DataFrame, by: Sequence[str] = (), n: int = ELLIPSE_POINTS
 
 def dispersion_points(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Scatter points of the finish dispersion chart."""
+    require_columns(df, [*by, CLUB, "finish_x", "finish_y"], "dispersion_points")
     return df.select(*by, CLUB, "finish_x", "finish_y")
 
 
 def start_vs_curve_points(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Scatter points of the start-vs-curve chart."""
+    require_columns(df, [*by, CLUB, "start_yards", "curve_yards"], "start_vs_curve_points")
     return df.select(*by, CLUB, "start_yards", "curve_yards")
 
 
@@ -113,6 +118,7 @@ def club_dispersion(df: DataFrame, club: str | None = None, by: Sequence[str] =
     keys; a hot group is split by AQE's skew-join handling instead of being
     gathered into one window task.
     """
+    require_columns(df, [*by, CLUB, "carry_deviation_distance", "carry_distance"], "club_dispersion")
     pts = df.where(F.col(CLUB).isNotNull() if club is None else F.col(CLUB) == club)
     pts = pts.select(*by, CLUB, "carry_deviation_distance", "carry_distance")
     means = pts.groupBy(*by, CLUB).agg(F.avg("carry_distance").alias("mean_carry"))

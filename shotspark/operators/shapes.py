@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotspark.functions.expr import np_round, shape_label
+from shotspark.operators.deliverables import require_columns
 from shotspark.schema import CURVE_TOL, START_TOL
 
 CLUB = "club_type"
@@ -21,6 +22,7 @@ DECOMPOSE_REQUIRED = [CLUB, "carry_distance", "carry_deviation_distance", "launc
 def start_curve_finish(df: DataFrame) -> DataFrame:
     """Keep complete rows, then start = carry * tan(launch direction),
     finish = (carry deviation distance, carry), curve = finish_x - start."""
+    require_columns(df, ["carry_distance", "carry_deviation_distance", "launch_direction"], "start_curve_finish")
     present = [c for c in DECOMPOSE_REQUIRED if c in df.columns]
     out = df.na.drop(subset=present) if present else df
     start = F.col("carry_distance") * F.tan(F.radians("launch_direction"))
