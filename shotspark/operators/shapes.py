@@ -42,27 +42,31 @@ def shape_summary(df: DataFrame, by: Sequence[str] = (), decimals: int = 2,
     shapes skipped), mean start / curve / finish and sample std of finish,
     numerics rounded to ``decimals``.
 
-    The labels are few and known, so each has a conditional count in the one
-    hash aggregate, and the most common one is the least (-count, label).
-    Labels outside ``SHAPES`` (a caller's own ``shape`` column) are not counted.
-    ``sort=True`` adds the display order (shots desc, club asc), a
-    range-partitioned sort.
+    The labels made here are few and known, so each has a conditional count in
+    the one hash aggregate, and the most common one is the least (-count,
+    label).  A caller's own ``shape`` column may hold any label and goes
+    through ``mode``, whose label->count map per group holds as many entries as
+    there are labels.  ``sort=True`` adds the display order (shots desc, club
+    asc), a range-partitioned sort.
     """
-    if "shape" not in df.columns:
-        df = shape_labels(df)
+    own = "shape" in df.columns
+    df = df if own else shape_labels(df)
+    counts = ([F.mode("shape", True).alias("most_common_shape")] if own else
+              [F.count(F.when(F.col("shape") == label, 1)).alias(f"_n{k}") for k, label in enumerate(SHAPES)])
     out = df.groupBy(*by, CLUB).agg(
         F.count(F.lit(1)).alias("shots"),
-        *[F.count(F.when(F.col("shape") == label, 1)).alias(f"_n{k}") for k, label in enumerate(SHAPES)],
+        *counts,
         np_round(F.avg("start_yards"), decimals).alias("avg_start_yards"),
         np_round(F.avg("curve_yards"), decimals).alias("avg_curve_yards"),
         np_round(F.avg("finish_x"), decimals).alias("avg_finish_yards"),
         np_round(F.stddev_samp("finish_x"), decimals).alias("finish_std_yards"),
     )
-    # Labels that do not occur drop out as NULL, which ``least`` skips.
-    most = F.least(*[F.when(F.col(f"_n{k}") > 0, F.struct(-F.col(f"_n{k}"), F.lit(label).alias("label")))
-                     for k, label in enumerate(SHAPES)])
-    out = out.select(*by, CLUB, "shots", most["label"].alias("most_common_shape"),
-                     "avg_start_yards", "avg_curve_yards", "avg_finish_yards", "finish_std_yards")
+    if not own:
+        # Labels that do not occur drop out as NULL, which ``least`` skips.
+        most = F.least(*[F.when(F.col(f"_n{k}") > 0, F.struct(-F.col(f"_n{k}"), F.lit(label).alias("label")))
+                         for k, label in enumerate(SHAPES)])
+        out = out.select(*by, CLUB, "shots", most["label"].alias("most_common_shape"),
+                         "avg_start_yards", "avg_curve_yards", "avg_finish_yards", "finish_std_yards")
     if sort:
         out = out.orderBy(*by, F.desc("shots"), F.asc_nulls_last(CLUB))
     return out
