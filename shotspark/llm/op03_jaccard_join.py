@@ -313,9 +313,11 @@ def _near(batches):
         yield batch.filter(pa.array(np.array(d, np.int64) <= most)).select(["a", "b"])
 
 
-def _close_pairs(own, fp, root, n, sk, across: bool):
+def _close_pairs(key, own, fp, root, n, sk, keys, across: bool):
     """Pairs of one block in different components whose sizes and sketches are
-    near enough; ``sk`` is a matrix of sketch words."""
+    near enough; ``sk`` is a matrix of sketch words.  A pair that shares several
+    blocks is given by the one with the smallest name alone: ``keys`` has the
+    open blocks of each document, in order."""
     left, right = [], []
     for x in range(len(fp)):
         y = np.flatnonzero((root[x + 1:] != root[x]) & ((own[x + 1:] != own[x]) if across else True)) + x + 1
@@ -323,6 +325,7 @@ def _close_pairs(own, fp, root, n, sk, across: bool):
         if len(y):
             d = np.bitwise_count(sk[y] ^ sk[x]).sum(axis=1, dtype=np.int64)
             y = y[d <= (n[y] + n[x]) // 9]
+            y = y[[np.intersect1d(keys[x], keys[k], assume_unique=True)[0] == key for k in y]] if len(y) else y
             left.append(np.full(len(y), fp[x])), right.append(fp[y])
     if not left:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -347,9 +350,9 @@ def _near_across(batches):
     names = ("key", "i", "j", "own", "fp", "r", "n")
     held = None
 
-    def close(cols, sks):
+    def close(cols, sks, keys):
         own, fp, root, n = cols[3:]
-        return _close_pairs(own, fp, root, n, _fold(sks), cols[1][0] != cols[2][0])
+        return _close_pairs(cols[0][0], own, fp, root, n, _fold(sks), keys, cols[1][0] != cols[2][0])
 
     def rows(found):
         a = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
@@ -359,14 +362,16 @@ def _near_across(batches):
 
     for batch in batches:
         cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        sks = batch.column("sk").to_pylist()
+        sks, lists = batch.column("sk").to_pylist(), batch.column("keys")
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy())
+        keys = np.split(flat, ends[:-1]) if len(ends) else []
         if held is not None:
-            cols, sks = [np.concatenate([x, y]) for x, y in zip(held[0], cols)], held[1] + sks
+            cols, sks, keys = [np.concatenate([x, y]) for x, y in zip(held[0], cols)], held[1] + sks, held[2] + keys
         cut = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
         cut = np.concatenate([[0], cut])
-        found = [close([c[x:y] for c in cols], sks[x:y]) for x, y in zip(cut[:-1], cut[1:]) if y - x > 1]
+        found = [close([c[x:y] for c in cols], sks[x:y], keys[x:y]) for x, y in zip(cut[:-1], cut[1:]) if y - x > 1]
         last = cut[-1]
-        held = [c[last:] for c in cols], sks[last:]
+        held = [c[last:] for c in cols], sks[last:], list(keys[last:])
         if found:
             yield rows(found)
     if held is not None and len(held[1]) > 1:
@@ -444,12 +449,14 @@ def _join(p: DataFrame, text: str, id: str) -> tuple[DataFrame, DataFrame, DataF
         rooted(shared.select("key", F.col("hub").alias("fp")).distinct(), "fp", "r").select("fp", "key", "r")).distinct()
     open_ = write_table(held.groupBy("key").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count(F.lit(1)).alias("c"))
                         .where("lo <> hi").select("key", F.ceil(F.col("c") / GROUP).alias("groups")), "jaccard-open")
-    held = held.join(open_, "key").join(sets.select(F.col("_fp").alias("fp"), F.col("_n").alias("n"),
+    held = write_table(held.join(open_, "key"), "jaccard-held")
+    keys = held.groupBy("fp").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # at most a document's blocks
+    held = held.join(keys, "fp").join(sets.select(F.col("_fp").alias("fp"), F.col("_n").alias("n"),
                                                     F.col("_sketch").alias("sk")), "fp")
     held = held.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("groups")))
-    held = held.select("key", "own", "fp", "r", "n", "sk", F.explode(F.expr(
+    held = held.select("key", "own", "fp", "r", "n", "sk", "keys", F.explode(F.expr(
         "transform(sequence(0L, groups - 1), g -> struct(least(own, g) as i, greatest(own, g) as j))")).alias("at"))
-    held = held.select("key", "at.i", "at.j", "own", "fp", "r", "n", "sk")
+    held = held.select("key", "at.i", "at.j", "own", "fp", "r", "n", "sk", "keys")
     cross = (held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
              .mapInArrow(_near_across, "a long, b long").distinct())
     new = _links(cross, tagged, sets, "_text")
@@ -479,13 +486,14 @@ def one_per_component(docs: DataFrame, text: str = "text", id: str = "doc_id") -
     p, names = positional(docs)
     t, i = position(names, text), position(names, id)
     rows, root, _ = _join(p, t, i)
-    stay = (_with_component(rows, root).where("_n > 0").groupBy("_root")
-            .agg(F.min(F.struct("_id", "_fp")).alias("s")).select("s.*"))
+    found = _with_component(rows, root).where("_n > 0")
+    each = found.groupBy("_root", "_id", "_fp").agg(F.count(F.lit(1)).alias("_c"))
+    stay = write_table(each.groupBy("_root").agg(F.min(F.struct("_id", "_fp", "_c")).alias("s")).select("s.*"), "jaccard-stay")
     full = _tagged(p, t)
-    linked = (full.where("_n > 0")
-              .join(stay.withColumnRenamed("_fp", "_f"),
-                    (F.col("_fp") == F.col("_f")) & F.col(i).eqNullSafe(F.col("_id")), "left_semi")
-              .dropDuplicates(["_fp"]))
+    linked = full.where("_n > 0").join(stay.withColumnRenamed("_fp", "_f"),
+                                       (F.col("_fp") == F.col("_f")) & F.col(i).eqNullSafe(F.col("_id")), "left_semi")
+    if not stay.where("_c > 1").isEmpty():  # repeated rows of one id and set: one of them
+        linked = linked.dropDuplicates(["_fp"])
     out = linked.unionByName(full.where("_n = 0")).select(*p.columns)
     return restore(out, names, [])
 
