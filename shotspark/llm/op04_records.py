@@ -116,28 +116,26 @@ def _word_by_word(spec: str) -> bool:
             and r"\s\p{L}\p{N}" in pres[0]["pattern"].get("Regex", "") and not s.get("post_processor"))
 
 
-def _encode_words(tokenizer, words: list[str]) -> list:
-    """Ids of each word.  A thousand words go into one call, parted by a mark
-    that is a token of its own; words that hold the mark go alone."""
+def _encode_words(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words in one array, and how many each word has.  A thousand
+    words go into one call, parted by a mark that is a token of its own; where
+    a word holds the mark, its thousand go one by one."""
     mark = tokenizer.encode(_MARK, add_special_tokens=False).ids
-    out: list = [None] * len(words)
-    if len(mark) != 1:
-        return [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
-    alone = [k for k, w in enumerate(words) if _MARK in w]
-    for k, e in zip(alone, tokenizer.encode_batch([words[k] for k in alone], add_special_tokens=False)):
-        out[k] = e.ids
-    rest = [k for k in range(len(words)) if out[k] is None]
-    for a in range(0, len(rest), 1000):
-        some = rest[a:a + 1000]
-        ids = np.array(tokenizer.encode(f" {_MARK} ".join(words[k] for k in some), add_special_tokens=False).ids, np.uint32)
-        cut = np.flatnonzero(ids == mark[0])
-        if len(cut) != len(some) - 1:  # never seen; the plain way is always right
-            for k in some:
-                out[k] = tokenizer.encode(words[k], add_special_tokens=False).ids
-            continue
-        for k, part in zip(some, np.split(ids, cut)):
-            out[k] = part[1:] if k != some[0] else part
-    return out
+    flat, length = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for a in range(0, len(words), 1000):
+        some = words[a:a + 1000]
+        text = f" {_MARK} ".join(some)
+        if len(mark) == 1 and text.count(_MARK) == len(some) - 1:
+            ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            cut = np.flatnonzero(ids == mark[0])
+            if len(cut) == len(some) - 1:
+                flat.append(ids[ids != mark[0]])
+                length.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
+                continue
+        each = [tokenizer.encode(w, add_special_tokens=False).ids for w in some]
+        flat.append(np.array([i for e in each for i in e], np.uint32))
+        length.append(np.array([len(e) for e in each], np.int64))
+    return np.concatenate(flat), np.concatenate(length)
 
 
 def encode_texts(spec: str, texts: pa.Array) -> list[np.ndarray]:
@@ -153,15 +151,13 @@ def encode_texts(spec: str, texts: pa.Array) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
     pieces = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
     coded = pieces.flatten().dictionary_encode()
-    ids = _encode_words(tokenizer, coded.dictionary.to_pylist())
-    length = np.array([len(x) for x in ids], np.int64)
-    flat = np.concatenate([np.asarray(x, np.uint32) for x in ids]) if ids else np.zeros(0, np.uint32)
+    flat, length = _encode_words(tokenizer, coded.dictionary.to_pylist())
     start, index = np.cumsum(length) - length, coded.indices.to_numpy()
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(pieces).to_numpy(), dtype=np.int64)])
     return [gather(flat, start, length, index[a:b]) for a, b in zip(ends[:-1], ends[1:])]
 
 
-def _to_records(spec, end_id: int, batch_bytes: int = 1 << 24):
+def _to_records(spec, end_id: int, batch_bytes: int = 3 << 23):
     def run(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.large_string())
