@@ -195,9 +195,9 @@ def _apply(tree, x: np.ndarray) -> np.ndarray:
 
 
 def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3, precision: float = 0.99):
-    """Gradient boosting with logistic loss; every third row calibrates the
+    """Gradient boosting with logistic loss; a random third calibrates the
     threshold.  Returns trees, bias and threshold (on the summed score)."""
-    keep = np.arange(len(y)) % 3 > 0
+    keep = np.random.default_rng(1).permutation(len(y)) % 3 > 0
     bias = float(np.log((y[keep].mean() + 1e-6) / (1 - y[keep].mean() + 1e-6)))
     z, trees = np.full(keep.sum(), bias), []
     for _ in range(rounds):
