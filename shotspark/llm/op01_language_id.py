@@ -11,10 +11,18 @@ softmax and calibrated rejection.
   linear, embedding and layer are multiplied out into one table of buckets by
   languages, in fixed-point integers: a score is a sum of integers and does
   not depend on how texts are batched.
-* *Calibration.* Sample texts kept out of training set the softmax temperature
-  and the rejection: a text is rejected when its probability is below half the
-  lowest one that a rightly labelled calibration text got (one half at most),
-  or when it has no letter.  Texts of a learned language stay.
+* *Familiarity.* A further column of the table holds the log frequency of each
+  subword in the language that uses it most.  By a logistic curve its mean over
+  a text becomes the probability that the text is of any learned language, and
+  ``score`` is that times the softmax's probability.
+* *Calibration.* Sample texts kept out of training set the softmax temperature,
+  the curve and the rejection.  Whole and cut to 80 and 20 characters, they are
+  held against unlike texts of the same lengths: themselves without what was
+  learned of their own language, and themselves with shuffled characters.  The
+  curve's middle, by length, is halfway between the familiarity that 99 % of the
+  learned texts reach and the one that 95 % of the unlike stay under, or the
+  former where the two overlap; the score ``least``, below which a text is
+  rejected, is set alike.  A text without a letter is rejected too.
 * *Prediction* reads whole texts in Arrow batches; the table (buckets times
   languages) is broadcast, its size is fixed by parameters.
 
@@ -43,22 +51,36 @@ _BYTE = np.arange(256, dtype=np.uint8)
 _BYTE[65:91] += 32
 _BYTE[NO_LETTER] = 0x20
 _PIECE = 1 << 19
+#: Calibration: characters of the texts' cuts, count of an unseen subword, least width of the curve.
+CUTS, UNSEEN, LEAST_WIDTH = (20, 80, 1 << 20), 0.05, 0.05
 
 
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray        # int32, buckets by languages; row 0 is the empty subword
+    table: np.ndarray        # int32, buckets by languages and familiarity; row 0 is the empty subword
     bias: np.ndarray
     temperature: float
     least: float             # probabilities below are rejected
+    curve: tuple = ((0.0,), (-1e9,), (1.0,))  # at log numbers of subwords: middle and width in familiarity
 
-    def probabilities(self, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        z = sums / SCALE / np.maximum(counts, 1)[:, None] + self.bias
+    def learned(self, familiarity: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Probability that a text is of any learned language."""
+        n = np.log(np.maximum(counts, 1))
+        middle, width = (np.interp(n, self.curve[0], c) for c in self.curve[1:])
+        return 1 / (1 + np.exp(-np.clip((familiarity - middle) / width, -40, 40)))
+
+    def softmax(self, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        z = sums[:, :-1] / SCALE / np.maximum(counts, 1)[:, None] + self.bias
         z = (z - z.max(axis=1, keepdims=True)) / self.temperature
         e = np.exp(z)
         return e / e.sum(axis=1, keepdims=True)
 
+    def probabilities(self, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Of each language; what is left to 1 is for unlearned ones."""
+        familiarity = sums[:, -1] / SCALE / np.maximum(counts, 1)
+        return self.softmax(sums, counts) * self.learned(familiarity, counts)[:, None]
+
 
 def _pieces(column: pa.Array):
     """Buckets of all subwords, in pieces of bounded size: (text number of each
@@ -114,6 +136,75 @@ def _sums(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, counts
 
 
+def _split(texts: list[str]) -> list[np.ndarray]:
+    """Buckets of the subwords of each text."""
+    per = [[] for _ in texts]
+    for text, bucket in _pieces(pa.array(texts, pa.large_string())):
+        cut = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else []
+        for k, part in zip(text[cut] if len(text) else [], np.split(bucket, cut[1:] if len(text) else [])):
+            per[k].append(part)
+    return [np.concatenate(p) if p else np.zeros(0, np.int64) for p in per]
+
+
+class _Familiar:
+    """Log frequency of each bucket in the language that uses it most."""
+
+    def __init__(self, subwords: list[np.ndarray], y: np.ndarray, languages: int):
+        self.top, self.next = np.full(BUCKETS, -np.inf), np.full(BUCKETS, -np.inf)
+        self.who = np.zeros(BUCKETS, np.int64)
+        for k in range(languages):
+            n = sum((np.bincount(subwords[i], minlength=BUCKETS) for i in np.flatnonzero(y == k)), np.zeros(BUCKETS))
+            own = np.log((n + UNSEEN) / (n.sum() + UNSEEN * BUCKETS))
+            more = own > self.top
+            self.next = np.where(more, self.top, np.maximum(self.next, own))
+            self.top, self.who = np.where(more, own, self.top), np.where(more, k, self.who)
+
+    def without(self, k: int) -> np.ndarray:
+        return np.where(self.who == k, self.next, self.top)
+
+
+def _bounds(like: np.ndarray, unlike: np.ndarray) -> tuple[float, float]:
+    """What 99 % of the like reach, and what 95 % of the unlike stay under, no
+    more than the first."""
+    reach = float(np.quantile(like, 0.01))
+    return reach, min(reach, float(np.quantile(unlike, 0.95))) if len(unlike) else reach
+
+
+def _calibrate(model: Model, texts: list[str], y: np.ndarray, known: list[_Familiar], rng) -> None:
+    """Set curve and least.  known[k]: what was learned without text k."""
+    points = []
+    for shorter, cut in zip((-1, *CUTS), CUTS):
+        rows = []  # like or not, familiarity, number of subwords, softmax probability
+        for k, text in enumerate(texts):
+            if len(text) <= shorter:
+                continue
+            at = int(rng.integers(0, max(1, len(text) - cut + 1)))
+            piece = text[at:at + cut]
+            straight, mixed = _split([piece, "".join(rng.permutation(list(piece)))])
+            for like, buckets, left in ((True, straight, None), (False, mixed, None), (False, straight, y[k])):
+                if not len(buckets) or left is not None and len(model.languages) < 2:
+                    continue
+                table = known[k].top if left is None else known[k].without(left)
+                p = model.softmax(model.table[buckets].sum(axis=0, dtype=np.int64)[None], np.array([len(buckets)]))[0]
+                if left is not None:
+                    p = np.delete(p, left) / max(np.delete(p, left).sum(), 1e-300)
+                rows.append((like, table[buckets].mean(), len(buckets), p.max()))
+        if any(r[0] for r in rows):
+            points.append(np.array(rows, float).T)
+    if not points:
+        return
+    curve = []
+    for like, familiarity, n, _ in points:
+        reach, under = _bounds(familiarity[like == 1], familiarity[like == 0])
+        curve.append((float(np.log(np.median(n[like == 1]))), (reach + under) / 2, max((reach - under) / 6, LEAST_WIDTH)))
+    model.curve = tuple(zip(*sorted(curve)))
+    least = []
+    for like, familiarity, n, p in points:
+        score = p * model.learned(familiarity, n)
+        least.append(sum(_bounds(score[like == 1], score[like == 0])) / 2)
+    model.least = min(least)
+
+
 def fit(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 4, rate: float = 0.4, batch: int = 32,
         seed: int = 7) -> Model:
     """Train and calibrate on labelled texts; every fifth is for calibration."""
@@ -121,12 +212,7 @@ def fit(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 4, rate
     if not names:
         return Model([], np.zeros((BUCKETS, 0), np.int32), np.zeros(0), 1.0, 1.0)
     rng = np.random.default_rng(seed)
-    per = [[] for _ in texts]
-    for text, bucket in _pieces(pa.array(texts, pa.large_string())):
-        cut = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else []
-        for k, part in zip(text[cut] if len(text) else [], np.split(bucket, cut[1:] if len(text) else [])):
-            per[k].append(part)
-    subwords = [np.concatenate(p) if p else np.zeros(0, np.int64) for p in per]
+    subwords = _split(texts)
     y = np.array([names.index(x) for x in langs])
     order = rng.permutation(len(texts))
     order = order[[len(subwords[k]) > 0 for k in order]]
@@ -165,6 +251,8 @@ def fit(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 4, rate
             emb[used] -= speed * dim * mass
             step += 1
     table = np.rint((emb @ layer).astype(np.float64) * SCALE).astype(np.int32)
+    familiar = _Familiar([subwords[k] for k in training], y[training], len(names))
+    table = np.column_stack([table, np.rint(familiar.top * SCALE).astype(np.int32)])
     table[0] = 0
     model = Model(names, table, bias.astype(np.float64), 1.0, 0.0)
     sums, counts = _sums(pa.array([texts[k] for k in calibration], pa.large_string()), table)
@@ -172,14 +260,14 @@ def fit(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 4, rate
 
     def loss(t):
         model.temperature = t
-        return -np.log(np.maximum(model.probabilities(sums, counts)[np.arange(len(truth)), truth], 1e-12)).mean()
+        return -np.log(np.maximum(model.softmax(sums, counts)[np.arange(len(truth)), truth], 1e-12)).mean()
 
     if len(truth):
         model.temperature = min(np.geomspace(0.05, 5, 41), key=loss)
-        p = model.probabilities(sums, counts)
-        right = p.argmax(axis=1) == truth
-        low = p.max(axis=1)[right].min() if right.any() else 1.0
-        model.least = min(0.5, 0.5 * float(low))
+        known = [familiar] * len(calibration)
+        if len(order) < 10:  # nothing was kept out: each text is held against the others
+            known = [_Familiar([subwords[j] for j in order if j != k], y[order[order != k]], len(names)) for k in calibration]
+        _calibrate(model, [texts[k] for k in calibration], truth, known, rng)
     return model
 
 

@@ -60,3 +60,26 @@ def test_unknown_language_is_rejected():
     m = L.fit(texts, langs)
     p = m.probabilities(*L._sums(pa.array(["漢字仮名" * 20, "kato mira"], pa.large_string()), m.table)).max(axis=1)
     assert p[1] >= m.least and p[1] > p[0]
+
+
+def test_unlike_texts_are_below_the_threshold():
+    rng = np.random.default_rng(0)
+    words = {"aa": ["kato", "mira", "solen", "tiba"], "bb": ["xwp", "qrzt", "vkk", "jjh"]}
+    texts, langs = [], []
+    for lang, w in words.items():
+        for _ in range(60):
+            texts.append(" ".join(rng.choice(w, 30))), langs.append(lang)
+    m = L.fit(texts, langs)
+    some = ["漢字仮名" * 20, "wuxo gelph dunne frob " * 5, "".join(rng.permutation(list(texts[0]))), "kato mira", texts[0], texts[-1]]
+    p = m.probabilities(*L._sums(pa.array(some, pa.large_string()), m.table)).max(axis=1)
+    assert (p[:3] < m.least).all() and (p[3:] >= m.least).all()
+
+
+@pytest.mark.parametrize("left", ["de", "en", "es", "fr"])
+def test_a_left_out_language_is_rejected(spark, left):
+    docs = spark.read.parquet(f"{SF_SMALL.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    model = L.train(docs.where(f"lang <> '{left}'"))
+    rows = (L.identify(docs.where(L.held_out(docs.doc_id)).select("doc_id", "text"), model)
+            .join(docs.select("doc_id", "lang"), "doc_id").collect())
+    assert np.mean([r.accepted for r in rows if r.lang == left]) < 0.15
+    assert np.mean([r.accepted for r in rows if r.lang != left]) > 0.99
