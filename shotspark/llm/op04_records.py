@@ -21,8 +21,9 @@ Texts are dealt by range of (id, hash) into shards of about ``shard_bytes`` of
 text, the number following the table's size.  The tokenizer library encodes
 each distinct word of a batch once (see ``encode_texts``).
 
-Defined cases: a null or empty text has the end id alone; null ids come first;
-rows with one id are in the order of their texts' hashes and their texts;
+Defined cases: a special token's string in a text is ordinary text, or with
+``specials`` that token, as is the library's default and what the query takes; a
+null or empty text has the end id alone; null ids come first; rows with one id are in the order of their texts' hashes and their texts;
 repeated rows are repeated records; an empty table writes no record.
 """
 
@@ -85,18 +86,18 @@ def record_at(data, offset: int):
 
 # -- encoding ----------------------------------------------------------------------
 
-_tokenizers: dict[int, object] = {}
+_tokenizers: dict[tuple[int, bool], object] = {}
 
 
-def _tokenizer(spec: str):
+def _tokenizer(spec: str, specials: bool):
     """The tokenizers library's object for a JSON description, one a worker."""
-    key = zlib.crc32(spec.encode())
+    key = zlib.crc32(spec.encode()), specials
     if key not in _tokenizers:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         t = Tokenizer.from_str(spec)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
+        t.encode_special_tokens = not specials
         _tokenizers.clear()
         _tokenizers[key] = t, _word_by_word(spec)
     return _tokenizers[key]
@@ -105,8 +106,12 @@ def _tokenizer(spec: str):
 def _word_by_word(spec: str) -> bool:
     """Whether white space always parts words and leaves no trace: then words
     may be encoded apart.  Known of a pre-tokenizer that drops white space
-    between its matches, behind a normalizer that works character by character."""
+    between its matches, behind a normalizer that works character by character,
+    with added tokens that neither hold white space or the mark nor take any in."""
     s = json.loads(spec)
+    if any(a.get("lstrip") or a.get("rstrip") or _MARK in a["content"] or a["content"].split() != [a["content"]]
+           for a in s.get("added_tokens") or []):
+        return False
     norms = s.get("normalizer") or {}
     norms = norms.get("normalizers", [norms])
     pres = s.get("pre_tokenizer") or {}
@@ -138,14 +143,14 @@ def _encode_words(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(flat), np.concatenate(length)
 
 
-def encode_texts(spec: str, texts: pa.Array) -> list[np.ndarray]:
+def encode_texts(spec: str, texts: pa.Array, specials: bool = False) -> list[np.ndarray]:
     """Ids of each text, equal to the library's for the whole text.
 
     The vocabulary's words end at white space and white space leaves no token,
     so a text's ids are its words' ids in order.  Each distinct word of the
     array is encoded once.  Tokenizers of another kind get whole texts.
     """
-    tokenizer, by_word = _tokenizer(spec)
+    tokenizer, by_word = _tokenizer(spec, specials)
     texts = texts.fill_null("")
     if not by_word:
         return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
@@ -157,7 +162,7 @@ def encode_texts(spec: str, texts: pa.Array) -> list[np.ndarray]:
     return [gather(flat, start, length, index[a:b]) for a, b in zip(ends[:-1], ends[1:])]
 
 
-def _to_records(spec, end_id: int, batch_bytes: int = 3 << 23):
+def _to_records(spec, end_id: int, specials: bool, batch_bytes: int = 3 << 23):
     def run(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.large_string())
@@ -167,7 +172,7 @@ def _to_records(spec, end_id: int, batch_bytes: int = 3 << 23):
                 to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + batch_bytes, "right")))
                 ids = batch.column("id").slice(at, to - at).to_pylist()
                 rows = [frame(payload_of(i, np.append(t, np.uint32(end_id))))[:-1]
-                        for i, t in zip(ids, encode_texts(spec.value, texts.slice(at, to - at)))]
+                        for i, t in zip(ids, encode_texts(spec.value, texts.slice(at, to - at), specials))]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["record"])
                 at = to
 
@@ -175,7 +180,7 @@ def _to_records(spec, end_id: int, batch_bytes: int = 3 << 23):
 
 
 def write_records(docs: DataFrame, spec: str, path: str, text: str = "text", id: str = "doc_id", end_id: int = END_ID,
-                  shard_bytes: int = 32 << 20) -> str:
+                  shard_bytes: int = 32 << 20, specials: bool = False) -> str:
     """Encode every text with the tokenizer described by ``spec`` (the JSON
     text of the tokenizers library) and write shards and index below ``path``."""
     spark = docs.sparkSession
@@ -185,7 +190,7 @@ def write_records(docs: DataFrame, spec: str, path: str, text: str = "text", id:
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
     dealt = src.repartitionByRange(shards, *order).sortWithinPartitions(*order, "text")
     described = spark.sparkContext.broadcast(spec)
-    (dealt.mapInArrow(_to_records(described, end_id), "record binary")
+    (dealt.mapInArrow(_to_records(described, end_id, specials), "record binary")
      .select(F.col("record").cast("string").alias("value")).write.text(f"{path}/data"))
     (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data").select("path", "content")
      .mapInArrow(_index, _INDEX).write.parquet(f"{path}/index"))
@@ -289,5 +294,5 @@ def op4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         spec = f.read()
-    path = write_records(documents(spark, sf_dir), spec, scratch_path(spark, "records"))
+    path = write_records(documents(spark, sf_dir), spec, scratch_path(spark, "records"), specials=True)
     return index(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32", "shard", "record", "offset")

@@ -83,3 +83,16 @@ def test_query_on_table(spark, tokenizer):
         start += len(ids)
     got = R.op4_records(spark, SF_SMALL).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_special_tokens_in_texts(spark, spec, tmpdir_path):
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    some = ["<|endoftext|>", "a <|startoftext|> b", "ab<|endoftext|>cd<|startoftext|><|endoftext|>.", "<|endoftext|", "x \x01 <|endoftext|>",
+            "<|ENDOFTEXT|> \n<|startoftext|>\t12", "plain words"] + [f"word{k}<|endoftext|> word{k}" for k in range(1500)]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in some]
+    assert 49407 in want[0] and 49406 in want[1]
+    got = R.encode_texts(spec, pa.array(some, pa.large_string()), specials=True)
+    assert [list(g) for g in got] == want
+    spark.createDataFrame(list(enumerate(some[:7])), SCHEMA).write.parquet(f"{tmpdir_path}/documents.parquet")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in R.op4_records(spark, tmpdir_path).collect()}
+    assert got == {k: (len(w) + 1, zlib.crc32(np.array([*w, 1], "<u4").tobytes())) for k, w in enumerate(want[:7])}
