@@ -24,6 +24,7 @@ an empty result; other columns are not carried.
 from __future__ import annotations
 
 import base64
+import math
 import zlib
 
 import numpy as np
@@ -44,6 +45,7 @@ WHITE = "\t\n\x0b\x0c\r " + _RARE
 #: space before white space, or a space at the end.
 _CAREFUL = f" [{WHITE}]| $|[{_RARE}]"
 BLOCK_CHARS = 16_000_000
+PART_BYTES = 256 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -293,14 +295,19 @@ def _token_bytes(ranks):
 
 
 def encode_decode(docs: DataFrame, tokenizer: tuple[dict[bytes, int], str], text: str = "text", id: str = "doc_id",
-                  block_chars: int = BLOCK_CHARS, parts: int | None = None) -> DataFrame:
+                  block_chars: int = BLOCK_CHARS, parts: int | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """Per row: id, ids (binary, little-endian unsigned 32-bit) and decoded
-    (binary, the bytes that the ids stand for)."""
+    (binary, the bytes that the ids stand for).  The words are dealt to ``parts``
+    partitions, by default one for ``part_bytes`` of text and at least Spark's
+    number of shuffle partitions, so that a task's words do not grow with the
+    table."""
     from pyspark.sql.pandas.types import to_arrow_type
     spark = docs.sparkSession
     src = pick(docs, id=id, text=text)
     id_type = to_arrow_type(src.schema["id"].dataType)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:
+        total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / part_bytes))
     ranks = _Broadcast(spark, tokenizer)
     # One exchange feeds both the words that go out and the positions that stay.
     blocks = src.mapInArrow(_to_blocks(parts, block_chars, id_type), _BLOCK).repartition("block")

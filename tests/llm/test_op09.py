@@ -70,3 +70,16 @@ def test_query_on_table(spark, encoding):
         ids = np.array(encoding.encode_ordinary(docs[r.doc_id] or ""), "<u4")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (
             len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((docs[r.doc_id] or "").encode()).hexdigest())
+
+
+def test_word_partitions_follow_the_input(spark, tokenizer, encoding, monkeypatch):
+    seen, real = [], B._to_blocks
+    monkeypatch.setattr(B, "_to_blocks", lambda parts, *a: seen.append(parts) or real(parts, *a))
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = list(enumerate(["the cat sat on a mat, ", "12 dogs"] * 200))
+    df = spark.createDataFrame(rows, SCHEMA)
+    total = sum(len(t) for _, t in rows)
+    out = B.encode_decode(df, tokenizer, part_bytes=total // (3 * shuffled)).collect()
+    B.encode_decode(df, tokenizer)
+    assert seen[0] >= 3 * shuffled and seen[1] == shuffled
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in out} == {i: encoding.encode_ordinary(t) for i, t in rows}
