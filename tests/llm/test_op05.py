@@ -63,3 +63,13 @@ def test_one_class_or_no_label(spark):
     for labels, want in (([(1, None)], 0.0), ([(1, 1), (3, 1)], 1.0)):
         m = X.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
         assert abs(X.score_texts(docs, m).first().score - want) < 1e-6
+
+
+def test_held_out_recall_and_precision(spark):
+    sf = SF_SMALL.replace("sf0.001", "sf0.1")
+    rows = (X.op5_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+            .where("held_out and toxic in (0, 1)").select("toxic", "predicted").collect())
+    right = sum(r.toxic == r.predicted == 1 for r in rows)
+    toxic, found = sum(r.toxic == 1 for r in rows), sum(r.predicted == 1 for r in rows)
+    print(f"held out {len(rows)}: recall {right}/{toxic}, precision {right}/{found}")
+    assert toxic > 50 and right / toxic > 0.9 and right / found > 0.9
