@@ -119,7 +119,7 @@ class Tree:
     """The trees of all keys over ``nodes`` (key, pos, n, digest, carried columns).
 
     ``tops`` has each key's top digest; ``proofs()`` the carried columns with
-    leaf, top and proof (to the top) of every node."""
+    leaf and proof (to the key's top) of every node."""
 
     def __init__(self, nodes: DataFrame, carried: list[str], fanout: int = FANOUT):
         self.nodes, self.carried = nodes, carried
@@ -160,9 +160,7 @@ class Tree:
                     "key", F.coalesce("far", "up").alias("up"), "digest", *self.carried,
                     F.concat("segment", F.coalesce("more", none)).alias("segment"))
             rows = rows.select(*alone.columns).unionAll(alone)
-        # A top a key; a key of many rows is split by AQE, or the tops are few.
-        return rows.join(self.tops, "key").select("key", *self.carried, F.col("digest").alias("leaf"), "top",
-                                                  F.col("segment").alias("proof"))
+        return rows.select("key", *self.carried, F.col("digest").alias("leaf"), F.col("segment").alias("proof"))
 
 
 def manifest(leaves: DataFrame, carried: list[str], fanout: int = FANOUT) -> DataFrame:
@@ -173,10 +171,15 @@ def manifest(leaves: DataFrame, carried: list[str], fanout: int = FANOUT) -> Dat
     names = ["id", *carried]
     groups = Tree(ranked(write_table(light, "merkle-leaves"), ["id", "digest"]), names, fanout)
     tops = groups.tops.select(F.lit("").alias("key"), F.col("key").alias("group_key"), F.col("top").alias("digest"))
-    over = Tree(ranked(tops, ["group_key"]), ["group_key"], fanout).proofs().select(
-        F.col("group_key").alias("key"), F.col("top").alias("root"), F.col("proof").alias("rest"))
-    return groups.proofs().join(over, "key").select(*names, "leaf", F.col("top").alias("subroot"), "root",
-                                                    F.concat("proof", "rest").alias("proof"))
+    over = Tree(ranked(tops, ["group_key"]), ["group_key"], fanout)
+    root = over.tops.first()  # one row
+    # A written row a group: Spark sends it to all tasks while its measured size is
+    # small, and beyond that AQE splits a group of many leaves.
+    rest = write_table(over.proofs().select(F.col("group_key").alias("key"), F.col("leaf").alias("subroot"),
+                                            F.col("proof").alias("rest")), "merkle-groups")
+    return groups.proofs().join(rest, "key").select(
+        *names, "leaf", "subroot", F.lit(bytes(root.top) if root else None).cast("binary").alias("root"),
+        F.concat("proof", "rest").alias("proof"))
 
 
 def document_leaves(docs: DataFrame) -> DataFrame:
