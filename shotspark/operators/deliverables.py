@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotspark.functions.expr import bias_label
+from shotspark.operators.ordering import with_percentiles
 
 CLUB = "club_type"
 
@@ -104,15 +105,21 @@ def face_variance(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def carry_averages(df: DataFrame, by: Sequence[str] = (), exact: bool = True,
-                   accuracy: int = 10000) -> DataFrame:
+                   accuracy: int = 10000, ranked: bool = False) -> DataFrame:
     """Shots, mean, sample std and p10/p50/p90 (linear interpolation) of carry.
 
     ``exact=True`` uses Spark's exact ``percentile``: its partial aggregate is
     a value->count map per group, so a hot group ships distinct carries, not
     rows.  ``exact=False`` switches to ``percentile_approx`` (bounded sketch)
-    for metrics whose distinct values per group are unbounded.
+    for metrics whose distinct values per group are unbounded; ``ranked=True``
+    gives the same exact values without a map (``ordering.percentiles``), for
+    groups with more distinct values than a task should hold.
     """
     require_columns(df, [CLUB, "carry_distance"], "carry_averages")
+    if ranked:
+        base = df.groupBy(*by, CLUB).agg(F.count(F.lit(1)).alias("shots"), *_spec_aggs(df, CARRY_SPEC))
+        return _split_percentiles(with_percentiles(base, df, "carry_distance", [p for _, p in PERCENTILES], [*by, CLUB])
+                                  .withColumnRenamed("_ps", "_carry_ps"))
     out = df.groupBy(*by, CLUB).agg(F.count(F.lit(1)).alias("shots"),
                                      *_spec_aggs(df, CARRY_SPEC),
                                      *_percentile_cols(df, exact, accuracy))

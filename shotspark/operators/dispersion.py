@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from shotspark.functions.expr import is_finite, nan_to_null, to_double
 from shotspark.operators.deliverables import require_columns
+from shotspark.operators.ordering import with_percentiles
 from shotspark.schema import CORRIDOR_LEVEL, ELLIPSE_MIN_POINTS, ELLIPSE_POINTS, ELLIPSE_SIGMA
 
 CLUB = "club_type"
@@ -26,18 +27,23 @@ def corridor_bounds(level: float = CORRIDOR_LEVEL) -> tuple[float, float]:
 
 
 def corridor(df: DataFrame, col: str = "finish_x", level: float = CORRIDOR_LEVEL,
-             by: Sequence[str] = ()) -> DataFrame:
+             by: Sequence[str] = (), ranked: bool = False) -> DataFrame:
     """Central ``level`` quantile band of ``col`` (linear interpolation) and
     the mean line; NULL triple when a group has no value.
 
     Exact ``percentile`` keeps a value->count map per group, so a hot group
-    ships its distinct values, not its rows.
+    ships its distinct values, not its rows; ``ranked=True`` gives the same
+    values without a map (``ordering.percentiles``), for groups of any size.
     """
     require_columns(df, [*by, col], "corridor")
     lo, hi = corridor_bounds(level)
     x = to_double(F.col(col)) if dict(df.dtypes)[col] == "string" else nan_to_null(F.col(col).cast("double"))
-    q = F.percentile(x, [lo, hi])
-    out = df.groupBy(*by).agg(q.alias("_q"), F.avg(x).alias("mean_x"))
+    if ranked:
+        values = df.select(*by, x.alias("_x"))
+        out = with_percentiles(values.groupBy(*by).agg(F.avg("_x").alias("mean_x")), values, "_x", [lo, hi], by)
+        out = out.withColumnRenamed("_ps", "_q")
+    else:
+        out = df.groupBy(*by).agg(F.percentile(x, [lo, hi]).alias("_q"), F.avg(x).alias("mean_x"))
     return out.select(*by, F.col("_q")[0].alias("corridor_lower"),
                       F.col("_q")[1].alias("corridor_upper"),
                       (F.col("_q")[1] - F.col("_q")[0]).alias("corridor_width"),

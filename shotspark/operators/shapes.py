@@ -79,7 +79,13 @@ def shape_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by, CLUB, "shape").agg(F.count(F.lit(1)).alias("shots"))
 
 
-def mode_of(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+def mode_of(df: DataFrame, col: str, by: Sequence[str] = (), counted: bool = False) -> DataFrame:
     """A5: most common non-NULL value per group, smallest on ties; NULL when
-    a group has no value."""
+    a group has no value.  ``counted=True`` counts per (group, value) first, for
+    groups with more distinct values than a map of one task should hold."""
+    if counted:
+        v = F.col(col)
+        counts = df.groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+        first = F.when(F.col("_v").isNotNull(), F.struct(-F.col("_n"), F.col("_v").alias("v")))
+        return counts.groupBy(*by).agg(F.min(first)["v"].alias(f"mode_{col}"))
     return df.groupBy(*by).agg(F.mode(col, True).alias(f"mode_{col}"))

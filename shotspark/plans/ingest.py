@@ -10,20 +10,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotspark.operators.clean import snake
-from shotspark.sources.csv_sessions import SOURCE, _paths, read_raw, typed_shots
-from shotspark.sources.tables import Tables, session_rows, with_shot_ids
+from shotspark.sources.csv_sessions import LINE, SOURCE, _paths, empty_files, session_files, shots_of_files
+from shotspark.sources.landing import Landing
+from shotspark.sources.tables import Tables, session_rows
 
 
 class Upload(NamedTuple):
     """What became of the files of one upload."""
 
-    counts: DataFrame    # user_id, session_id, source_file, rows_imported
-    rejected: DataFrame  # source_file of files with over-long rows
-    empty: DataFrame     # source_file of files without a shot, zero bytes included
-
-    @property
-    def rows_imported(self) -> int:
-        return self.counts.agg(F.coalesce(F.sum("rows_imported"), F.lit(0))).first()[0]
+    counts: DataFrame      # user_id, session_id, source_file, rows_imported
+    rejected: DataFrame    # source_file of files with over-long rows
+    empty: DataFrame       # source_file of files without a shot, zero bytes included
+    rows_imported: int     # counted while the shots were written
+    files_imported: int    # files with a shot, counted likewise
 
 
 def folder_user() -> Column:
@@ -31,26 +30,9 @@ def folder_user() -> Column:
     return F.url_decode(F.element_at(F.split(F.col(SOURCE), "/"), -2))
 
 
-def _zero_byte_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Files of no bytes, which Spark's scans pass over: found in the folder
-    listing, which the driver does for any read; only these are kept."""
-    sc, found = spark.sparkContext, []
-    for path in paths:
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
-        if fs.exists(p):
-            files = fs.listFiles(p, False)
-            while files.hasNext():
-                f = files.next()
-                name = f.getPath().getName()
-                if f.getLen() == 0 and not name.startswith(("_", ".")):
-                    found.append((f.getPath().toUri().toString().replace("file:/", "file:///", 1)
-                                  if f.getPath().toUri().toString().startswith("file:/") else f.getPath().toUri().toString(),))
-    return spark.createDataFrame(found, f"{SOURCE} string")
-
-
 def upload_sessions(spark: SparkSession, tables: Tables, paths: str | Sequence[str], user: Column | str,
-                    uploaded_at: dt.datetime, batch: str | None = None, keep: Sequence[str] = ()) -> Upload:
+                    uploaded_at: dt.datetime, batch: str | None = None, keep: Sequence[str] = (),
+                    landing: Landing | None = None) -> Upload:
     """Land session files: each becomes one session of its user.
 
     ``user`` is a column over ``source_file`` and the raw columns ``keep`` (or one
@@ -58,29 +40,33 @@ def upload_sessions(spark: SparkSession, tables: Tables, paths: str | Sequence[s
     the time of the batch, given by the caller: the same files uploaded at
     another time are new sessions, the same batch run again replaces itself
     (shots and sessions carry its ``batch`` id).  The session id is a hash of
-    the file's full path and that time.  The files are parsed once, into the
-    batch's folder of shots; the sessions and counts are read from there.
+    the file's full path and that time, a shot's id of the session and the row's
+    number in its file.  The files are scanned and parsed once, into the batch's
+    partition of shots; with ``landing`` the raw files are kept there first and
+    parsed from there.
     """
     name = batch or hashlib.sha256(f"{uploaded_at.isoformat()}|{'|'.join(sorted(_paths(paths)))}".encode()).hexdigest()[:32]
-    raw = read_raw(spark, paths)
+    files = session_files(spark, paths)
+    if landing is not None:
+        landing.land(files, uploaded_at, batch=name)
+        files = landing.batch(name).withColumnRenamed("storage_path", SOURCE)
     owner = (F.lit(user) if isinstance(user, str) else user).cast("string")
-    shots = typed_shots(raw.rows.withColumnsRenamed({k: snake(k) for k in keep}), keep=[SOURCE, *map(snake, keep)])
-    shots = shots.withColumn("user_id", owner)
     session_id = F.sha2(F.concat_ws("|", F.col(SOURCE), F.lit(uploaded_at.isoformat())), 256)
-    shots = with_shot_ids(shots.withColumn("session_id", session_id))
-    tables.append_shots(shots, batch=name)
+    parsed = shots_of_files(files, keep).withColumnsRenamed({k: snake(k) for k in keep})
+    shots = (parsed.where("NOT rejected").withColumn("user_id", owner).withColumn("session_id", session_id)
+             .withColumn("id", F.sha2(F.concat_ws("|", "session_id", F.col(LINE).cast("string")), 256)))
+    done = tables.append_shots(shots, batch=name, landed_at=uploaded_at)
     landed = (tables.batch("shots", name).groupBy("user_id", "session_id")
               .agg(F.count(F.lit(1)).alias("rows_imported")))
-    files = raw.files.withColumn("session_id", session_id)
-    counts = landed.join(files.select("session_id", SOURCE), "session_id").select(
-        "user_id", "session_id", SOURCE, "rows_imported")
+    every = files.select(SOURCE).withColumn("session_id", session_id)
+    counts = landed.join(every, "session_id").select("user_id", "session_id", SOURCE, "rows_imported")
     sessions = counts.select("user_id", F.url_decode(F.element_at(F.split(F.col(SOURCE), "/"), -1)).alias("filename"),
                              F.col(SOURCE).alias("storage_path"))
-    tables.append_sessions(session_rows(sessions, uploaded_at=uploaded_at), batch=name)
-    every = spark.read.format("binaryFile").load(_paths(paths)).select(F.col("_metadata.file_path").alias(SOURCE))
-    empty = (every.join(counts.select(SOURCE), SOURCE, "left_anti").join(raw.rejected, SOURCE, "left_anti")
-             .unionAll(_zero_byte_files(spark, _paths(paths))))
-    return Upload(counts, raw.rejected, empty)
+    made = tables.append_sessions(session_rows(sessions, uploaded_at=uploaded_at), batch=name)
+    rejected = parsed.where("rejected").select(SOURCE)
+    empty = (every.select(SOURCE).join(counts.select(SOURCE), SOURCE, "left_anti").join(rejected, SOURCE, "left_anti")
+             .unionAll(empty_files(spark, paths)))
+    return Upload(counts, rejected, empty, done["rows"], made["rows"])
 
 
 def ingest_sessions(spark: SparkSession, tables: Tables, paths: str | Sequence[str], user_id: str,

@@ -8,7 +8,9 @@ runs and only fills in settings that are still unset.
 from __future__ import annotations
 
 import os
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -67,3 +69,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="shotspark-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def send_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once a session: Arrow functions
+    are found there by name.  Only the driver reads the zip's folder."""
+    context = spark.sparkContext
+    if getattr(context, "_shotspark_sent", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    name = pathlib.Path(tempfile.mkdtemp()) / "shotspark_core.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(name))
+    context._shotspark_sent = True

@@ -1,25 +1,29 @@
 """Raw launch-monitor session CSVs.
 
-Files may differ in header (column order, extra or missing columns), and a
-CSV read applies one schema by position.  So the first line of each file is
-taken from a line-wise read, the *distinct* headers (layouts; few) are
-collected, and all files are read in one pass by position, as wide as the
-widest header.  A join on the file's path gives each row its layout, which
-says where each column is.  No file name is collected or handed back to a
-reader, so names with blanks and any number of files are fine.
-
-Per file: header cleaned (blanks, BOM), the units row dropped (rows with an
-empty ``Player``, only when that column exists), pandas' missing markers
-(``NA``, ``n/a``, ...) -> NULL.  Quotes are doubled inside quoted fields, which
-may hold line breaks.  A row longer than its header marks the whole file as
-rejected (the reference refuses such a file); shorter rows get trailing NULLs.
+A session file is one practice session, so it is small and is read whole: one
+``binaryFile`` scan gives a row per file, and an Arrow function parses header and
+records of a file together.  Files may differ in header (order, extra or missing
+columns); a cell is found by its file's own header, so there is no plan per layout
+and no second scan.  Only ``read_raw``, whose columns are the headers' union, reads
+the names first.  Task memory is a few times the largest file; ``max_bytes`` refuses
+larger ones with their name (such a table is one for ``read_csv_table``).
+
+Per file: first blank lines are skipped; header names are cleaned (blanks, BOM);
+the units row is dropped (rows with an empty ``Player``, only when that column
+exists); pandas' missing markers (``NA``, ``n/a``, ...) become NULL.  Quotes are
+doubled inside quoted fields, which may hold line breaks, in the header too.  A row
+longer than its header rejects the whole file (the reference refuses such a file);
+shorter rows get trailing NULLs, blank lines are no rows.
 """
 
 from __future__ import annotations
 
 import csv
+import io
+import re
 from typing import Iterable, NamedTuple, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,15 +31,21 @@ from pyspark.sql.utils import AnalysisException
 
 from shotspark.functions.expr import null_if_na_text, to_double
 from shotspark.operators.clean import clean_name, snake
-from shotspark.schema import METRICS, PLAYER_TITLE
+from shotspark.schema import CLUB_TITLE, METRICS, NA_STRINGS, PLAYER_TITLE, SNAKE_TO_TITLE
+from shotspark.session import send_package
 
 SOURCE = "source_file"
+LINE = "line"
+MAX_BYTES = 256 << 20
+_FILES = f"{SOURCE} string, content binary"
+_ROWS_A_BATCH = 20_000
+_MISSING = frozenset(NA_STRINGS)
 
 
 class RawSessions(NamedTuple):
     rows: DataFrame        # raw strings under cleaned headers, plus source_file
     rejected: DataFrame    # source_file of files with a row longer than the header
-    files: DataFrame       # source_file and header of every file with a first line
+    files: DataFrame       # source_file and header of every file with a header
 
 
 def _paths(paths: str | Sequence[str]) -> list[str]:
@@ -46,32 +56,52 @@ def _missing(e: AnalysisException) -> bool:
     return (e.getCondition() or "") == "PATH_NOT_FOUND"
 
 
-def file_headers(spark: SparkSession, paths: str | Sequence[str], limit: int | None = None) -> DataFrame:
-    """(source_file, header) per CSV file with at least one line; with
-    ``limit`` the first files by path.
+def _literal(path: str) -> str:
+    """A path whose glob characters stand for themselves."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
-    Lines are read as lines, so a file of any size is split as usual; the
-    first line is the first row of the block that starts at byte 0.
-    """
+
+def session_files(spark: SparkSession, paths: str | Sequence[str], limit: int | None = None,
+                  max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(source_file, content) per file; with ``limit`` the first files by path:
+    the list of names is cut first, and only those files are opened."""
     try:
-        text = spark.read.text(_paths(paths))
+        scan = spark.read.format("binaryFile").load(_paths(paths))
+        if limit is not None:
+            # At most ``limit`` names; without the content column no file is read.
+            first = scan.select("path").distinct().orderBy("path").limit(limit).collect()
+            if not first:
+                return spark.createDataFrame([], _FILES)
+            scan = spark.read.format("binaryFile").load([_literal(r.path) for r in first])
     except AnalysisException as e:
         if not _missing(e):
             raise
         # S3: a missing session directory means no sessions, not an error.
-        return spark.createDataFrame([], f"{SOURCE} string, header string")
-    first = (text.where(F.col("_metadata.file_block_start") == 0)
-             .select(F.col("_metadata.file_path").alias(SOURCE), "value", F.monotonically_increasing_id().alias("_at"))
-             .groupBy(SOURCE).agg(F.min_by("value", "_at").alias("header")))
-    df = first.withColumn("header", F.regexp_replace("header", r"\r$", ""))
-    return df.orderBy(SOURCE).limit(limit) if limit is not None else df
+        return spark.createDataFrame([], _FILES)
+    path = F.col("_metadata.file_path")
+    large = F.raise_error(F.concat(path, F.lit(f" has more than {max_bytes} bytes: not a session file")))
+    return scan.select(path.alias(SOURCE), F.when(F.col("length") > max_bytes, large.cast("binary"))
+                       .otherwise(F.col("content")).alias("content"))
 
 
-def column_names(header: str) -> list[str]:
-    """Cleaned names of a header line; a name that is taken gets the first
-    free number behind it."""
-    out: list[str] = []
-    cells = [clean_name(n) for n in next(csv.reader([header]), [])]
+def empty_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """source_file of files of no bytes, which a scan passes over: the files of the
+    listing that the scan does not return."""
+    try:
+        scan = spark.read.format("binaryFile").load(_paths(paths))
+    except AnalysisException as e:
+        if not _missing(e):
+            raise
+        return spark.createDataFrame([], f"{SOURCE} string")
+    listed = spark.createDataFrame([(f,) for f in scan.inputFiles()], f"{SOURCE} string")
+    tidy = F.regexp_replace(SOURCE, "^file:/+", "file:///")
+    return listed.select(tidy.alias(SOURCE)).join(
+        scan.select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:///").alias(SOURCE)), SOURCE, "left_anti")
+
+
+def unique_names(cells: Sequence[str]) -> list[str]:
+    """Cleaned header names; a name that is taken gets the first free number behind it."""
+    cells, out = [clean_name(n) for n in cells], []
     for n in cells:
         name, k = n, 2
         while name in out or (name != n and name in cells):
@@ -80,45 +110,95 @@ def column_names(header: str) -> list[str]:
     return out
 
 
+def column_names(header: str) -> list[str]:
+    """Cleaned names of a header line."""
+    return unique_names(next(csv.reader([header]), []))
+
+
+def _records(content: bytes):
+    """Header names of a file (None if it has none) and its rows (number, cells)."""
+    csv.field_size_limit((1 << 31) - 1)
+    text = content.decode("utf-8-sig", "replace")
+    rows = (r for r in csv.reader(io.StringIO(text, newline="")) if len(r) > 1 or (r and r[0].strip(" \t")))
+    head = next(rows, None)
+    return (None, ()) if head is None else (unique_names(head), enumerate(rows))
+
+
+def _headers(batches):
+    for batch in batches:
+        found = [(f, _records(c)[0]) for f, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        found = [(f, h) for f, h in found if h is not None]
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()),
+                                          pa.array([h for _, h in found], pa.list_(pa.string()))], names=[SOURCE, "header"])
+
+
+def file_headers(files: DataFrame) -> DataFrame:
+    """(source_file, header as a list of names) per file with a header."""
+    send_package(files.sparkSession)
+    return files.mapInArrow(_headers, f"{SOURCE} string, header array<string>")
+
+
+def _place(names: list[str], wanted: str, loose: bool) -> int | None:
+    """Where a column stands: by its name, or else (``loose``) by its snake_case form."""
+    if wanted in names:
+        return names.index(wanted)
+    return next((k for k, n in enumerate(names) if snake(n) == snake(wanted)), None) if loose else None
+
+
+def _cells(wanted: list[str], loose: bool):
+    """Rows of files: the file, the row's number in it, whether the file is rejected,
+    and the wanted columns as text.  A rejected file gives one row."""
+    fields = [SOURCE, LINE, "rejected", *[f"c{i}" for i in range(len(wanted))]]
+
+    def batch_of(source, rows, places, rejected=False):
+        cols = [pa.array([r[p] if p is not None and p < len(r) else None for _, r in rows], pa.string()) for p in places]
+        return pa.RecordBatch.from_arrays([pa.array([source] * len(rows), pa.string()), pa.array([n for n, _ in rows], pa.int64()),
+                                           pa.array([rejected] * len(rows), pa.bool_()), *cols], names=fields)
+
+    def run(batches):
+        for batch in batches:
+            for source, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                names, rows = _records(content.as_py())
+                if names is None:
+                    continue
+                rows = list(rows)
+                places = [_place(names, w, loose) for w in wanted]
+                if any(len(r) > len(names) for _, r in rows):
+                    yield batch_of(source, [(0, [])], [None] * len(wanted), True)
+                    continue
+                if PLAYER_TITLE in names:
+                    p = names.index(PLAYER_TITLE)
+                    rows = [(n, r) for n, r in rows if p < len(r) and r[p] not in _MISSING]
+                for a in range(0, len(rows), _ROWS_A_BATCH):
+                    yield batch_of(source, rows[a:a + _ROWS_A_BATCH], places)
+
+    return run
+
+
+def parse_files(files: DataFrame, columns: Sequence[str], loose: bool = False) -> DataFrame:
+    """source_file, line, rejected and ``columns`` (text, NULL where a file lacks the
+    column or holds a missing marker) of all rows of ``files`` (source_file, content).
+    ``loose`` also takes a column whose name differs in case or underscores."""
+    send_package(files.sparkSession)
+    columns = list(columns)
+    schema = T.StructType([T.StructField(SOURCE, T.StringType()), T.StructField(LINE, T.LongType()),
+                           T.StructField("rejected", T.BooleanType()),
+                           *[T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))]])
+    out = files.select(SOURCE, "content").mapInArrow(_cells(columns, loose), schema)
+    return out.select(SOURCE, LINE, "rejected", *[null_if_na_text(F.col(f"c{i}")).alias(c) for i, c in enumerate(columns)])
+
+
 def read_raw(spark: SparkSession, paths: str | Sequence[str], limit: int | None = None) -> RawSessions:
-    """All session files as one raw frame of strings."""
-    heads = file_headers(spark, paths, limit)
-    # Layouts, not files: as many as there are different header lines.
-    layout_rows = heads.select("header").distinct().orderBy("header").collect()
-    layouts = [column_names(r["header"]) for r in layout_rows]
-    empty = spark.createDataFrame([], T.StructType([T.StructField(SOURCE, T.StringType())]))
-    if not layouts:
-        return RawSessions(empty, empty, heads)
-    number = F.lit(None).cast("int")
-    for k, r in enumerate(layout_rows):
-        number = F.when(F.col("header") == r["header"], k).otherwise(number)
-    width = max(map(len, layouts)) + 1  # one more shows that a row is too long
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-    cells = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("quote", '"')
-             .option("escape", '"').option("multiLine", True).csv(_paths(paths))
-             .withColumn(SOURCE, F.col("_metadata.file_path")))
-    cells = cells.join(heads.select(SOURCE, number.alias("_layout")), SOURCE)
-    names = list(dict.fromkeys(n for names in layouts for n in names))
-    columns = []
-    for n in names:
-        cell = F.lit(None).cast("string")
-        for k, own in enumerate(layouts):
-            if n in own:
-                cell = F.when(F.col("_layout") == k, F.col(f"_c{own.index(n)}")).otherwise(cell)
-        columns.append(null_if_na_text(cell).alias(n))
-    beyond = F.lit(False)
-    for k, own in enumerate(layouts):
-        extra = [F.col(f"_c{i}").isNotNull() for i in range(len(own), width)]
-        over = extra[0]
-        for x in extra[1:]:
-            over = over | x
-        beyond = F.when(F.col("_layout") == k, over).otherwise(beyond)
-    rejected = cells.where(beyond).select(SOURCE).distinct()
-    rows = cells.select(SOURCE, "_layout", *columns)
-    if PLAYER_TITLE in names:
-        with_player = [k for k, own in enumerate(layouts) if PLAYER_TITLE in own]
-        rows = rows.where(~F.col("_layout").isin(with_player) | F.col(f"`{PLAYER_TITLE}`").isNotNull())
-    return RawSessions(rows.drop("_layout").join(rejected, SOURCE, "left_anti"), rejected, heads)
+    """All session files as one raw frame of strings, with the union of their
+    columns in order of first appearance by path.  The headers are read first, since
+    they are the schema; of all files only the distinct headers come to the driver."""
+    files = session_files(spark, paths, limit)
+    heads = file_headers(files)
+    layouts = heads.groupBy("header").agg(F.min(SOURCE).alias("first")).orderBy("first").collect()
+    names = list(dict.fromkeys(n for r in layouts for n in r["header"]))
+    parsed = parse_files(files, names)
+    rejected = parsed.where("rejected").select(SOURCE)
+    return RawSessions(parsed.where("NOT rejected").drop("rejected", LINE), rejected, heads)
 
 
 def read_raw_sessions(spark: SparkSession, paths: str | Sequence[str], limit: int | None = None,
@@ -142,10 +222,21 @@ def typed_shots(raw: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     return raw.select(*extra, *cols)
 
 
+def shots_of_files(files: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Typed shots of ``files`` (source_file, content) in one scan: source_file,
+    line, rejected, the raw columns ``keep``, club type and metrics."""
+    titles = [CLUB_TITLE, *[SNAKE_TO_TITLE[m] for m in METRICS]]
+    parsed = parse_files(files, [*dict.fromkeys([*keep, *titles])], loose=True)
+    return typed_shots(parsed, keep=[SOURCE, LINE, "rejected", *keep])
+
+
 def read_sessions(spark: SparkSession, paths: str | Sequence[str], limit: int | None = None,
                   keep: Iterable[str] = (SOURCE,)) -> DataFrame:
-    """Typed shots straight from session CSVs."""
-    return typed_shots(read_raw_sessions(spark, paths, limit), keep=keep)
+    """Typed shots straight from session CSVs, one scan of the files."""
+    keep = list(keep)
+    own = {SOURCE, LINE}
+    out = shots_of_files(session_files(spark, paths, limit), [k for k in keep if k not in own])
+    return out.where("NOT rejected").select(*[F.col(f"`{k}`") for k in keep], "club_type", *METRICS)
 
 
 def concat_sessions(spark: SparkSession, frames: Iterable[DataFrame | None]) -> DataFrame:

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from shotspark.functions.expr import null_if_na_text, to_double
 from shotspark.operators.clean import clean_headers
+from shotspark.operators.ordering import positions
 
 # FIXED VALUES: the named CSV datasets and their file names.
 DATASETS = {
@@ -80,6 +82,12 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False) -> str:
     return path
 
 
+def write_merged_csv(df: DataFrame, path: str, order: Sequence[Column], index: str = "row_index") -> str:
+    """Header CSV with a first column numbering the rows 0..n-1 by ``order``."""
+    numbered = positions(df, order, name=index)
+    return write_csv(numbered.select(index, *[F.col(f"`{c}`") for c in df.columns]), path)
+
+
 def save_deliverables(delivs, out_dir: str) -> dict[str, str]:
     """K9: the three deliverables as CSV directories; returns name -> path."""
     out = {}

@@ -1,213 +1,175 @@
 """The three tables (sessions, shots, club_summaries) as Parquet on shared storage.
 
-Layout under ``root``, for each table and each kind of tombstone:
-  <table>/data/batch=<id>/...   immutable folders, one per batch
-  <table>/_log/<number>.json    commits, only ever added; the highest is live
-
-* A commit names the live folders (and, for the cache, the buckets that each
-  folder is valid for) and the table's bucket count.  It is written aside and
-  moved to its number without overwriting: of two writers with one number the
-  second one reads the new state and tries again, so no commit is lost, and a
-  crash leaves the old commit live.  A table folder without any commit raises.
-* An append writes the folder of its batch id and then commits; a replay of
-  the batch replaces its own folder and changes nothing else.
-* Deletes append tombstones and every read anti-joins them.  ``compact``
-  rewrites the folders it read; batches that were added meanwhile stay live.
-  Tombstones whose rows are gone from all tables are retired with it.
-* Shots and cache are partitioned by ``user_bucket = pmod(xxhash64(user_id), N)``;
-  N is a stored property of the table (choose it for files of some GB at the
-  full size), so a per-user read prunes to one bucket and an opener with
-  another N is refused.  Writes use AQE's rebalance, which splits a hot bucket.
-* Row-level security becomes ``for_user``: a user filter that also prunes
-  the bucket.
+Every table and every kind of tombstone is one folder that Spark's writers partition:
+shots by (batch, user_bucket), club_summaries by user_bucket, the others by batch.
+
+* All writes are dynamic partition overwrites.  Spark writes new files aside and
+  moves them in when the whole job is done, so a job that dies half way changes
+  nothing, a replay of a batch replaces just its own partitions, and two writers
+  with different batches never meet.
+* Dynamic overwrite leaves a partition alone that gets no row.  So every partition
+  that a write is to replace also gets one filler row of NULLs, which all reads
+  filter out by their key: a partition can become empty.
+* Deletes append tombstones and every read anti-joins them.  A user's tombstone
+  hides what was landed up to its time, so an id that uploads again later is seen.
+  ``compact`` rewrites in place the partitions that hold dead rows and then retires
+  the tombstones that it applied, unless a batch came in meanwhile.
+* ``user_bucket = pmod(xxhash64(user_id), N)``; N is a stored property (choose it for
+  files of some GB at the full size), so a per-user read prunes to one bucket and an
+  opener with another N is refused.  Writes use AQE's rebalance, which splits a hot
+  bucket.
+* Row-level security: ``register_reads`` makes SQL table functions that need a user,
+  and a write may name the only owner it accepts.
+
+A read that is under way while a partition is replaced may miss its files and has to
+be run again, as with any overwrite of plain Parquet.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import json
 import uuid
-from functools import reduce
-from typing import Iterable, Sequence
+from typing import Iterable, NamedTuple, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotspark.functions.expr import nan_to_null
 from shotspark.operators.deliverables import club_summary
 from shotspark.schema import CACHE_RENAMES, CLUB_SUMMARIES_SCHEMA, METRICS, SESSIONS_SCHEMA, SHOTS_SCHEMA
+from shotspark.session import checkpoint_dir
 
 DEFAULT_BUCKETS = 64
-_BUCKETED = {"shots", "club_summaries"}
-_BUCKET = T.StructField("user_bucket", T.LongType())
+_LANDED = T.StructField("landed_at", T.TimestampType())
 _SCHEMAS = {
-    "sessions": SESSIONS_SCHEMA, "shots": SHOTS_SCHEMA, "club_summaries": CLUB_SUMMARIES_SCHEMA,
+    "sessions": SESSIONS_SCHEMA, "shots": T.StructType([*SHOTS_SCHEMA.fields, _LANDED]),
+    "club_summaries": CLUB_SUMMARIES_SCHEMA,
     "deleted_sessions": T.StructType([T.StructField("session_id", T.StringType()), T.StructField("deleted_at", T.TimestampType())]),
     "deleted_users": T.StructType([T.StructField("user_id", T.StringType()), T.StructField("deleted_at", T.TimestampType())]),
 }
+_PARTITIONS = {"shots": ["batch", "user_bucket"], "club_summaries": ["user_bucket"]}
+_KEYS = {"deleted_sessions": "session_id", "deleted_users": "user_id"}
+# The column that tells when a row came in, against a user's tombstone.
+_WHEN = {"sessions": "uploaded_at", "shots": "landed_at", "club_summaries": "computed_at"}
 
 
 def bucket_of(user_id_col, n: int) -> "F.Column":
     return F.pmod(F.xxhash64(user_id_col.cast("string")), F.lit(n))
 
 
-class CommitConflict(RuntimeError):
-    """Another writer took the commit number."""
+def _now() -> dt.datetime:
+    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
 
 class Tables:
     def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         """``buckets`` counts for new tables; for existing ones it must be
         theirs (or None)."""
-        self.spark, self.root, self._wanted = spark, root.rstrip("/"), buckets
-        for table in _BUCKETED:
-            entry = self.live(table)
-            if entry and buckets is not None and entry["buckets"] != buckets:
-                raise ValueError(f"{table} has {entry['buckets']} buckets, not {buckets}")
-
-    @property
-    def buckets(self) -> int:
-        for table in ("shots", "club_summaries"):
-            entry = self.live(table)
-            if entry:
-                return entry["buckets"]
-        return self._wanted or DEFAULT_BUCKETS
-
-    # -- commits (small driver-side files) -------------------------------------
-    def _dir(self, table: str) -> str:
+        self.spark, self.root = spark, root.rstrip("/")
+        # ``ignore`` writes only what is not there yet, so that reads find every folder.
+        first = spark.createDataFrame([(buckets or DEFAULT_BUCKETS,)], "buckets int")
+        first.coalesce(1).write.mode("ignore").parquet(self._path("properties"))
+        stored = spark.read.schema("buckets int").parquet(self._path("properties")).agg(F.min("buckets"), F.max("buckets")).first()
+        if stored[0] != stored[1] or buckets not in (None, stored[0]):
+            raise ValueError(f"the tables have {stored[0]} buckets" + (f" and {stored[1]}" if stored[0] != stored[1] else f", not {buckets}"))
+        self.buckets = stored[0]
+        for table in _SCHEMAS:
+            spark.createDataFrame([], self._schema(table)).write.mode("ignore").partitionBy(*self._parts(table)).parquet(self._path(table))
+
+    def _path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def _path(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _numbers(self, table: str) -> list[int]:
-        log, fs = self._path(f"{self._dir(table)}/_log")
-        if not fs.exists(log):
-            if fs.exists(log.getParent()):
-                raise RuntimeError(f"{table} has data but no commit; it was not written by this library or its log is gone")
-            return []
-        names = [f.getPath().getName() for f in fs.listStatus(log)]
-        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
-
-    def live(self, table: str) -> dict | None:
-        """The live commit: number, buckets and folders (path, buckets or None)."""
-        numbers = self._numbers(table)
-        if not numbers:
-            return None
-        p, fs = self._path(f"{self._dir(table)}/_log/{numbers[-1]:012d}.json")
-        stream = fs.open(p)
-        try:
-            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return json.loads(text) | {"number": numbers[-1]}
-
-    def _commit(self, table: str, number: int, folders: list, buckets: int) -> None:
-        jvm = self.spark.sparkContext._jvm
-        log = f"{self._dir(table)}/_log"
-        aside, fs = self._path(f"{log}/.{uuid.uuid4().hex}")
-        stream = fs.create(aside, False)
-        stream.write(bytearray(json.dumps({"buckets": buckets, "folders": folders}).encode()))
-        stream.close()
-        target, _ = self._path(f"{log}/{number:012d}.json")
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-                aside.toUri() if aside.toUri().getScheme() else fs.getUri(),
-                self.spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, target, options)
-        except Exception as e:
-            if "FileAlreadyExists" in str(e) or fs.exists(target):
-                raise CommitConflict(f"{table} commit {number}") from e
-            raise
-
-    def _change(self, table: str, fn) -> None:
-        """Commit ``fn(live folders)``; on a conflict, once more on the new state."""
-        while True:
-            entry = self.live(table)
-            buckets = entry["buckets"] if entry else (self.buckets if table in _BUCKETED else 0)
-            folders = fn(entry["folders"] if entry else [])
-            if entry and folders == entry["folders"]:
-                return
-            try:
-                return self._commit(table, entry["number"] + 1 if entry else 0, folders, buckets)
-            except CommitConflict:
-                continue
-
     # -- raw reads ----------------------------------------------------------
+    def _parts(self, table: str) -> list[str]:
+        return _PARTITIONS.get(table, ["batch"])
+
     def _schema(self, table: str) -> T.StructType:
-        extra = [_BUCKET] if table in _BUCKETED else []
-        return T.StructType([*_SCHEMAS[table].fields, *extra])
-
-    def _folders(self, table: str, folders: list) -> DataFrame:
-        """One scan of all folders; a folder that is valid for some buckets
-        only is read for those (both are partition filters)."""
-        if not folders:
-            return self.spark.createDataFrame([], self._schema(table))
-        base = self._dir(table)
-        out = (self.spark.read.schema(T.StructType([*self._schema(table).fields, T.StructField("batch", T.StringType())]))
-               .option("basePath", f"{base}/data").parquet(*[f"{base}/{path}" for path, _ in folders]))
-        some = [(F.col("batch") == path.partition("=")[2]) & F.col("user_bucket").isin(only)
-                for path, only in folders if only is not None]
-        if some:
-            whole = [path.partition("=")[2] for path, only in folders if only is None]
-            out = out.where(reduce(lambda x, y: x | y, some, F.col("batch").isin(whole)))
-        return out.drop("batch")
+        types = {"batch": T.StringType(), "user_bucket": T.LongType()}
+        return T.StructType([T.StructField(f.name, f.dataType) for f in _SCHEMAS[table].fields]
+                            + [T.StructField(p, types[p]) for p in self._parts(table)])
+
+    def _files(self, table: str) -> DataFrame:
+        """All stored rows, fillers included, with the partition columns."""
+        return self.spark.read.schema(self._schema(table)).parquet(self._path(table))
 
     def _read(self, table: str) -> DataFrame:
-        entry = self.live(table)
-        return self._folders(table, entry["folders"] if entry else [])
+        return self._files(table).where(F.col(_KEYS.get(table, "id")).isNotNull())
 
     def batch(self, table: str, batch: str) -> DataFrame:
-        """The rows of one batch, as it was written."""
-        return self._folders(table, [[f"data/batch={batch}", None]])
+        """The rows of one batch."""
+        return self._read(table).where(F.col("batch") == batch).drop("batch")
 
     def tombstones(self, kind: str) -> DataFrame:
-        return self._read(kind)
+        return self._read(kind).drop("batch")
 
     # -- live reads (tombstones applied) -------------------------------------
-    def _live(self, df: DataFrame, session_key: str | None) -> DataFrame:
-        if session_key:
-            dead_s = self.tombstones("deleted_sessions").select(F.col("session_id").alias(session_key))
-            df = df.join(dead_s, session_key, "left_anti")
-        # User ids are UUIDs and never reused, so a user tombstone hides the
-        # user's rows for good.
-        return df.join(self.tombstones("deleted_users").select("user_id"), "user_id", "left_anti")
+    def _dead(self, table: str, df: DataFrame, how: str) -> list[DataFrame]:
+        """``df`` joined (``left_anti``: the live rows, ``left_semi``: the dead
+        ones) with each kind of tombstone that bears on the table."""
+        users = self.tombstones("deleted_users").groupBy("user_id").agg(F.max("deleted_at").alias("deleted_at"))
+        users = users.select(F.col("user_id").alias("_u"), "deleted_at")
+        gone = (F.col("user_id") == F.col("_u")) & (F.coalesce(F.col(_WHEN[table]), F.lit(dt.datetime(1, 1, 1))) <= F.col("deleted_at"))
+        key = {"shots": "session_id", "sessions": "id"}.get(table)
+        sessions = self.tombstones("deleted_sessions").select(F.col("session_id").alias("_s"))
+        if how == "left_anti":
+            df = df.join(sessions, F.col(key) == F.col("_s"), how) if key else df
+            return [df.join(users, gone, how)]
+        return [df.join(users, gone, how), *([df.join(sessions, F.col(key) == F.col("_s"), how)] if key else [])]
+
+    def _live(self, table: str) -> DataFrame:
+        return self._dead(table, self._read(table), "left_anti")[0]
 
     def sessions(self) -> DataFrame:
-        return self._live(self._read("sessions"), "id")
+        return self._live("sessions").drop("batch")
 
     def shots(self) -> DataFrame:
-        return self._live(self._read("shots"), "session_id")
+        return self._live("shots").drop("batch", "landed_at")
 
     def club_summaries(self) -> DataFrame:
-        return self._live(self._read("club_summaries"), None)
+        return self._live("club_summaries")
 
     # -- writes --------------------------------------------------------------
-    def _write(self, table: str, df: DataFrame, folder: str) -> None:
-        df = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _SCHEMAS[table].fields])
-        if table in _BUCKETED:
-            df = df.withColumn("user_bucket", bucket_of(F.col("user_id"), self.buckets)).hint("rebalance", "user_bucket")
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy("user_bucket") if table in _BUCKETED else writer).parquet(f"{self._dir(table)}/{folder}")
-
-    def _append(self, table: str, df: DataFrame, batch: str | None) -> None:
-        self.live(table)  # a folder without a log is refused before anything is written to it
-        folder = f"data/batch={batch or uuid.uuid4().hex}"
-        log, fs = self._path(f"{self._dir(table)}/_log")
-        fs.mkdirs(log)
-        self._write(table, df, folder)
-        self._change(table, lambda now: now if [folder, None] in now else [*now, [folder, None]])
-
-    def append_sessions(self, sessions: DataFrame, batch: str | None = None) -> None:
-        self._append("sessions", sessions, batch)
-
-    def append_shots(self, shots: DataFrame, batch: str | None = None) -> None:
-        """NaN metrics become NULL, so that averages skip them."""
+    def _fillers(self, table: str, partitions: DataFrame) -> DataFrame:
+        """One row of NULLs for each of the partitions."""
+        parts = self._parts(table)
+        return partitions.select(*parts).distinct().select(
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in _SCHEMAS[table].fields], *parts)
+
+    def _replace(self, table: str, df: DataFrame, **seen) -> dict:
+        """Replace the partitions that ``df`` (with partition columns) has rows
+        for; returns the aggregates ``seen`` over the rows as they are written."""
+        parts, counted = self._parts(table), Observation()
+        if "user_bucket" in parts:
+            df = df.hint("rebalance", *parts)
+        # Counted in the writing stage, whose tasks count once each however often they are run.
+        df = df.observe(counted, F.count(_KEYS.get(table, "id")).alias("rows"), *[c.alias(n) for n, c in seen.items()])
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts)
+         .parquet(self._path(table)))
+        return counted.get
+
+    def _append(self, table: str, df: DataFrame, batch: str | None, owner: str | None = None, **seen) -> dict:
+        rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _SCHEMAS[table].fields])
+        if owner is not None:
+            other = F.raise_error(F.concat(F.lit(f"a row of another user than {owner}: "), F.coalesce("user_id", F.lit("NULL"))))
+            rows = rows.withColumn("user_id", F.when(F.col("user_id") == owner, F.col("user_id")).otherwise(other.cast("string")))
+        rows = rows.withColumn("batch", F.lit(batch or uuid.uuid4().hex))
+        if "user_bucket" in self._parts(table):
+            rows = rows.withColumn("user_bucket", bucket_of(F.col("user_id"), self.buckets))
+        if batch:  # a replay may lack rows for a bucket that the first run wrote
+            rows = rows.unionByName(self._fillers(table, self._files(table).where(F.col("batch") == batch)))
+        return self._replace(table, rows, **seen)
+
+    def append_sessions(self, sessions: DataFrame, batch: str | None = None, owner: str | None = None) -> dict:
+        """Returns ``rows``, counted while writing; ``owner`` refuses other users' rows."""
+        return self._append("sessions", sessions, batch, owner)
+
+    def append_shots(self, shots: DataFrame, batch: str | None = None, owner: str | None = None,
+                     landed_at: dt.datetime | None = None, **seen) -> dict:
+        """NaN metrics become NULL, so that averages skip them.  Returns ``rows`` and
+        the aggregates ``seen``, counted while writing."""
         clean = shots.withColumns({m: nan_to_null(F.col(m).cast("double")) for m in METRICS if m in shots.columns})
-        self._append("shots", clean, batch)
+        return self._append("shots", clean.withColumn("landed_at", F.lit(landed_at or _now())), batch, owner, **seen)
 
     # -- maintenance ----------------------------------------------------------
     def delete_session(self, session_id: str, user_id: str, now: dt.datetime | None = None) -> None:
@@ -219,46 +181,54 @@ class Tables:
 
     def delete_sessions(self, session_ids: DataFrame, now: dt.datetime | None = None, batch: str | None = None) -> None:
         """Bulk K4/K6: tombstone every session in ``session_ids`` (column session_id)."""
-        ts = F.lit(now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).cast("timestamp")
-        self._append("deleted_sessions", session_ids.select("session_id", ts.alias("deleted_at")), batch)
+        self._append("deleted_sessions", session_ids.select("session_id", F.lit(now or _now()).alias("deleted_at")), batch)
 
     def erase_users(self, user_ids: DataFrame, now: dt.datetime | None = None, batch: str | None = None) -> None:
-        """K5: tombstone users (column user_id): shots, summaries, sessions hidden."""
-        ts = F.lit(now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).cast("timestamp")
-        self._append("deleted_users", user_ids.select("user_id", ts.alias("deleted_at")), batch)
-
-    def _replace(self, table: str, before: list, df: DataFrame) -> bool:
-        """Rewrite the folders ``before`` as one; False if they are no longer
-        live.  Folders added meanwhile stay."""
-        folder = f"data/batch={uuid.uuid4().hex}"
-        self._write(table, df, folder)
-        done = []
+        """K5: tombstone users (column user_id): shots, summaries and sessions that
+        came in up to now are hidden."""
+        self._append("deleted_users", user_ids.select("user_id", F.lit(now or _now()).alias("deleted_at")), batch)
 
-        def swap(now):
-            done[:] = [all(f in now for f in before)]
-            return [[folder, None], *[f for f in now if f not in before]] if done[0] else now
-
-        self._change(table, swap)
-        return done[0]
+    def _batches(self) -> tuple:
+        """Number and hash of the batches of shots and sessions."""
+        names = self._files("shots").select("batch").unionAll(self._files("sessions").select("batch")).distinct()
+        return tuple(names.agg(F.count(F.lit(1)), F.sum(F.xxhash64("batch").cast("decimal(38,0)"))).first())
 
     def compact(self) -> None:
-        """Rewrite the three tables without tombstoned rows.
-
-        Each table's commit replaces just the folders that were read.  When no
-        batch came in meanwhile, the applied tombstones are retired."""
-        marks = {k: self.live(k) for k in ("deleted_sessions", "deleted_users")}
-        quiet = True
-        for table, key in (("shots", "session_id"), ("sessions", "id"), ("club_summaries", None)):
-            entry = self.live(table)
-            while entry:
-                if self._replace(table, entry["folders"], self._live(self._folders(table, entry["folders"]), key)):
-                    quiet &= len(self.live(table)["folders"]) == 1
-                    break
-                entry = self.live(table)
-        if quiet:
-            for kind, entry in marks.items():
-                if entry:
-                    self._change(kind, lambda now, gone=entry["folders"]: [f for f in now if f not in gone])
+        """Rewrite, in place, the partitions that hold tombstoned rows.
+
+        Tombstones that were there at the start are retired afterwards if no batch
+        came in meanwhile.  A crash leaves each partition old or new; the
+        tombstones stay, so reads are right and ``compact`` can be run again."""
+        before = self._batches()
+        marks = {k: self._files(k).checkpoint(eager=True) for k in ("deleted_sessions", "deleted_users")}
+        for table in ("shots", "sessions", "club_summaries"):
+            parts = self._parts(table)
+            hit = [d.select(*parts) for d in self._dead(table, self._read(table), "left_semi")]
+            touched = hit[0] if len(hit) == 1 else hit[0].unionAll(hit[1])
+            touched = touched.distinct().checkpoint(eager=True)  # a row per partition
+            keep = self._live(table).join(touched, parts, "left_semi")
+            self._replace(table, keep.unionByName(self._fillers(table, touched)))
+        if self._batches() == before:
+            for kind, was in marks.items():
+                gone = was.where(F.col(_KEYS[kind]).isNotNull()).select("batch").distinct()
+                self._replace(kind, self._fillers(kind, gone))
+
+    # -- reads that cannot forget the user -------------------------------------
+    def register_reads(self, prefix: str = "") -> list[str]:
+        """SQL table functions ``<prefix>shots_of(u)``, ``sessions_of(u)`` and
+        ``club_summaries_of(u)`` over the live rows of one user, in this session.
+        There is no form without a user; the bucket filter prunes the scan."""
+        made = []
+        for table, live in (("shots", self.shots()), ("sessions", self.sessions()), ("club_summaries", self.club_summaries())):
+            view = f"{prefix}_{table}_live".lstrip("_")
+            live.createOrReplaceTempView(view)
+            columns = [f for f in _SCHEMAS[table].fields if f.name != "landed_at"]
+            pruned = f" AND user_bucket = pmod(xxhash64(u), {self.buckets})" if "user_bucket" in live.columns else ""
+            self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{table}_of(u STRING) RETURNS TABLE ("
+                           + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns) + ") RETURN SELECT "
+                           + ", ".join(f.name for f in columns) + f" FROM {view} WHERE user_id = u{pruned}")
+            made.append(f"{prefix}{table}_of")
+        return made
 
 
 def for_user(df: DataFrame, user_id: str, buckets: int | None = None) -> DataFrame:
@@ -271,8 +241,9 @@ def for_user(df: DataFrame, user_id: str, buckets: int | None = None) -> DataFra
 
 
 def fetch_shots(tables: Tables, user_id: str | None = None) -> DataFrame:
-    """Shots of one user (or all), every column of the table; NaN was
-    replaced by NULL when the shots were written."""
+    """Shots of one user (None: all users, for batch jobs; ``register_reads``
+    has no such form), every column of the table; NaN was replaced by NULL when the
+    shots were written."""
     df = tables.shots()
     df = for_user(df, user_id, tables.buckets) if user_id is not None else df
     return df.drop("user_bucket")
@@ -290,7 +261,7 @@ def list_sessions(tables: Tables, user_id: str | None = None) -> DataFrame:
 def to_cache_rows(summary: DataFrame, computed_at: dt.datetime | None = None) -> DataFrame:
     """K8: the club summary projected to the cache schema; shape_bias is
     never filled (typed NULL); id is deterministic per (user, club)."""
-    ts = computed_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    ts = computed_at or _now()
     src = {dst: s for s, dst in CACHE_RENAMES}
     cols = []
     for f in CLUB_SUMMARIES_SCHEMA.fields:
@@ -317,48 +288,44 @@ class NoSummary(LookupError):
     """No summary was generated for the user yet."""
 
 
-def generate(tables: Tables, users: DataFrame | None = None,
-             computed_at: dt.datetime | None = None) -> DataFrame:
+class Generation(NamedTuple):
+    """What a generation of the cache wrote."""
+
+    counts: DataFrame     # user_id, clubs_computed
+    clubs_computed: int   # all users together, counted while writing
+
+
+def generate(tables: Tables, users: DataFrame | None = None, computed_at: dt.datetime | None = None) -> Generation:
     """K13 (+K7/K8): recompute the cached club summary for ``users`` (a
     frame with a user_id column; None = everyone) in one job.
 
-    Only buckets that get new rows are rewritten: their other users' rows are
-    carried over, and a user without shots keeps the cached rows.  Without any
-    shots nothing is changed and ``NoShotData`` is raised.  Returns clubs
-    computed per user (the caller's count).
+    The first generation is one write.  Later ones rewrite only buckets that get
+    new rows: their other users' rows are carried over, and a user without shots
+    keeps the cached rows.  Without any shots nothing is changed and ``NoShotData``
+    is raised.
     """
-    shots = tables.shots()
+    shots, at = tables.shots(), computed_at or _now()
     if users is not None:
         shots = shots.join(users.select(F.col("user_id").cast("string")).distinct(), "user_id", "left_semi")
-    n = tables.buckets
-    new_rows = to_cache_rows(club_summary(shots, by=("user_id",)), computed_at)
-    folder = f"data/batch={uuid.uuid4().hex}-new"
-    log, fs = tables._path(f"{tables._dir('club_summaries')}/_log")
-    fs.mkdirs(log)
-    tables._write("club_summaries", new_rows, folder)
-    written = tables._folders("club_summaries", [[folder, None]])
-    # At most ``n`` bucket numbers.
-    touched = sorted(r[0] for r in written.select("user_bucket").distinct().collect())
-    if not touched:
-        raise NoShotData("no shot data")
-    while True:
-        entry = tables.live("club_summaries")
-        old = tables._folders("club_summaries", entry["folders"] if entry else []).where(F.col("user_bucket").isin(touched))
-        carried = old.join(written.select("user_id").distinct(), "user_id", "left_anti")
-        both = f"data/batch={uuid.uuid4().hex}"
-        tables._write("club_summaries", carried.unionByName(written).drop("user_bucket"), both)
-        # A folder holds good for the buckets that no later one has.
-        rest = []
-        for path, only in entry["folders"] if entry else []:
-            left = [b for b in (only if only is not None else range(n)) if b not in touched]
-            if left:
-                rest.append([path, left])
-        try:
-            tables._commit("club_summaries", entry["number"] + 1 if entry else 0, [*rest, [both, touched]], n)
-            break
-        except CommitConflict:
-            continue
-    return written.groupBy("user_id").agg(F.count(F.lit(1)).alias("clubs_computed"))
+    bucket = bucket_of(F.col("user_id"), tables.buckets)
+    new = to_cache_rows(club_summary(shots, by=("user_id",)), at).withColumn("user_bucket", bucket)
+    old = tables._read("club_summaries")
+    if old.isEmpty():
+        clubs = tables._replace("club_summaries", new)["rows"]
+        if not clubs:
+            raise NoShotData("no shot data")
+        new = tables._read("club_summaries")
+    else:
+        checkpoint_dir(tables.spark)
+        new = new.checkpoint(eager=True)
+        # At most as many numbers as there are buckets.
+        touched = [r[0] for r in new.select("user_bucket").distinct().collect()]
+        if not touched:
+            raise NoShotData("no shot data")
+        carried = (old.where(F.col("user_bucket").isin(touched))
+                   .join(new.select("user_id").distinct(), "user_id", "left_anti"))
+        clubs = tables._replace("club_summaries", carried.unionByName(new), new=F.count_if(F.col("computed_at") == F.lit(at)))["new"]
+    return Generation(new.groupBy("user_id").agg(F.count(F.lit(1)).alias("clubs_computed")), clubs)
 
 
 def cached_summary(tables: Tables, user_id: str | None = None) -> DataFrame:
@@ -377,7 +344,7 @@ def session_rows(files: DataFrame, user_id_col: str = "user_id",
     """K1/K2: one sessions row per landed file (columns user_id, filename and,
     where given, storage_path); the id is a hash of (storage_path, upload
     time), so a job that is run again with the same time has the same ids."""
-    ts = uploaded_at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    ts = uploaded_at or _now()
     path = (F.col("storage_path") if "storage_path" in files.columns
             else F.concat_ws("/", F.col(user_id_col).cast("string"), F.col("filename")))
     return files.select(

@@ -140,41 +140,95 @@ def test_bucket_count_is_the_tables(spark, tmpdir_path):
     assert "user_bucket" not in tb.fetch_shots(again).columns
 
 
-def test_data_without_commit_is_refused(spark, tmpdir_path):
-    _shots(spark, [("s1", "u1", "7i", 150.0)]).write.parquet(f"{tmpdir_path}/tables/shots/data/x")
-    with pytest.raises(RuntimeError):
-        tb.Tables(spark, f"{tmpdir_path}/tables")
+def test_a_replay_replaces_its_batch(spark, tmpdir_path):
+    t = tb.Tables(spark, f"{tmpdir_path}/tables", buckets=4)
+    t.append_shots(_shots(spark, [("s9", "u9", "7i", 99.0)]), batch="b0")
+    for _ in range(2):
+        done = t.append_shots(_shots(spark, [("s1", "u1", "7i", 150.0), ("s2", "u2", "7i", 151.0), ("s3", "u3", "7i", 152.0)]), batch="b1")
+        assert done["rows"] == 3 and t.shots().count() == 4
+    # A replay with fewer rows also clears the buckets it has no rows for.
+    assert t.append_shots(_shots(spark, [("s1", "u1", "7i", 150.0)]), batch="b1")["rows"] == 1
+    assert sorted(r.session_id for r in t.shots().collect()) == ["s1", "s9"]
 
 
-def test_replay_and_conflicting_commits(spark, tmpdir_path):
+def test_a_write_that_fails_half_way_changes_nothing(spark, tmpdir_path):
     t = tb.Tables(spark, f"{tmpdir_path}/tables", buckets=4)
-    for _ in range(2):
-        t.append_shots(_shots(spark, [("s1", "u1", "7i", 150.0)]), batch="b1")
-    assert t.shots().count() == 1
-    entry = t.live("shots")
-    with pytest.raises(tb.CommitConflict):
-        t._commit("shots", entry["number"], entry["folders"], 4)
-    assert t.live("shots") == entry
+    good = _shots(spark, [(f"s{k}", f"u{k}", "7i", 150.0) for k in range(20)])
+    t.append_shots(good, batch="b1")
+    bad = good.withColumn("club_type", F.when(F.col("user_id") == "u7", F.raise_error(F.lit("lost")).cast("string")).otherwise("D"))
+    for batch in ("b1", "b2"):
+        with pytest.raises(Exception, match="lost"):
+            t.append_shots(bad, batch=batch)
+        assert t.shots().where("club_type = '7i'").count() == t.shots().count() == 20
+    os.makedirs(f"{tmpdir_path}/tables/shots/.spark-staging-x/batch=b3/user_bucket=0")
+    with open(f"{tmpdir_path}/tables/shots/.spark-staging-x/batch=b3/user_bucket=0/part-0.parquet", "wb") as f:
+        f.write(b"torn")
+    assert t.shots().count() == 20
+
+
+def test_rows_of_another_owner_are_refused(spark, tmpdir_path):
+    t = tb.Tables(spark, f"{tmpdir_path}/tables", buckets=4)
+    with pytest.raises(Exception, match="another user"):
+        t.append_shots(_shots(spark, [("s1", "u1", "7i", 150.0), ("s2", "u2", "7i", 1.0)]), owner="u1")
+    assert t.shots().count() == 0
+    assert t.append_shots(_shots(spark, [("s1", "u1", "7i", 150.0)]), owner="u1")["rows"] == 1
 
 
-def test_append_during_compact_is_kept(spark, tmpdir_path):
+def test_compact_empties_partitions_and_keeps_new_batches(spark, tmpdir_path):
     t = tb.Tables(spark, f"{tmpdir_path}/tables", buckets=4)
-    t.append_shots(_shots(spark, [("s1", "u1", "7i", 150.0), ("s2", "u1", "7i", 151.0)]))
+    t.append_shots(_shots(spark, [("s1", "u1", "7i", 150.0), ("s2", "u1", "7i", 151.0)]), batch="a")
+    t.append_shots(_shots(spark, [("s2", "u2", "7i", 151.0)]), batch="b")
     t.delete_sessions(spark.createDataFrame([("s2",)], "session_id string"))
-    write = t._write
+    replace = t._replace
 
-    def slow(table, df, folder):
-        write(table, df, folder)
+    def slow(table, df, **seen):
+        out = replace(table, df, **seen)
         if table == "shots" and not slow.done:
             slow.done = True
             t.append_shots(_shots(spark, [("s3", "u1", "7i", 152.0)]))
+        return out
 
-    slow.done, t._write = False, slow
+    slow.done, t._replace = False, slow
     t.compact()
-    t._write = write
-    assert sorted(r["session_id"] for r in t.shots().collect()) == ["s1", "s3"]
+    t._replace = replace
+    stored = t._files("shots").where("id IS NOT NULL")
+    assert sorted(r.session_id for r in stored.collect()) == ["s1", "s3"]  # batch b is empty now
+    assert t.tombstones("deleted_sessions").count() == 1
     t.compact()  # nothing came in between: the tombstone goes
     assert t.tombstones("deleted_sessions").count() == 0 and t.shots().count() == 2
+    assert not [d for d in os.listdir(f"{tmpdir_path}/tables/shots") if "log" in d]
+
+
+def test_a_user_who_comes_back_is_seen(spark, tmpdir_path):
+    t = tb.Tables(spark, f"{tmpdir_path}/tables", buckets=4)
+    t.append_shots(_shots(spark, [("s1", "u1", "7i", 150.0), ("s2", "u2", "D", 1.0)]), landed_at=dt.datetime(2025, 1, 1))
+    t.erase_users(tb.users_frame(spark, ["u1"]), now=dt.datetime(2025, 1, 2))
+    assert [r.user_id for r in t.shots().collect()] == ["u2"]
+    t.append_shots(_shots(spark, [("s3", "u1", "7i", 150.0)]), landed_at=dt.datetime(2025, 1, 3))
+    assert sorted(r.session_id for r in t.shots().collect()) == ["s2", "s3"]
+    t.compact()
+    assert sorted(r.session_id for r in t.shots().collect()) == ["s2", "s3"]
+
+
+def test_reads_that_need_a_user(spark, tmpdir_path):
+    t = tb.Tables(spark, f"{tmpdir_path}/tables", buckets=4)
+    t.append_shots(_shots(spark, [("s1", "u1", "7i", 150.0), ("s2", "u2", "D", 250.0)]))
+    t.append_sessions(tb.session_rows(spark.createDataFrame([("u1", "a.csv")], "user_id string, filename string")))
+    tb.generate(t)
+    assert t.register_reads("t_") == ["t_shots_of", "t_sessions_of", "t_club_summaries_of"]
+    got = spark.sql("SELECT * FROM t_shots_of('u1')")
+    assert [(r.user_id, r.session_id) for r in got.collect()] == [("u1", "s1")] and "landed_at" not in got.columns
+    assert "PartitionFilters: [" in plan(got) and "user_bucket" in plan(got).split("PartitionFilters")[1].split("]")[0]
+    assert spark.sql("SELECT * FROM t_shots_of('nobody')").count() == 0
+    assert spark.sql("SELECT * FROM t_shots_of(NULL)").count() == 0
+    assert spark.sql("SELECT * FROM t_sessions_of('u2')").count() == 0
+    assert [r.club_type for r in spark.sql("SELECT * FROM t_club_summaries_of('u2')").collect()] == ["D"]
+    with pytest.raises(Exception):
+        spark.sql("SELECT * FROM t_shots_of()").collect()
+
+
+def plan(df, mode="formatted"):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(mode))
 
 
 def test_nan_is_null_and_cache_survives_deletes(spark, tmpdir_path):
@@ -238,3 +292,82 @@ def test_save_deliverables_roundtrip(spark, tmpdir_path):
     back = sinks.read_csv_table(spark, paths["club_summary"])
     assert back.count() == d.club_summary.count()
     assert back.columns == d.club_summary.columns
+
+
+# -- session files --------------------------------------------------------------
+def test_one_scan_and_a_limit_on_the_files(spark, tmpdir_path):
+    for k in range(6):
+        write(f"{tmpdir_path}/raw/f [{k}] {{x}}.csv", HEAD_A + UNITS_A + f"p,7i,{k},100,1\n")
+    got = csvs.read_sessions(spark, f"{tmpdir_path}/raw")
+    assert got.count() == 6 and plan(got, "simple").count("FileScan") == 1
+    some = csvs.session_files(spark, f"{tmpdir_path}/raw", limit=2)
+    assert len(some.inputFiles()) == 2 and plan(some, "simple").count("FileScan") == 1
+    assert sorted(r.carry_distance for r in csvs.read_sessions(spark, f"{tmpdir_path}/raw", limit=2).collect()) == [0.0, 1.0]
+    assert csvs.read_sessions(spark, f"{tmpdir_path}/raw", limit=0).count() == 0
+    assert csvs.read_sessions(spark, f"{tmpdir_path}/none", limit=3).count() == csvs.read_sessions(spark, f"{tmpdir_path}/none").count() == 0
+    stats = csvs.merge_stats(csvs.read_raw(spark, f"{tmpdir_path}/raw").rows).first()
+    assert (stats.files, stats.rows) == (6, 6)
+
+
+def test_blank_first_lines_and_breaks_in_the_header(spark, tmpdir_path):
+    write(f"{tmpdir_path}/raw/a.csv", "\n  \n" + HEAD_A + "\n" + UNITS_A + "p,7i,150,100,1\n\n", bom=True)
+    write(f"{tmpdir_path}/raw/b.csv", '"Club Type","Carry Distance","A ""note""\nin two lines"\r\n8i,140,"x, ""y""\nz"\r\n')
+    write(f"{tmpdir_path}/raw/c.csv", "club type,carry_distance\n9i,130\n")
+    write(f"{tmpdir_path}/raw/d.csv", "\n\n")
+    raw = csvs.read_raw(spark, f"{tmpdir_path}/raw")
+    assert 'A "note"\nin two lines' in raw.rows.columns and raw.rejected.count() == 0 and raw.files.count() == 3
+    assert {r['A "note"\nin two lines'] for r in raw.rows.collect()} == {None, 'x, "y"\nz'}
+    got = csvs.read_sessions(spark, f"{tmpdir_path}/raw", keep=[])
+    assert sorted((r.club_type, r.carry_distance) for r in got.collect()) == [("7i", 150.0), ("8i", 140.0), ("9i", 130.0)]
+
+
+def test_a_file_over_the_bound_raises(spark, tmpdir_path):
+    write(f"{tmpdir_path}/raw/a.csv", HEAD_A + "p,7i,150,100,1\n" * 100)
+    with pytest.raises(Exception, match="not a session file"):
+        csvs.session_files(spark, f"{tmpdir_path}/raw", max_bytes=500).collect()
+
+
+def test_landing_keeps_the_last_version(spark, tmpdir_path):
+    from shotspark.plans.ingest import upload_sessions
+    from shotspark.sources.landing import Landing
+    zone = Landing(spark, f"{tmpdir_path}/zone")
+    assert zone.latest().count() == 0
+    write(f"{tmpdir_path}/up/a.csv", HEAD_A + "p,7i,1,100,1\n")
+    write(f"{tmpdir_path}/up/b.csv", HEAD_A + "p,D,2,100,1\r\np,D,3,100,1\n")
+    for _ in range(2):  # the second time replays the batch
+        zone.land(csvs.session_files(spark, f"{tmpdir_path}/up"), dt.datetime(2025, 1, 1), batch="one")
+    assert zone._rows().count() == 2
+    write(f"{tmpdir_path}/up/a.csv", HEAD_A + "p,7i,9,100,1\np,7i,8,100,1\n")
+    zone.land(csvs.session_files(spark, f"{tmpdir_path}/up/a.csv"), dt.datetime(2025, 1, 2), batch="two")
+    latest = {r.storage_path.rsplit("/", 1)[1]: bytes(r.content).decode() for r in zone.latest().collect()}
+    assert latest == {"a.csv": HEAD_A + "p,7i,9,100,1\np,7i,8,100,1\n", "b.csv": HEAD_A + "p,D,2,100,1\r\np,D,3,100,1\n"}
+    shots = csvs.shots_of_files(zone.latest().withColumnRenamed("storage_path", csvs.SOURCE))
+    assert sorted(r.carry_distance for r in shots.collect()) == [2.0, 3.0, 8.0, 9.0]
+    lines = zone.lines().where("storage_path LIKE '%b.csv'").orderBy("number").collect()
+    assert [(r.number, r.line) for r in lines] == [(0, HEAD_A.strip()), (1, "p,D,2,100,1"), (2, "p,D,3,100,1")]
+    zone.vacuum()
+    assert zone._rows().count() == 2 and zone.latest().count() == 2
+    t = tb.Tables(spark, f"{tmpdir_path}/tables", buckets=4)
+    done = upload_sessions(spark, t, f"{tmpdir_path}/up", "u1", dt.datetime(2025, 1, 3), landing=zone)
+    assert (done.rows_imported, done.files_imported) == (4, 2) == (t.shots().count(), t.sessions().count())
+    assert {r.landed_at for r in zone.latest().collect()} == {dt.datetime(2025, 1, 3)}
+
+
+def test_counts_while_writing(spark, tmpdir_path):
+    t = tb.Tables(spark, f"{tmpdir_path}/tables", buckets=4)
+    rows = [(f"s{k}", f"u{k % 7}", ["7i", "D", None][k % 3], float(k)) for k in range(500)]
+    seen = t.append_shots(_shots(spark, rows), least=F.min("carry_distance"))
+    assert seen == {"rows": 500, "least": 0.0}
+    made = tb.generate(t)
+    assert made.clubs_computed == t.club_summaries().count() == 21
+    assert {r.user_id: r.clubs_computed for r in made.counts.collect()} == {f"u{k}": 3 for k in range(7)}
+    some = tb.generate(t, users=tb.users_frame(spark, ["u1", "u2"]))
+    assert some.clubs_computed == 6 and t.club_summaries().count() == 21
+
+
+def test_merged_csv_has_its_index(spark, tmpdir_path):
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("a"), F.lit("x,y").alias("b")).repartition(7)
+    path = sinks.write_merged_csv(df, f"{tmpdir_path}/m", [F.col("a")])
+    back = sinks.read_csv_table(spark, path)
+    assert back.columns == ["row_index", "a", "b"]
+    assert [(r.row_index, r.a) for r in back.orderBy("row_index").collect()] == [(k, k) for k in range(1000)]
