@@ -206,8 +206,9 @@ def _calibrate(model: Model, texts: list[str], y: np.ndarray, known: list[_Famil
 
 
 def fit(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 4, rate: float = 0.4, batch: int = 32,
-        seed: int = 7) -> Model:
-    """Train and calibrate on labelled texts; every fifth is for calibration."""
+        seed: int = 7, least_steps: int = 200) -> Model:
+    """Train and calibrate on labelled texts; every fifth is for calibration.  A
+    small sample is gone through more often, until ``least_steps`` are taken."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((BUCKETS, 0), np.int32), np.zeros(0), 1.0, 1.0)
@@ -223,7 +224,9 @@ def fit(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 4, rate
     layer, bias = np.zeros((dim, len(names)), np.float32), np.zeros(len(names), np.float32)
     # Each language weighs the same, however many texts the sample has of it.
     weight = len(training) / (len(names) * np.maximum(np.bincount(y[training], minlength=len(names)), 1))
-    steps = max(1, epochs * -(-len(training) // batch))
+    round_ = max(1, -(-len(training) // batch))
+    epochs = max(epochs, -(-least_steps // round_))
+    steps = epochs * round_
     step = 0
     for _ in range(epochs):
         rng.shuffle(training)
