@@ -151,7 +151,11 @@ def _cells(wanted: list[str], loose: bool):
     fields = [SOURCE, LINE, "rejected", *[f"c{i}" for i in range(len(wanted))]]
 
     def batch_of(source, rows, places, rejected=False):
-        cols = [pa.array([r[p] if p is not None and p < len(r) else None for _, r in rows], pa.string()) for p in places]
+        if rows and min(len(r) for _, r in rows) > max((p for p in places if p is not None), default=0):
+            cells = list(zip(*(r for _, r in rows)))  # no short row: transposed at once
+            cols = [pa.nulls(len(rows), pa.string()) if p is None else pa.array(cells[p], pa.string()) for p in places]
+        else:
+            cols = [pa.array([r[p] if p is not None and p < len(r) else None for _, r in rows], pa.string()) for p in places]
         return pa.RecordBatch.from_arrays([pa.array([source] * len(rows), pa.string()), pa.array([n for n, _ in rows], pa.int64()),
                                            pa.array([rejected] * len(rows), pa.bool_()), *cols], names=fields)
 

@@ -104,8 +104,8 @@ def write_session_csvs(shots_df: DataFrame, out_dir: str, shots_per_file: int =
     from shotspark.schema import METRIC_TITLES
 
     def layout(df, cols, bom, null_value, path):
-        units = (df.select("_file").distinct()
-                   .select("_file", *[F.lit(None).cast("string").alias(c) for c, _ in cols[:3]],
+        units = (df.sparkSession.range(files)
+                   .select(F.col("id").alias("_file"), *[F.lit(None).cast("string").alias(c) for c, _ in cols[:3]],
                            F.lit("").alias(cols[3][0]),
                            *[F.lit("[u]").alias(c) for c, _ in cols[4:]], F.lit(0).alias("_data")))
         data = df.select("_file", *[F.col(src).cast("string").alias(c) for c, src in cols], F.lit(1).alias("_data"))
