@@ -19,7 +19,8 @@ it, for shuffled reads; ``read_all`` passes over whole shards.
 
 Texts are dealt by range of (id, hash) into shards of about ``shard_bytes`` of
 text, the number following the table's size.  The tokenizer library encodes
-each distinct word of a batch once (see ``encode_texts``).
+each distinct word of a batch once, and the worker keeps the ids of a bounded number
+of words for its next batches (see ``encode_texts``).
 
 Defined cases: a special token's string in a text is ordinary text, or with
 ``specials`` that token, as is the library's default and what the query takes; a
@@ -44,7 +45,6 @@ from shotspark.llm.common import documents, pick, scratch_path
 from shotspark.llm.ragged import gather
 
 END_ID = 1
-_MARK = "\x01"  # stands between words of one call to the tokenizer
 _HEAD = struct.Struct("<QI")
 _INDEX = ("shard string, record long, offset long, length long, id long, n_tokens long, ids_crc32 long, "
           "before long")
@@ -99,7 +99,7 @@ def _tokenizer(spec: str, specials: bool):
         t = Tokenizer.from_str(spec)
         t.encode_special_tokens = not specials
         _tokenizers.clear()
-        _tokenizers[key] = t, _word_by_word(spec)
+        _tokenizers[key] = t, _Known(t) if _word_by_word(spec) else None
     return _tokenizers[key]
 
 
@@ -107,9 +107,9 @@ def _word_by_word(spec: str) -> bool:
     """Whether white space always parts words and leaves no trace: then words
     may be encoded apart.  Known of a pre-tokenizer that drops white space
     between its matches, behind a normalizer that works character by character,
-    with added tokens that neither hold white space or the mark nor take any in."""
+    with added tokens that neither hold white space nor take any in."""
     s = json.loads(spec)
-    if any(a.get("lstrip") or a.get("rstrip") or _MARK in a["content"] or a["content"].split() != [a["content"]]
+    if any(a.get("lstrip") or a.get("rstrip") or a["content"].split() != [a["content"]]
            for a in s.get("added_tokens") or []):
         return False
     norms = s.get("normalizer") or {}
@@ -123,46 +123,62 @@ def _word_by_word(spec: str) -> bool:
 
 def _encode_words(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words in one array, and how many each word has.  A thousand
-    words go into one call, parted by a mark that is a token of its own; where
-    a word holds the mark, its thousand go one by one."""
-    mark = tokenizer.encode(_MARK, add_special_tokens=False).ids
+    words go into one call, parted by blanks; a token belongs to the word in which
+    its characters begin."""
     flat, length = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
     for a in range(0, len(words), 1000):
         some = words[a:a + 1000]
-        text = f" {_MARK} ".join(some)
-        if len(mark) == 1 and text.count(_MARK) == len(some) - 1:
-            ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(ids == mark[0])
-            if len(cut) == len(some) - 1:
-                flat.append(ids[ids != mark[0]])
-                length.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
-                continue
-        each = [tokenizer.encode(w, add_special_tokens=False).ids for w in some]
-        flat.append(np.array([i for e in each for i in e], np.uint32))
-        length.append(np.array([len(e) for e in each], np.int64))
+        found = tokenizer.encode(" ".join(some), add_special_tokens=False)
+        begin = np.cumsum([0, *(len(w) + 1 for w in some[:-1])])
+        at = np.searchsorted(begin, np.array([o[0] for o in found.offsets], np.int64), "right") - 1
+        flat.append(np.array(found.ids, np.uint32))
+        length.append(np.bincount(at, minlength=len(some)))
     return np.concatenate(flat), np.concatenate(length)
 
 
+class _Known:
+    """The ids of words that a worker met before, for its later batches: the first
+    ``most`` of them, among which are the frequent ones, so memory is bounded."""
+
+    def __init__(self, tokenizer, most: int = 1_000_000):
+        self.tokenizer, self.most, self.number = tokenizer, most, {}
+        self.flat, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in one array, and start and length of those of each of the words."""
+        new = [w for w in words if w not in self.number]
+        number = dict(zip(new, range(len(self.number), len(self.number) + len(new))))
+        flat, length = _encode_words(self.tokenizer, new)
+        flat, length = np.concatenate([self.flat, flat]), np.concatenate([self.length, length])
+        kept = self.number
+        at = np.fromiter((kept[w] if w in kept else number[w] for w in words), np.int64, len(words))
+        if len(kept) + len(new) <= self.most:
+            self.number.update(number)
+            self.flat, self.length = flat, length
+        return flat, (np.cumsum(length) - length)[at], length[at]
+
+
 def encode_texts(spec: str, texts: pa.Array, specials: bool = False) -> list[np.ndarray]:
     """Ids of each text, equal to the library's for the whole text.
 
     The vocabulary's words end at white space and white space leaves no token,
     so a text's ids are its words' ids in order.  Each distinct word of the
-    array is encoded once.  Tokenizers of another kind get whole texts.
+    array is encoded once, and not again in the worker's next arrays.  Tokenizers of
+    another kind get whole texts.
     """
-    tokenizer, by_word = _tokenizer(spec, specials)
+    tokenizer, known = _tokenizer(spec, specials)
     texts = texts.fill_null("")
-    if not by_word:
+    if known is None:
         return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
     pieces = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
     coded = pieces.flatten().dictionary_encode()
-    flat, length = _encode_words(tokenizer, coded.dictionary.to_pylist())
-    start, index = np.cumsum(length) - length, coded.indices.to_numpy()
+    flat, start, length = known(coded.dictionary.to_pylist())
+    index = coded.indices.to_numpy()
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(pieces).to_numpy(), dtype=np.int64)])
     return [gather(flat, start, length, index[a:b]) for a, b in zip(ends[:-1], ends[1:])]
 
 
-def _to_records(spec, end_id: int, specials: bool, batch_bytes: int = 3 << 23):
+def _to_records(spec, end_id: int, specials: bool, batch_bytes: int = 1 << 23):
     def run(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.large_string())
