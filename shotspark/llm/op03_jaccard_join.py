@@ -20,7 +20,9 @@ distinct 5-word shingles.  Then the symmetric difference is at most
   links give components.  Blocks that still hold documents of several
   components go on: first with their smallest document, then each document
   with those of other components, inside a task, by size and by the Hamming
-  distance of a compact sketch.  Only pairs near enough to link become rows; a
+  distance of a compact sketch.  Such blocks are dealt to parts, to which a
+  document sends its sketch once, with the names of its blocks there.  Only pairs
+  near enough to link become rows, once a part; a
   block of more than ``GROUP`` documents is dealt to tasks by pairs of groups.
 * *Verify.* Exact intersection of the shingle sets of the whole texts.
 
@@ -56,6 +58,8 @@ OWN = ["n_shingles", "component_id"]
 CHUNK, PART_ROWS, FREQUENT = 1 << 20, 1_500_000, 32
 #: Documents of a block that are compared in one task; larger blocks go by pairs of such groups.
 GROUP = 4096
+#: Rows (block, document) of a part in which blocks are compared.
+PART_BLOCKS = 100_000
 _U = np.uint64
 
 
@@ -313,11 +317,9 @@ def _near(batches):
         yield batch.filter(pa.array(np.array(d, np.int64) <= most)).select(["a", "b"])
 
 
-def _close_pairs(key, own, fp, root, n, sk, keys, across: bool):
+def _close_pairs(own, fp, root, n, sk, across: bool):
     """Pairs of one block in different components whose sizes and sketches are
-    near enough; ``sk`` is a matrix of sketch words.  A pair that shares several
-    blocks is given by the one with the smallest name alone: ``keys`` has the
-    open blocks of each document, in order."""
+    near enough; ``sk`` is a matrix of sketch words."""
     left, right = [], []
     for x in range(len(fp)):
         y = np.flatnonzero((root[x + 1:] != root[x]) & ((own[x + 1:] != own[x]) if across else True)) + x + 1
@@ -325,11 +327,32 @@ def _close_pairs(key, own, fp, root, n, sk, keys, across: bool):
         if len(y):
             d = np.bitwise_count(sk[y] ^ sk[x]).sum(axis=1, dtype=np.int64)
             y = y[d <= (n[y] + n[x]) // 9]
-            y = y[[np.intersect1d(keys[x], keys[k], assume_unique=True)[0] == key for k in y]] if len(y) else y
             left.append(np.full(len(y), fp[x])), right.append(fp[y])
     if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+        return np.zeros((2, 0), np.int64)
+    pair = np.stack([np.concatenate(left), np.concatenate(right)])
+    return np.stack([pair.min(axis=0), pair.max(axis=0)])
+
+
+class _Pairs:
+    """Distinct pairs of several blocks: a pair that shares many blocks is held once
+    beyond a few million."""
+
+    def __init__(self):
+        self.parts, self.held = [], 0
+
+    def add(self, pair: np.ndarray):
+        self.parts.append(pair)
+        self.held += pair.shape[1]
+        if self.held > 1 << 22 and len(self.parts) > 1:
+            self.parts, self.held = [self.distinct()], 0
+
+    def distinct(self) -> np.ndarray:
+        return np.unique(np.concatenate(self.parts, axis=1), axis=1) if self.parts else np.zeros((2, 0), np.int64)
+
+    def columns(self) -> list[pa.Array]:
+        pair = self.distinct()
+        return [pa.array(pair[0], pa.int64()), pa.array(pair[1], pa.int64())]
 
 
 def _fold(sketches: list[bytes]) -> np.ndarray:
@@ -344,34 +367,51 @@ def _fold(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
+def _near_in_part(table: pa.Table) -> pa.Table:
+    """One part: a row per document with its sketch once and the names of its blocks
+    there; the close pairs of all of the part's blocks, each once."""
+    table = table.combine_chunks()
+    fp, root, n = (table.column(c).to_numpy() for c in ("fp", "r", "n"))
+    sks, lists = table.column("sk").to_pylist(), table.column("keys").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    keys, size = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(fp)), size)
+    order = np.lexsort((doc, keys))
+    keys, doc, found = keys[order], doc[order], _Pairs()
+    cut = np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys))
+    for a, b in zip(cut[:-1], cut[1:]):
+        some = doc[a:b]
+        if b - a > 1 and (root[some] != root[some[0]]).any():
+            found.add(_close_pairs(some, fp[some], root[some], n[some], _fold([sks[k] for k in some]), False))
+    return pa.table(found.columns(), names=["a", "b"])
+
+
 def _near_across(batches):
-    """Rows sorted by (key, i, j): the close pairs of each block, or of two
-    groups i < j of a large block.  Pairs that are not close are never rows."""
+    """Rows of large blocks sorted by (key, i, j): the close pairs of two groups i < j,
+    or inside one.  Pairs that are not close are never rows."""
     names = ("key", "i", "j", "own", "fp", "r", "n")
     held = None
 
-    def close(cols, sks, keys):
+    def close(cols, sks):
         own, fp, root, n = cols[3:]
-        return _close_pairs(cols[0][0], own, fp, root, n, _fold(sks), keys, cols[1][0] != cols[2][0])
+        return _close_pairs(own, fp, root, n, _fold(sks), cols[1][0] != cols[2][0])
 
-    def rows(found):
-        a = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-        b = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-        pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pair[0], pa.int64()), pa.array(pair[1], pa.int64())], names=["a", "b"])
+    def rows(pairs):
+        found = _Pairs()
+        for pair in pairs:
+            found.add(pair)
+        return pa.RecordBatch.from_arrays(found.columns(), names=["a", "b"])
 
     for batch in batches:
         cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        sks, lists = batch.column("sk").to_pylist(), batch.column("keys")
-        flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy())
-        keys = np.split(flat, ends[:-1]) if len(ends) else []
+        sks = batch.column("sk").to_pylist()
         if held is not None:
-            cols, sks, keys = [np.concatenate([x, y]) for x, y in zip(held[0], cols)], held[1] + sks, held[2] + keys
+            cols, sks = [np.concatenate([x, y]) for x, y in zip(held[0], cols)], held[1] + sks
         cut = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
         cut = np.concatenate([[0], cut])
-        found = [close([c[x:y] for c in cols], sks[x:y], keys[x:y]) for x, y in zip(cut[:-1], cut[1:]) if y - x > 1]
+        found = [close([c[x:y] for c in cols], sks[x:y]) for x, y in zip(cut[:-1], cut[1:]) if y - x > 1]
         last = cut[-1]
-        held = [c[last:] for c in cols], sks[last:], list(keys[last:])
+        held = [c[last:] for c in cols], sks[last:]
         if found:
             yield rows(found)
     if held is not None and len(held[1]) > 1:
@@ -409,6 +449,19 @@ def _sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_near, "a long, b long")
 
 
+def _parts(open_: DataFrame) -> DataFrame:
+    """Open blocks (key, c rows, least document, groups) with the part that compares
+    each.  Blocks with one smallest document mostly hold the same documents, so
+    they share a part; a part has about ``PART_BLOCKS`` rows, and the blocks of a
+    document with more are dealt to several parts by their names."""
+    rows = open_.where("groups = 1").agg(F.sum("c")).first()[0] or 0
+    parts = max(8, math.ceil(rows / PART_BLOCKS))
+    size = open_.where("groups = 1").groupBy("least").agg(F.ceil(F.sum("c") / PART_BLOCKS).alias("w"))
+    apart = F.xxhash64("least", F.pmod(F.xxhash64("key"), F.col("w")))
+    part = F.when(F.col("w") > 1, apart).otherwise(F.pmod(F.xxhash64("least"), F.lit(parts)))
+    return open_.join(size, "least", "left").select("key", "groups", part.alias("part"))
+
+
 def _join(p: DataFrame, text: str, id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Row table (_id, _n, _fp), root of every linked node, and the tagged rows."""
     src = p.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
@@ -447,18 +500,20 @@ def _join(p: DataFrame, text: str, id: str) -> tuple[DataFrame, DataFrame, DataF
     # What is left: blocks whose documents are still in several components.
     held = rooted(shared.select("key", "fp"), "fp", "r").unionAll(
         rooted(shared.select("key", F.col("hub").alias("fp")).distinct(), "fp", "r").select("fp", "key", "r")).distinct()
-    open_ = write_table(held.groupBy("key").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count(F.lit(1)).alias("c"))
-                        .where("lo <> hi").select("key", F.ceil(F.col("c") / GROUP).alias("groups")), "jaccard-open")
-    held = write_table(held.join(open_, "key"), "jaccard-held")
-    keys = held.groupBy("fp").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # at most a document's blocks
-    held = held.join(keys, "fp").join(sets.select(F.col("_fp").alias("fp"), F.col("_n").alias("n"),
-                                                    F.col("_sketch").alias("sk")), "fp")
-    held = held.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("groups")))
-    held = held.select("key", "own", "fp", "r", "n", "sk", "keys", F.explode(F.expr(
+    open_ = write_table(held.groupBy("key").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count(F.lit(1)).alias("c"),
+                                                F.min("fp").alias("least"))
+                        .where("lo <> hi").select("key", "c", "least", F.ceil(F.col("c") / GROUP).alias("groups")), "jaccard-open")
+    held = write_table(held.join(_parts(open_), "key"), "jaccard-held")
+    sized = sets.select(F.col("_fp").alias("fp"), F.col("_n").alias("n"), F.col("_sketch").alias("sk"))
+    # A document's sketch goes once to a part, however many of its blocks are there.
+    packed = held.where("groups = 1").groupBy("part", "fp", "r").agg(F.collect_list("key").alias("keys")).join(sized, "fp")
+    cross = packed.groupBy("part").applyInArrow(_near_in_part, "a long, b long")
+    large = held.where("groups > 1").join(sized, "fp").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("groups")))
+    large = large.select("key", "own", "fp", "r", "n", "sk", F.explode(F.expr(
         "transform(sequence(0L, groups - 1), g -> struct(least(own, g) as i, greatest(own, g) as j))")).alias("at"))
-    held = held.select("key", "at.i", "at.j", "own", "fp", "r", "n", "sk", "keys")
-    cross = (held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-             .mapInArrow(_near_across, "a long, b long").distinct())
+    large = (large.select("key", "at.i", "at.j", "own", "fp", "r", "n", "sk")
+             .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_near_across, "a long, b long"))
+    cross = cross.unionAll(large).distinct()
     new = _links(cross, tagged, sets, "_text")
     if not new.isEmpty():
         root = components(links.unionAll(new))

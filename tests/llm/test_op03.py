@@ -143,3 +143,16 @@ def test_query_on_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.op3_jaccard_join(spark, SF_SMALL).collect()}
     assert got == brute(docs)
+
+
+def test_open_blocks_in_parts_and_groups(spark, monkeypatch):
+    """Near copies around the threshold, so that blocks stay open: many parts, and
+    blocks that are compared by pairs of groups."""
+    rng = random.Random(8)
+    base, rows = [f"w{k}" for k in range(200)], []
+    for i in range(70):
+        rows.append((i, " ".join(edited(rng, base, rng.choice([3, 4, 5])))))
+    for blocks, group in ((40, 4096), (100_000, 6)):
+        monkeypatch.setattr(J, "PART_BLOCKS", blocks)
+        monkeypatch.setattr(J, "GROUP", group)
+        check(spark, rows)
