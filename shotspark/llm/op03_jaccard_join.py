@@ -377,12 +377,22 @@ def _near_in_part(table: pa.Table) -> pa.Table:
     keys, size = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
     doc = np.repeat(np.arange(len(fp)), size)
     order = np.lexsort((doc, keys))
-    keys, doc, found = keys[order], doc[order], _Pairs()
+    keys, doc, found, seen = keys[order], doc[order], _Pairs(), set()
     cut = np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys))
+    width = np.array([len(x) for x in sks])
+    of_width = {w: np.flatnonzero(width == w) for w in set(width.tolist())}
+    rows = {w: np.frombuffer(b"".join(sks[k] for k in at), np.uint64).reshape(len(at), -1) for w, at in of_width.items()}
+    place = np.zeros(len(sks), np.int64)
+    for at in of_width.values():
+        place[at] = np.arange(len(at))
     for a, b in zip(cut[:-1], cut[1:]):
         some = doc[a:b]
-        if b - a > 1 and (root[some] != root[some[0]]).any():
-            found.add(_close_pairs(some, fp[some], root[some], n[some], _fold([sks[k] for k in some]), False))
+        if b - a == 1 or (root[some] == root[some[0]]).all() or some.tobytes() in seen:
+            continue  # a block of the same documents gives the same pairs
+        seen.add(some.tobytes())
+        w = width[some[0]]
+        sk = rows[w][place[some]] if (width[some] == w).all() else _fold([sks[k] for k in some])
+        found.add(_close_pairs(some, fp[some], root[some], n[some], sk, False))
     return pa.table(found.columns(), names=["a", "b"])
 
 
