@@ -5,17 +5,19 @@ graphs, one per shard, searched by beams.
   ``k + 1`` smallest ids can be in an answer, and a ranked window with a map-side
   limit keeps just those, so a vector that a third of the rows hold is cheap.
   Every row is thus indexed.
-* *Shards.* Points are dealt by hash to shards of about ``shard_rows`` (their
-  number follows the table), whose size bounds a task's memory.
+* *Shards.* Points are dealt by hash to shards of at most about ``shard_bytes`` of
+  doubles, which bounds a task's memory.  A table with fewer such shards than
+  cores gets as many as there are cores, but of no fewer than ``shard_rows``.
 * *Graph.* With one more coordinate all vectors of a shard get the same norm;
   then the nearest vector is the one of largest inner product.  Points enter
   in random order and in batches: a greedy beam search proposes neighbours, and
   relaxed pruning keeps an edge only if no kept neighbour is ``alpha`` times
   nearer to its end, which leaves diverse directions.  Edges are added both
   ways and full lists are pruned again.
-* *Search.* Each block of queries meets each shard once (an equi-join on block
-  numbers), a beam walks the shard's graph for all queries of the block at
-  once, and the shards' answers are merged by rank.
+* *Search.* The queries, the small side, travel to every shard.  A shard's task
+  gets its index, which is sent once and to no other task, and after it the
+  blocks of queries one by one; a beam walks the graph for all queries of a
+  block at once, and the shards' answers are merged by rank.
 
 All steps of a batch are numpy operations over the whole batch.  The index is
 written to the shared checkpoint folder before it is searched.
@@ -180,58 +182,79 @@ def _build_shard(table: pa.Table) -> pa.Table:
     x = _matrix(table.column("vector"))
     edges, entry = build(_lift(x).astype(np.float32))  # proposals need no more; scores are double
     ids = table.column("ids").combine_chunks()
+    narrow = x.astype(np.float32)
     return pa.table({
         "dim": pa.array([x.shape[1]], pa.int32()), "shard": pa.array([table.column("shard")[0].as_py()], pa.int32()),
-        "points": pa.array([x.tobytes()], pa.binary()), "edges": pa.array([edges.astype(np.int32).tobytes()], pa.binary()),
+        # Vectors that came as floats are kept as floats, without loss.
+        "points": pa.array([(narrow if (narrow == x).all() else x).tobytes()], pa.binary()),
+        "edges": pa.array([edges.astype(np.int32).tobytes()], pa.binary()),
         "entry": pa.array([entry.astype(np.int32).tobytes()], pa.binary()),
         "members": pa.array([ids.flatten().to_numpy().astype(np.int64).tobytes()], pa.binary()),
         "sizes": pa.array([ids.value_lengths().to_numpy().astype(np.int64).tobytes()], pa.binary())})
 
 
-def build_index(rows: DataFrame, k: int, shard_rows: int = 8192) -> DataFrame:
-    """One row per shard; ``rows`` has vec_id and vector, valid ones only."""
+def build_index(rows: DataFrame, k: int, shard_bytes: int = 1 << 26, shard_rows: int = 8192) -> tuple[DataFrame, int]:
+    """One row per shard (and length of vectors), and the number of shards;
+    ``rows`` has vec_id and vector, valid ones only."""
     nth = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     points = (rows.withColumn("r", nth).where(F.col("r") <= k + 1)  # pruned before the shuffle
               .groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
               .withColumn("dim", F.size("vector")))
     points = write_table(points, "ann-points")
-    shards = max(1, math.ceil(points.count() / shard_rows))
+    seen = points.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("dim") * F.lit(8).cast("long")), F.lit(0)).alias("bytes")).first()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, math.ceil(seen["bytes"] / shard_bytes), min(cores, math.ceil(seen["n"] / shard_rows)))
     points = points.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
-    return write_table(points.groupBy("dim", "shard").applyInArrow(_build_shard, _INDEX), "ann-index")
-
-
-def _search_blocks(k: int, beam: int):
-    """Each row: a shard and a block of queries; per query the shard's best."""
+    return write_table(points.groupBy("dim", "shard").applyInArrow(_build_shard, _INDEX), "ann-index"), shards
+
+
+class _Shard:
+    """A shard's index as arrays."""
+
+    def __init__(self, row: dict):
+        self.members, self.sizes = (np.frombuffer(row[c], np.int64) for c in ("members", "sizes"))
+        octets = len(row["points"]) // (len(self.sizes) * row["dim"])
+        self.x = np.frombuffer(row["points"], np.float32 if octets == 4 else np.float64).reshape(-1, row["dim"]).astype(np.float64)
+        self.edges = np.frombuffer(row["edges"], np.int32).reshape(len(self.x), -1).astype(np.int64)
+        self.entry = np.frombuffer(row["entry"], np.int32).astype(np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.lifted = _lift(self.x)
+
+    def best(self, own: np.ndarray, q: np.ndarray, k: int, beam: int):
+        """For each query its id, and ids and scores of its best in the shard."""
+        for a in range(0, len(own), _BATCH):
+            part = q[a:a + _BATCH]
+            found, _ = beam_search(self.lifted, self.edges, self.entry,
+                                   np.concatenate([part, np.zeros((len(part), 1))], axis=1), beam)
+            score = np.einsum("bd,bkd->bk", part, self.x[np.maximum(found, 0)])
+            for j in range(len(part)):
+                at = found[j][found[j] >= 0]
+                ids = np.concatenate([self.members[self.first[p]:self.first[p] + self.sizes[p]] for p in at])
+                s = np.repeat(score[j][found[j] >= 0], self.sizes[at])
+                keep = ids != own[a + j]
+                ids, s = ids[keep], s[keep]
+                best = np.lexsort((ids, -s))[:k]
+                yield int(own[a + j]), ids[best], s[best]
+
+
+def _search_shards(k: int, beam: int):
+    """Rows of a shard: first its index, then blocks of queries."""
 
     def run(batches):
+        at, shard = None, None
         for batch in batches:
-            for r in batch.to_pylist():
-                dim = r["dim"]
-                x = np.frombuffer(r["points"], np.float64).reshape(-1, dim)
-                edges = np.frombuffer(r["edges"], np.int32).reshape(len(x), -1).astype(np.int64)
-                entry = np.frombuffer(r["entry"], np.int32).astype(np.int64)
-                members, sizes = np.frombuffer(r["members"], np.int64), np.frombuffer(r["sizes"], np.int64)
-                first = np.cumsum(sizes) - sizes
-                lifted = _lift(x)
-                own = np.array(r["query_ids"], np.int64)
-                q = np.array(r["queries"], np.float64).reshape(len(own), dim)
-                out_q, out_ids, out_scores = [], [], []
-                for a in range(0, len(own), _BATCH):
-                    part = q[a:a + _BATCH]
-                    found, _ = beam_search(lifted, edges, entry, np.concatenate([part, np.zeros((len(part), 1))], axis=1), beam)
-                    score = np.einsum("bd,bkd->bk", part, x[np.maximum(found, 0)])
-                    for j in range(len(part)):
-                        at = found[j][found[j] >= 0]
-                        s = score[j][found[j] >= 0]
-                        ids = np.concatenate([members[first[p]:first[p] + sizes[p]] for p in at])
-                        s = np.repeat(s, sizes[at])
-                        keep = ids != own[a + j]
-                        ids, s = ids[keep], s[keep]
-                        best = np.lexsort((ids, -s))[:k]
-                        out_q.append(int(own[a + j])), out_ids.append(ids[best]), out_scores.append(s[best])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out_q, pa.int64()), pa.array(out_ids, pa.list_(pa.int64())),
-                     pa.array(out_scores, pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                key = row.column("dim")[0].as_py(), row.column("shard")[0].as_py()
+                if row.column("query_ids")[0].as_py() is None:
+                    at, shard = key, _Shard(row.to_pylist()[0])
+                elif key == at:  # else no vector of this length is in the shard
+                    own = row.column("query_ids").flatten().to_numpy()
+                    q = row.column("queries").flatten().to_numpy().reshape(len(own), key[0])
+                    out = list(shard.best(own, q, k, beam))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64())),
+                         pa.array([o[2] for o in out], pa.list_(pa.float64()))], names=["query_id", "ids", "scores"])
 
     return run
 
@@ -243,20 +266,22 @@ def valid_vectors(df: DataFrame, id: str = "vec_id", vector: str = "embedding")
 
 
 def nearest(df: DataFrame, is_query, k: int = 20, id: str = "vec_id", vector: str = "embedding", beam: int = BEAM,
-            shard_rows: int = 8192, block: int = 2048) -> DataFrame:
+            shard_bytes: int = 1 << 26, shard_rows: int = 8192, block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score for each row where ``is_query`` (a Column
     over vec_id) holds: its k nearest other rows found."""
     rows = valid_vectors(df, id, vector)
-    index = build_index(rows, k, shard_rows)
+    index, shards = build_index(rows, k, shard_bytes, shard_rows)
     asked = write_table(rows.where(is_query), "ann-queries")
     blocks = max(1, math.ceil(asked.count() / block))
     asked = (asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
              .withColumn("dim", F.size("vector"))
              .groupBy("dim", "block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "vector"))).alias("q"))
-             .select("dim", "block", F.col("q.vec_id").alias("query_ids"), F.flatten("q.vector").alias("queries")))
-    meet = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, ["dim", "block"])
-    found = meet.repartition("shard", "block").mapInArrow(
-        _search_blocks(k, max(beam, 2 * k)), "query_id long, ids array<long>, scores array<double>")
+             .select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
+                     F.col("q.vec_id").alias("query_ids"),
+                     F.flatten(F.col("q.vector").cast("array<array<double>>")).alias("queries")))
+    meet = index.unionByName(asked, allowMissingColumns=True).repartitionById(shards, "shard")
+    meet = meet.sortWithinPartitions("dim", "shard", F.col("query_ids").isNotNull())
+    found = meet.mapInArrow(_search_shards(k, max(beam, 2 * k)), "query_id long, ids array<long>, scores array<double>")
     best = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x"))
     best = best.select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

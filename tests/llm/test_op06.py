@@ -56,6 +56,37 @@ def test_norms_ties_and_copies(spark, shard_rows, block):
     assert [i for i, _ in got[1000]] == [i for i, _ in want[1000]]
 
 
+def test_many_shards_of_bounded_bytes(spark):
+    """Recall over the whole table with several shards; copies in one answer once each."""
+    from pyspark.sql import functions as F
+    table = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.collect()]
+    dim = len(rows[0][1])
+    index, shards = A.build_index(A.valid_vectors(table), 20, shard_bytes=dim * 8 * 40)
+    assert shards >= len(rows) // 40 and index.count() <= shards
+    got = by_query(A.nearest(table, F.col("vec_id") % 20 == 0, shard_bytes=dim * 8 * 40, block=3))
+    want = brute(rows, [i for i, _ in rows if i % 20 == 0], 20)
+    assert set(got) == set(want) and all(len(v) == len({i for i, _ in v}) == 20 for v in got.values())
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.95
+
+
+def test_index_is_sent_once(spark):
+    """The plan of the search has no join; a shard's index meets queries in its own partition."""
+    from pyspark.sql import functions as F
+    out = A.nearest(spark.read.parquet(f"{SF_SMALL}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_doubles_and_clashing_names(spark):
+    """Components beyond float precision keep their scores; input columns of the result's names do no harm."""
+    from pyspark.sql import functions as F
+    rows = [(k, [1.0 + k * 1e-12, 1.0], "x", 7, 0.5) for k in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string, query_id int, score double")
+    got = by_query(A.nearest(df, F.col("vec_id") % 20 == 0, 5))
+    assert [i for i, _ in got[0]] == [29, 28, 27, 26, 25] and [i for i, _ in got[20]] == [29, 28, 27, 26, 25]
+
+
 def test_cases(spark):
     from pyspark.sql import functions as F
     df = spark.createDataFrame([(0, [1.0, 0.0], 1), (1, [0.5, 0.0], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [float("nan"), 1.0], 1),
