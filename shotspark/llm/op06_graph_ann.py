@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from shotspark.llm.common import pick, write_table
 
-DEGREE, BEAM, BUILD_BEAM, WIDTH, ALPHA = 24, 64, 40, 4, 1.2
+DEGREE, BEAM, BUILD_BEAM, WIDTH, ALPHA = 32, 200, 64, 4, 1.2
 _BATCH = 256
 
 
@@ -193,7 +193,7 @@ def _build_shard(table: pa.Table) -> pa.Table:
         "sizes": pa.array([ids.value_lengths().to_numpy().astype(np.int64).tobytes()], pa.binary())})
 
 
-def build_index(rows: DataFrame, k: int, shard_bytes: int = 1 << 26, shard_rows: int = 8192) -> tuple[DataFrame, int]:
+def build_index(rows: DataFrame, k: int, shard_bytes: int = 1 << 25, shard_rows: int = 8192) -> tuple[DataFrame, int]:
     """One row per shard (and length of vectors), and the number of shards;
     ``rows`` has vec_id and vector, valid ones only."""
     nth = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
@@ -266,7 +266,7 @@ def valid_vectors(df: DataFrame, id: str = "vec_id", vector: str = "embedding")
 
 
 def nearest(df: DataFrame, is_query, k: int = 20, id: str = "vec_id", vector: str = "embedding", beam: int = BEAM,
-            shard_bytes: int = 1 << 26, shard_rows: int = 8192, block: int = 2048) -> DataFrame:
+            shard_bytes: int = 1 << 25, shard_rows: int = 8192, block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score for each row where ``is_query`` (a Column
     over vec_id) holds: its k nearest other rows found."""
     rows = valid_vectors(df, id, vector)
