@@ -40,6 +40,38 @@ def test_training_table_is_learned():
     assert plain("https://ththnt.example.net/en/8736", model)[3] == "allow"
 
 
+def test_held_out_hosts():
+    """Rates on hosts that the default model has not seen."""
+    model = U.default_model()
+    rest = [(u, y) for u, y in U.default_urls() if U.held_out_host(u)]
+    blocked = U.scores([u for u, _ in rest], model) > 0
+    wrong = [b for b, (_, y) in zip(blocked, rest) if not y]
+    right = [b for b, (_, y) in zip(blocked, rest) if y]
+    assert len(wrong) > 2000 and sum(wrong) / len(wrong) <= 0.01
+    assert len(right) > 1000 and sum(right) / len(right) >= 0.8
+
+
+@pytest.mark.parametrize("url,verdict", [
+    ("http://nytimes.net/2024/world", "allow"), ("http://github.io/project/readme", "allow"),
+    ("https://www.ththing.example.net/en/7442.html", "allow"), ("https://tiontion.example.net/de/8065.html", "allow"),
+    ("http://hot-girls-cams.xyz/join", "block"), ("http://cheap-meds-online.biz/order", "block")])
+def test_named_urls(url, verdict):
+    assert plain(url, U.default_model())[3] == verdict
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "http://a.net/x", "v", 1)] * 3 + [(1, None, "v", 1)],
+                               "page_id long, url string, verdict string, _w int")
+    out = U.filter_urls(df)
+    assert out.columns == ["page_id", "url", "_w", *U.OWN]
+    assert [(r.url, r.n) for r in out.groupBy("url").agg({"*": "count"}).toDF("url", "n").orderBy("url").collect()] == [
+        (None, 1), ("http://a.net/x", 3)]
+
+
+def test_training_takes_any_table():
+    assert U.fit([("http://a.net/", 0)])[0] <= 0 and U.train([]) == (0, [0] * U.BUCKETS)
+
+
 @pytest.mark.parametrize("path", ["/es/", "/en/1", "/en/2"])
 def test_longest_rule_wins(spark, path):
     df = spark.createDataFrame([(1, f"http://www.example.org{path}")], "page_id long, url string")
