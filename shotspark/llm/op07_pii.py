@@ -1,11 +1,14 @@
 """Personal data: high-recall candidate generators, a boosted-tree filter.
 
 * *Generators* are regular expressions that propose spans with their format
-  and context: the contract's four kinds, mail addresses written with (at), and
-  phone numbers without country code.  Proposals may overlap.
+  and context: the contract's four kinds; mail addresses in words, phone numbers
+  without country code or in groups after a 0, card numbers with dots, IPv6
+  addresses; and two kinds of their own, ``id`` (account numbers in IBAN form,
+  3-2-4 numbers) and ``secret`` (keys and tokens by their known beginnings or after
+  a word such as password).  Proposals may overlap.
 * *Base spans* are the proposals of the four kinds that pass the contract's
-  checks (octets, Luhn, digit counts); they always stay.
-* *Boosted trees* judge the other proposals by features of format (digits,
+  checks (octets, Luhn, digit counts); they always stay, and those that fail go.
+* *Boosted trees* judge the proposals of the other generators by features of format (digits,
   length, separators, checksum, octets) and context (what touches the span,
   words before it).  They are fitted on the driver on a small labelled table of
   sentences (a parameter; the default is made by the rule below), whose
@@ -31,6 +34,7 @@ from pyspark.sql import functions as F
 from shotspark.llm.common import documents, position, positional, restore
 
 KINDS = ["email", "ip", "card", "phone"]
+ALL_KINDS = KINDS + ["id", "secret"]
 OWN = [f"n_{k}" for k in KINDS] + ["base_spans", "spans"]
 
 # Equal to the contract's patterns, but linear in time: a run of local-part
@@ -40,9 +44,19 @@ _EMAIL = (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"  # single digits fail the digit count
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_SPELLED = (r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++"
-            r"(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++")
+_AT, _DOT = r"(?:\x20?(?:\(at\)|\[at\])\x20?|\x20at\x20|\x20AT\x20)", r"(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?|\x20dot\x20|\x20DOT\x20)"
+_SPELLED = rf"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++"
 _LOCAL = r"(?<![0-9A-Za-z+.()-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-])"
+_GROUPED = (r"(?<![0-9A-Za-z+.()/:-])(?!\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z-]))"
+            r"\(?0[0-9]{1,5}\)?(?:[\x20./-][0-9]{2,8}){1,5}(?![0-9A-Za-z-])")
+_DOTTED = r"(?<![0-9A-Za-z.])[0-9]{4}(?:\.[0-9]{4}){2}\.[0-9]{1,7}(?![0-9A-Za-z])"
+_IPV6 = r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}|:)(?::{1,2}[0-9A-Fa-f]{1,4}){2,7}(?![0-9A-Za-z:])"
+_ACCOUNT = (r"(?<![0-9A-Za-z-])(?:[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,3})?|[0-9]{3}-[0-9]{2}-[0-9]{4})"
+            r"(?![0-9A-Za-z-])")
+# Beginnings of public key and token formats.
+_SECRET = (r"(?<![0-9A-Za-z_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk_(?:live|test)_[0-9A-Za-z]{16,64}"
+           r"|xox[abprs]-[0-9A-Za-z-]{10,80}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+\.[0-9A-Za-z_-]{8,}+)"
+           r"|(?<=(?i:password|passwd|secret|token|apikey|api_key|api-key)(?:[:=]|:\x20|\x20=\x20))[^\x00-\x20,;\"']{6,128}")
 
 #: name, kind of its spans, pattern, quick test of a text
 GENERATORS = [
@@ -50,8 +64,13 @@ GENERATORS = [
     ("ip", "ip", _IP, r"{t} rlike '[0-9]\\.[0-9]'"),
     ("card", "card", _CARD, "{t} rlike '[0-9]'"),
     ("phone", "phone", _PHONE, "contains({t}, '+')"),
-    ("spelled", "email", _SPELLED, "(contains({t}, '(at)') or contains({t}, '[at]'))"),
+    ("spelled", "email", _SPELLED, "(contains({t}, '(at)') or contains({t}, '[at]') or contains({t}, ' dot ') or contains({t}, ' DOT '))"),
     ("local", "phone", f"{_PHONE}|{_LOCAL}", r"{t} rlike '[0-9]{{3}}[ .-][0-9]{{4}}'"),
+    ("grouped", "phone", f"{_PHONE}|{_GROUPED}", r"{t} rlike '0[0-9]{{1,5}}[)]?[ ./-][0-9]{{2}}'"),
+    ("dotted", "card", _DOTTED, r"{t} rlike '[0-9]{{4}}[.][0-9]{{4}}[.]'"),
+    ("ipv6", "ip", _IPV6, r"{t} rlike ':[0-9A-Fa-f]{{1,4}}:'"),
+    ("account", "id", _ACCOUNT, r"{t} rlike '[A-Z]{{2}}[0-9]{{2}}|[0-9]{{3}}-[0-9]{{2}}-[0-9]'"),
+    ("secret", "secret", _SECRET, r"{t} rlike 'AKIA|ASIA|gh[pousr]_|sk_|xox|AIza|eyJ|(?i)passw|secret|token|api.?key'"),
 ]
 _BLOCK = 1000  # proposals whose offsets are summed up at a time
 
@@ -74,18 +93,25 @@ def _octets(x: str) -> str:
             f" and coalesce(try_cast(trim(LEADING '0' FROM p) as int), 0) <= 255)")
 
 
+def _mod97(x: str) -> str:
+    """Whether the checksum of an account number in IBAN form holds."""
+    plain = f"replace({x}, ' ', '')"
+    return f"""(aggregate(split(concat(substr({plain}, 5), left({plain}, 4)), ''), 0,
+        (s, c) -> if(c between '0' and '9', s * 10 + ascii(c) - 48, s * 100 + ascii(c) - 55) % 97) = 1)"""
+
+
+_ACCOUNTS = [g[0] for g in GENERATORS].index("account")
+
 #: Whether a proposal x passes the contract's checks, by generator.
 _PASSES = {
     "email": "true",
     "ip": _octets("x.match"),
     "card": f"length({_digits('x.match')}) between 13 and 19 and {_luhn(_digits('x.match'))}",
     "phone": f"length({_digits('x.match')}) between 9 and 15",
-    "spelled": "false",
-    "local": "false",
-}
+}  # the others never are base spans
 
 #: Context words of the features.
-_CONTACT = "phone|tel|call|fax|mobile|ring|mail|contact|write|reach|card|visa|pay|host|server|address"
+_CONTACT = "account|iban|ssn|social|password|secret|key|gateway|phone|tel|call|fax|mobile|ring|mail|contact|write|reach|card|visa|pay|host|server|address"
 _RECORD = "version|order|invoice|isbn|build|ref|page|section|serial|token|part|model|chapter|score"
 
 #: Features of a proposal x, as SQL; integers.
@@ -93,6 +119,10 @@ FEATURES = [
     ("generator", "x.generator"),
     ("digits", f"length({_digits('x.match')})"),
     ("length", "char_length(x.match)"),
+    ("letters", "length(regexp_replace(x.match, '[^A-Za-z]', ''))"),
+    ("colons", "length(regexp_replace(x.match, '[^:]', ''))"),
+    ("words", "length(regexp_replace(x.match, '[^ ]', ''))"),
+    ("mod97", f"if(x.generator = {_ACCOUNTS} and x.match rlike '^[A-Z]', int({_mod97('x.match')}), 0)"),
     ("separators", "length(regexp_replace(x.match, '[^ .-]', ''))"),
     ("brackets", "length(regexp_replace(x.match, '[^()]', ''))"),
     ("luhn", f"if(length({_digits('x.match')}) between 13 and 19, int({_luhn(_digits('x.match'))}), 0)"),
@@ -125,8 +155,8 @@ def propose(df: DataFrame, text: str) -> DataFrame:
             'end', _o[i] + char_length(_g[i]) + char_length(m), 'match', m,
             'before', right(_g[i], 32), 'after', left(_g[i + 1], 4)))"""))
         df = df.drop("_m", "_g", "_l", "_b", "_s", "_o")
-    # The local pattern takes international numbers only to step over them.
-    return df.withColumn("_x_local", F.expr("filter(_x_local, x -> not startswith(x.match, '+'))"))
+    # These patterns take international numbers only to step over them.
+    return df.withColumns({c: F.expr(f"filter({c}, x -> not startswith(x.match, '+'))") for c in ("_x_local", "_x_grouped")})
 
 
 # -- the model ---------------------------------------------------------------------
@@ -162,6 +192,34 @@ def default_sentences(seed: int = 5, each: int = 60) -> list[tuple[str, str]]:
                 (f"{a} version {octet()}.{num(4)}.{octet()}.{num(5)} {b}", ""),
                 (f"{a} mail {word()}@{word()}.org {b}", "email"), (f"{a} call +1 ({num(3)}) {num(3)}-{num(4)} {b}", "phone"),
                 (f"{a} +{num(1)} {num(2)} {num(2)} {b}", ""), (f"{a} meet {word()} (at) {num(1)}.{num(2)} {b}", "")]
+        # Forms that the base patterns do not know, beside look-alikes.
+        gap, full = rng.choice([" ", "-", "/"]), card(True)
+        ring = rng.choice([f"0{num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"0{num(2)}{gap}{num(7)}", f"(0{num(3)}) {num(6)}",
+                           f"0{num(3)}{gap}{num(3)} {num(4)}", f"00{num(2)} {num(2)} {num(4)} {num(4)}"])
+        v6 = [f"{int(rng.integers(1, 65536)):x}" for _ in range(8)]
+        v6 = ":".join(v6) if rng.random() < 0.5 else f"2001:{v6[0]}::{v6[1]}:{v6[2]}"
+        code = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 36))
+        mixed = "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMN23456789"), 36))
+        key = rng.choice([f"AKIA{code[:16]}", f"ghp_{mixed}", f"sk_live_{mixed[:24]}", f"xoxb-{num(11)}-{mixed[:20]}", f"AIza{mixed[:35]}"])
+        country, body = rng.choice(["DE", "GB", "FR", "ES", "NL"]), num(int(rng.choice([16, 18, 20])))
+        check = 98 - int(body + "".join(str(ord(c) - 55) for c in country) + "00") % 97
+        iban = f"{country}{check:02d}{body}"
+        iban = " ".join(iban[k:k + 4] for k in range(0, len(iban), 4)) if rng.random() < 0.5 else iban
+        broken = f"{country}{(check + int(rng.integers(1, 90))) % 97:02d}{body}"
+        says2 = rng.choice(["call ", "ring ", "phone ", "tel. ", "mobile: ", "fax: ", "our number is ", "you reach me under "])
+        out += [(f"{a} {says2}{ring} {b}", "phone"), (f"{a} {about}{ring} {b}", ""),
+                (f"{a} write {word()} at {word()} dot {rng.choice(['com', 'org', 'net'])} {b}", "email"),
+                (f"{a} look {word()} at {word()}.{b.capitalize()}", ""), (f"{a} at {word()} {b} dot {word()}", ""),
+                (f"{a} card {full[:4]}.{full[4:8]}.{full[8:12]}.{full[12:]} {b}", "card"),
+                (f"{a} {about}{num(4)}.{num(4)}.{num(4)}.{num(4)} {b}", ""),
+                (f"{a} {rng.choice(['host', 'server', 'from', 'gateway', word()])} {v6} {b}", "ip"),
+                (f"{a} {word()} {rng.integers(24):02d}:{rng.integers(60):02d}:{rng.integers(60):02d} {b}", ""),
+                (f"{a} ratio {rng.integers(1, 30)}:{rng.integers(1, 30)}:{rng.integers(1, 30)}:{rng.integers(1, 30)} {b}", ""),
+                (f"{a} {rng.choice(['account', 'iban', 'pay to', word()])} {iban} {b}", "id"), (f"{a} {word()} {broken} {b}", ""),
+                (f"{a} {rng.choice(['ssn', 'social security number', 'ssn:'])} {num(3)}-{num(2)}-{num(4)} {b}", "id"),
+                (f"{a} {about}{num(3)}-{num(2)}-{num(4)} {b}", ""), (f"{a} {rng.choice(['key', 'use', word()])} {key} {b}", "secret"),
+                (f"{a} {rng.choice(['password: ', 'secret=', 'api_key = ', 'token: '])}{mixed[:int(rng.integers(8, 30))]} {b}", "secret"),
+                (f"{a} the password: {word() + word()[:4]} {b}", ""), (f"{a} token: {word()}ing {b}", "")]
     return out
 
 
@@ -174,7 +232,8 @@ def _fit_tree(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, least: in
     best = None
     base = g.sum() ** 2 / (h.sum() + 1.0)
     for f in range(x.shape[1]):
-        for t in np.unique(x[:, f])[:-1]:
+        cuts = np.unique(x[:, f])[:-1]
+        for t in cuts[::max(1, len(cuts) // 24)]:
             left = x[:, f] <= t
             if least <= left.sum() <= len(g) - least:
                 gain = (g[left].sum() ** 2 / (h[left].sum() + 1) + g[~left].sum() ** 2 / (h[~left].sum() + 1) - base)
@@ -194,7 +253,7 @@ def _apply(tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, f] <= t, _apply(a, x), _apply(b, x))
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3, precision: float = 0.99):
+def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.3, precision: float = 0.99):
     """Gradient boosting with logistic loss; a random third calibrates the
     threshold.  Returns trees, bias and threshold (on the summed score)."""
     keep = np.random.default_rng(1).permutation(len(y)) % 3 > 0
@@ -225,7 +284,7 @@ def train(spark: SparkSession, sentences: list[tuple[str, str]] | None = None, *
     """Fit on the labelled sentences; their features come from the SQL below."""
     rows = sentences or default_sentences()
     table = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(rows)], "k int, t string, y string")
-    every = F.concat(*[F.col(f"_x_{name}") for name, *_ in GENERATORS])
+    every = F.concat(*[F.col(f"_x_{name}") for name, *_ in GENERATORS if name not in _PASSES])
     found = propose(table, "t").select("k", "y", F.explode(every).alias("x"))
     found = found.select("k", "y", *[F.expr(sql).cast("int").alias(f"f{k}") for k, (_, sql) in enumerate(FEATURES)])
     got = sorted(tuple(r) for r in found.collect())
@@ -248,31 +307,31 @@ def default_model(spark: SparkSession):
 
 def find_pii(docs: DataFrame, text: str = "text", model=None) -> DataFrame:
     """Every input row with n_<kind> (all spans of the kind), base_spans and
-    spans: arrays of struct(kind, start, end), by kind, then start."""
+    spans: arrays of struct(kind, start, end), by kind, then start.  ``spans`` may
+    hold two more kinds, ``id`` and ``secret``."""
     trees, bias, rate, threshold = model or default_model(docs.sparkSession)
     p, names = positional(docs)
     p = p.withColumn("_t", F.coalesce(F.col(position(names, text)), F.lit("")))
     df = propose(p, "_t")
     score = f"{bias!r}D + {rate!r}D * ({' + '.join(_tree_sql(t) for t in trees)})"
     features = ", ".join(f"'f{k}', int({sql})" for k, (_, sql) in enumerate(FEATURES))
-    base, added = {k: [] for k in KINDS}, {k: [] for k in KINDS}
-    for name, kind, _, _ in GENERATORS:
-        df = df.withColumn(f"_j_{name}", F.expr(f"transform(_x_{name}, x -> named_struct('x', x, 'base', {_PASSES[name]}))"))
-        place = "named_struct('start', j.x.start, 'end', j.x.end)"
-        base[kind].append(f"transform(filter(_j_{name}, j -> j.base), j -> {place})")
-        # Features of the proposals that the checks leave open, and their score.
-        df = df.withColumn(f"_f_{name}", F.expr(f"""transform(transform(filter(_j_{name}, j -> not j.base), j -> j.x),
-            x -> named_struct('start', x.start, 'end', x.end, {features}))"""))
-        added[kind].append(f"transform(filter(_f_{name}, y -> {score} >= {threshold!r}D), y -> "
-                           "named_struct('start', y.start, 'end', y.end))" if np.isfinite(threshold) else
-                           "cast(array() as array<struct<start:bigint,end:bigint>>)")
-
-    def spans(parts: list[str], kind: str) -> str:
-        one = f"array_sort(concat({', '.join(parts)}))"
-        return f"transform({one}, s -> named_struct('kind', '{kind}', 'start', s.start, 'end', s.end))"
-
-    df = df.withColumn("base_spans", F.expr("concat(" + ", ".join(spans(base[k], k) for k in KINDS) + ")"))
-    df = df.withColumn("spans", F.expr("concat(" + ", ".join(spans(base[k] + added[k], k) for k in KINDS) + ")"))
+    # All proposals with the number of their kind; base ones stay, trees judge the rest.
+    every = ", ".join(f"""transform(_x_{name}, x -> named_struct('x', x, 'k', {ALL_KINDS.index(kind)},
+        'base', {_PASSES.get(name, 'false')}))""" for name, kind, _, _ in GENERATORS)
+    df = df.withColumn("_j", F.expr(f"concat({every})"))
+    place = "transform(filter({0}, j -> {1}), j -> named_struct('k', j.k, 'start', {2}start, 'end', {2}end))"
+    df = df.withColumn("_base", F.expr(place.format("_j", "j.base", "j.x.")))
+    df = df.withColumn("_f", F.expr(f"""transform(transform(filter(_j, j -> j.x.generator >= {len(_PASSES)}), j -> named_struct('k', j.k, 'x', j.x)),
+        j -> transform(array(j.x), x -> named_struct('k', j.k, 'start', x.start, 'end', x.end, {features}))[0])"""))
+    df = df.withColumn("_added", F.expr(place.format("_f", f"transform(array(j), y -> {score})[0] >= {threshold!r}D"
+                                                     if np.isfinite(threshold) else "false", "j.")))
+    kinds = f"array({', '.join(repr(k) for k in ALL_KINDS)})"
+
+    def spans(parts: str) -> Column:
+        return F.expr(f"""transform(array_sort({parts}),
+            s -> named_struct('kind', {kinds}[s.k], 'start', s.start, 'end', s.end))""")
+
+    df = df.withColumn("base_spans", spans("_base")).withColumn("spans", spans("concat(_base, _added)"))
     for k in KINDS:
         df = df.withColumn(f"n_{k}", F.expr(f"bigint(size(filter(spans, s -> s.kind = '{k}')))"))
     return restore(df, names, OWN)
@@ -295,8 +354,10 @@ def redact(found: DataFrame, text: str = "text", spans: str = "spans") -> DataFr
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and digest are of the base spans, ``spans`` has all of them."""
+    """Counts and digest are of the base spans; ``spans`` has all of them, and
+    n_added counts those that the method adds."""
     out = find_pii(documents(spark, sf_dir).select("doc_id", "text"))
     counts = [F.expr(f"bigint(size(filter(base_spans, s -> s.kind = '{k}')))").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts, F.sha2(spans_text("base_spans"), 256).alias("base_sha256"),
-                      spans_text("spans").alias("spans"))
+                      spans_text("spans").alias("spans"),
+                      F.expr("bigint(size(spans) - size(base_spans))").alias("n_added"))
