@@ -521,6 +521,31 @@ def q_sessions_list(spark, sf_dir):
     return s.withColumn("uploaded_at", F.col("uploaded_at").cast("timestamp_ntz"))
 
 
+#: Names under which a user uploads again and again.
+_REUSED_NAMES = 5
+
+
+@register("shots_deduped", with_shots(f"""
+SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(session_id AS VARCHAR) AS session_id, count(*) AS shots,
+  {r6('avg(carry_distance)')} AS avg_carry_yd
+FROM shots WHERE session_id IN (
+  SELECT o_orderkey FROM orders QUALIFY row_number() OVER (
+    PARTITION BY o_custkey, o_orderkey % {_REUSED_NAMES}
+    ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC) = 1)
+GROUP BY user_id, session_id"""))
+def q_shots_deduped(spark, sf_dir):
+    """Shots by session when a file of a name replaces the user's earlier ones of it."""
+    tables = tb.Tables(spark, _scratch(spark, "deduped"))
+    sessions = testdata.sessions(spark, sf_dir).select(
+        F.col("id").cast("string"), F.col("user_id").cast("string"),
+        F.format_string("%d.csv", F.col("id").cast("long") % _REUSED_NAMES).alias("filename"), "storage_path",
+        F.col("uploaded_at").cast("timestamp"))
+    ingest_frame(tables, tb.shots_from_view(testdata.shots(spark, sf_dir)), sessions)
+    shots = tb.fetch_shots(tables, dedupe_by=("user_id", "filename"))
+    return shots.groupBy("user_id", "session_id").agg(
+        F.count("*").alias("shots"), F.avg("carry_distance").alias("avg_carry_yd"))
+
+
 @register("shots_export", with_shots(
     "SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(session_id AS VARCHAR) AS session_id, "
     "club_type AS \"Club Type\", "

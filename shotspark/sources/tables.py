@@ -240,20 +240,36 @@ def for_user(df: DataFrame, user_id: str, buckets: int | None = None) -> DataFra
     return df.where(cond)
 
 
-def fetch_shots(tables: Tables, user_id: str | None = None) -> DataFrame:
+def newest_sessions(sessions: DataFrame, dedupe_by: Sequence[str] = ("user_id", "filename")) -> DataFrame:
+    """The session uploaded last of each group of equal ``dedupe_by`` (ties: the
+    largest id; null equals null), every column. One aggregate of fixed-size
+    values, so a file uploaded very often is one row a map task."""
+    last = sessions.groupBy(*dedupe_by).agg(F.max(F.struct("uploaded_at", "id")).alias("_last"))
+    return sessions.join(last.select(F.col("_last.id").alias("id")), "id", "left_semi")
+
+
+def fetch_shots(tables: Tables, user_id: str | None = None, dedupe_by: Sequence[str] | None = None) -> DataFrame:
     """Shots of one user (None: all users, for batch jobs; ``register_reads``
     has no such form), every column of the table; NaN was replaced by NULL when the
-    shots were written."""
-    df = tables.shots()
-    df = for_user(df, user_id, tables.buckets) if user_id is not None else df
+    shots were written. ``dedupe_by`` leaves out the shots of sessions that a later
+    one of equal columns replaces (a file uploaded again); by default all stay."""
+    df, sessions = tables.shots(), tables.sessions()
+    if user_id is not None:
+        df, sessions = for_user(df, user_id, tables.buckets), for_user(sessions, user_id)
+    if dedupe_by is not None:
+        newest = newest_sessions(sessions, dedupe_by).select(F.col("id").alias("session_id"))
+        df = df.join(newest, "session_id", "left_semi")
     return df.drop("user_bucket")
 
 
-def list_sessions(tables: Tables, user_id: str | None = None) -> DataFrame:
-    """Id, filename, uploaded_at newest first (id breaks ties)."""
+def list_sessions(tables: Tables, user_id: str | None = None, dedupe_by: Sequence[str] | None = None) -> DataFrame:
+    """Id, filename, uploaded_at newest first (id breaks ties); with
+    ``dedupe_by`` the newest session of each group only."""
     s = tables.sessions()
     if user_id is not None:
         s = for_user(s, user_id)
+    if dedupe_by is not None:
+        s = newest_sessions(s, dedupe_by)
     return s.select("user_id", "id", "filename", "uploaded_at").orderBy(
         "user_id", F.desc("uploaded_at"), "id")
 

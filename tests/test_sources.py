@@ -371,3 +371,13 @@ def test_merged_csv_has_its_index(spark, tmpdir_path):
     back = sinks.read_csv_table(spark, path)
     assert back.columns == ["row_index", "a", "b"]
     assert [(r.row_index, r.a) for r in back.orderBy("row_index").collect()] == [(k, k) for k in range(1000)]
+
+
+def test_newest_sessions(spark):
+    from datetime import datetime as D
+    rows = [("a", "u", "f", D(2025, 1, 1)), ("b", "u", "f", D(2025, 1, 2)), ("c", "u", "f", D(2025, 1, 2)), ("d", "u", "g", D(2024, 1, 1)),
+            ("e", "v", "f", D(2023, 1, 1)), ("f", "v", None, D(2023, 1, 1)), ("g", "v", None, D(2023, 1, 2)), ("h", "w", "f", None)]
+    df = spark.createDataFrame(rows, "id string, user_id string, filename string, uploaded_at timestamp")
+    assert {r.id for r in tb.newest_sessions(df).collect()} == {"c", "d", "e", "g", "h"}
+    assert {r.id for r in tb.newest_sessions(df, ("user_id",)).collect()} == {"c", "g", "h"}
+    assert tb.newest_sessions(df.limit(0)).count() == 0
