@@ -181,7 +181,7 @@ def _keyed(docs: DataFrame, text: str, id: str, source: str) -> tuple[DataFrame,
 
 
 def plan(keyed: DataFrame, weights=(1.0, 2.0, 3.0), cap: float = 3.0, seed: int = 20240501,
-         leaf_rows: int = 50_000, fan: int = 32) -> DataFrame:
+         leaf_rows: int = 4096, fan: int = 32) -> DataFrame:
     """Units of equal (_id, _src, _size, _hash): their number of rows _m, the
     copies _take of all of them together, and their source's figures."""
     units = keyed.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("_m"))
@@ -197,7 +197,7 @@ def plan(keyed: DataFrame, weights=(1.0, 2.0, 3.0), cap: float = 3.0, seed: int
     units = write_table(units, "mix-keyed")
     x = _round_units(units.select("_uid", (F.col("_want") - F.col("_base")).alias("_p"), "_sk",
                                   F.col("_size").alias("_mass"), "_draw"), seed, leaf_rows, fan)
-    return units.join(x, "_uid").select(*_KEY, "_m", "_total", "_target",
+    return units.join(x, "_uid").select(*_KEY, "_uid", "_m", "_total", "_target",
                                         (F.col("_base") + F.col("_x")).alias("_take"))
 
 
@@ -206,15 +206,36 @@ def _row_copies(seq) -> F.Column:
     return F.expr("_take div _m") + (seq <= F.expr("_take % _m")).cast("long")
 
 
+def _number(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """``rows`` with ``_seq``, from 1 within each unit.
+
+    Where no unit has several rows, nothing moves.  Else the rows are written
+    once, so that their order is fixed; each part of the written table numbers
+    its own rows of a unit, and a table of one row per unit and part has the
+    numbers taken before.  So a unit of many rows is spread over the parts.
+    """
+    if units.where("_m > 1").isEmpty():
+        return rows.withColumn("_seq", F.lit(1).cast("long"))
+    kept = write_table(rows.withColumn("_row", F.monotonically_increasing_id()), "mix-rows") \
+        .withColumn("_part", F.shiftright("_row", 33))
+    several = kept.where("_m > 1")
+    earlier = Window.partitionBy("_uid").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begun = several.groupBy("_uid", "_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_uid", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_begun"))
+    inside = several.select("_uid", "_part", "_row").withColumn(
+        "_seq", F.row_number().over(Window.partitionBy("_uid", "_part").orderBy("_row")))
+    seq = inside.join(begun, ["_uid", "_part"]).select("_row", (F.col("_begun") + F.col("_seq")).alias("_seq"))
+    return (kept.where("_m = 1").withColumn("_seq", F.lit(1).cast("long"))
+            .unionByName(several.join(seq, "_row")))
+
+
 def mix(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "source", **how) -> DataFrame:
     """Every input row with size, source_size, target, copies and taken
     (= copies * size).  A mix repeats each row ``copies`` times."""
     keyed, names = _keyed(docs, text, id, source)
-    units = plan(keyed, **how)
-    numbered = keyed.withColumn("_seq", F.row_number().over(
-        Window.partitionBy(*_KEY).orderBy(F.lit(1))))
+    units = write_table(plan(keyed, **how), "mix-plan")
     u = units.toDF(*[f"{c}_u" if c in _KEY else c for c in units.columns])
-    out = numbered.join(u, [F.col(c).eqNullSafe(F.col(f"{c}_u")) for c in _KEY])
+    out = _number(keyed.join(u, [F.col(c).eqNullSafe(F.col(f"{c}_u")) for c in _KEY]), units)
     out = out.withColumn("copies", _row_copies(F.col("_seq")))
     out = out.withColumnsRenamed({"_size": "size", "_total": "source_size", "_target": "target"})
     return restore(out.withColumn("taken", F.col("copies") * F.col("size")), names, OWN)

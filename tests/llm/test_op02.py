@@ -104,3 +104,18 @@ def test_query_on_table(spark):
     out = M.op2_mixing(spark, SF_SMALL)
     assert out.columns[:5] == ["doc_id", "size", "source_size", "target", "taken"]
     check([tuple(r) for r in docs], out.collect())
+
+
+def test_rows_of_one_unit_share_its_copies(spark):
+    """A unit of a third of the rows, over many partitions: copies differ by one at most and add up to the unit's."""
+    n = 3000
+    rows = [(7, "one two three", "a", k) if k % 3 == 0 else (k, " ".join(["w"] * (k % 7)), "b" if k % 2 else "a", k)
+            for k in range(n)]
+    df = spark.createDataFrame(rows, SCHEMA + ", extra int").repartition(11)
+    out = M.mix(df, leaf_rows=100).collect()
+    assert sorted(r.extra for r in out) == list(range(n))
+    check([r[:3] for r in rows], out)
+    unit = [r.copies for r in out if r.extra % 3 == 0]
+    assert max(unit) - min(unit) <= 1
+    hot = next(r for r in out if r.extra == 0)
+    assert abs(sum(unit) - len(unit) * hot.target / hot.source_size) < 1 + 1e-6
