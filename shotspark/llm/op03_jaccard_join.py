@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotspark.llm.common import documents, position, positional, restore, write_table
+from shotspark.llm.common import WORD_PATTERN, documents, position, positional, restore, write_table
 from shotspark.llm.components import components
 from shotspark.llm.wordsets import mix64, shingle_sets
 
@@ -155,32 +155,26 @@ def sketch_distance(a: bytes, b: bytes) -> int:
 
 # -- tasks ---------------------------------------------------------------------
 
-def _tag(text: str, with_sketch: bool):
-    """Appends _n, _fp (and _fp2, _sketch) to each row."""
+def _tag(text: str):
+    """Each row without its text, with _n, _fp, _fp2 and _sketch."""
 
     def run(batches):
         for batch in batches:
             n, fp, fp2, sk = [], [], [], []
             for h in shingle_sets(batch.column(text)):
-                n.append(len(h))
                 one, two = fingerprints(h) if len(h) else (0, 0)
-                fp.append(one), fp2.append(two)
-                if with_sketch:
-                    sk.append(sketch(h) if len(h) else b"")
-            keep = [c for c in batch.schema.names if not (with_sketch and c == text)]
-            cols = [batch.column(c) for c in keep] + [pa.array(n, pa.int64()), pa.array(fp, pa.int64())]
-            names = keep + ["_n", "_fp"]
-            if with_sketch:
-                cols += [pa.array(fp2, pa.int64()), pa.array(sk, pa.binary())]
-                names += ["_fp2", "_sketch"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                n.append(len(h)), fp.append(one), fp2.append(two), sk.append(sketch(h) if len(h) else b"")
+            keep = [c for c in batch.schema.names if c != text]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in keep] + [pa.array(n, pa.int64()), pa.array(fp, pa.int64()),
+                                                   pa.array(fp2, pa.int64()), pa.array(sk, pa.binary())],
+                names=keep + ["_n", "_fp", "_fp2", "_sketch"])
 
     return run
 
 
-def _tagged(df: DataFrame, text: str) -> DataFrame:
-    return df.mapInArrow(_tag(text, False), T.StructType([*df.schema.fields, T.StructField("_n", T.LongType()),
-                                                          T.StructField("_fp", T.LongType())]))
+def _with_words(df: DataFrame, text: str) -> DataFrame:
+    return df.where(F.coalesce(F.col(text).rlike(WORD_PATTERN), F.lit(False)))
 
 
 def _pack(keys: np.ndarray, fps: np.ndarray) -> bytes:
@@ -430,19 +424,19 @@ def _near_across(batches):
 
 # -- the join --------------------------------------------------------------------
 
-def _links(pairs: DataFrame, tagged: DataFrame, sets: DataFrame, text: str) -> DataFrame:
-    """The pairs (a, b) of nodes that link, verified on whole texts."""
+def _links(pairs: DataFrame, src: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that link, verified on whole texts.  The text of a
+    node is found by the id and the text hash of one of its rows."""
     pairs = write_table(pairs.select("a", "b"), "jaccard-pairs")
     if pairs.isEmpty():
         return pairs
     nodes = pairs.select(F.col("a").alias("_fp")).unionAll(pairs.select(F.col("b").alias("_fp"))).distinct()
     # Written, so that the planner knows its size and spares the texts a shuffle where it is small.
-    chosen = write_table(sets.join(nodes, "_fp").select("_fp", "_id"), "jaccard-chosen")
+    chosen = write_table(sets.join(nodes, "_fp").select("_fp", "_row"), "jaccard-chosen")
+    chosen = chosen.select("_fp", F.col("_row._hash").alias("_h"), F.col("_row._id").alias("_i"))
     texts = write_table(
-        tagged.select(F.col("_fp"), F.col("_id").alias("_i"), F.col(text).alias("_t"))
-        .join(chosen.withColumnRenamed("_fp", "_f"),
-              (F.col("_fp") == F.col("_f")) & F.col("_i").eqNullSafe(F.col("_id")), "left_semi")
-        .dropDuplicates(["_fp"]).select("_fp", "_t"), "jaccard-texts")
+        _with_words(src, "_text").join(chosen, (F.col("_hash") == F.col("_h")) & F.col("_id").eqNullSafe(F.col("_i")))
+        .select("_fp", F.col("_text").alias("_t")).dropDuplicates(["_fp"]), "jaccard-texts")
     left = texts.select(F.col("_fp").alias("a"), F.col("_t").alias("ta"))
     right = texts.select(F.col("_fp").alias("b"), F.col("_t").alias("tb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
@@ -472,15 +466,15 @@ def _parts(open_: DataFrame) -> DataFrame:
     return open_.join(size, "least", "left").select("key", "groups", part.alias("part"))
 
 
-def _join(p: DataFrame, text: str, id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Row table (_id, _n, _fp), root of every linked node, and the tagged rows."""
-    src = p.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
-    feats = T.StructType([T.StructField("_id", src.schema["_id"].dataType), T.StructField("_n", T.LongType()),
-                          T.StructField("_fp", T.LongType()), T.StructField("_fp2", T.LongType()),
-                          T.StructField("_sketch", T.BinaryType())])
-    rows = write_table(src.mapInArrow(_tag("_text", True), feats), "jaccard-rows")
+def _join(p: DataFrame, text: str, id: str) -> tuple[DataFrame, DataFrame]:
+    """Row table (_id, _hash of the text, _n, _fp) and the root of every linked node."""
+    src = p.select(F.col(id).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
+    feats = T.StructType([T.StructField("_id", src.schema["_id"].dataType), T.StructField("_hash", T.LongType()),
+                          T.StructField("_n", T.LongType()), T.StructField("_fp", T.LongType()),
+                          T.StructField("_fp2", T.LongType()), T.StructField("_sketch", T.BinaryType())])
+    rows = write_table(src.mapInArrow(_tag("_text"), feats), "jaccard-rows")
     sets = write_table(rows.where("_n > 0").groupBy("_fp").agg(
-        F.min("_id").alias("_id"), F.max("_n").alias("_n"), F.first("_sketch").alias("_sketch"),
+        F.min(F.struct("_id", "_hash")).alias("_row"), F.max("_n").alias("_n"), F.first("_sketch").alias("_sketch"),
         (F.count_distinct("_fp2") > 1).alias("_clash")), "jaccard-sets")
     total = sets.agg(F.sum("_n"), F.max("_clash")).first()
     if total[1]:
@@ -489,10 +483,9 @@ def _join(p: DataFrame, text: str, id: str) -> tuple[DataFrame, DataFrame, DataF
     shared = write_table(src.select("_text").mapInArrow(_offer("_text", parts), "part int, kind int, blob binary")
                          .groupBy("part").applyInArrow(_meet, _SHARED), "jaccard-blocks")
 
-    tagged = _tagged(src, "_text")
     stars = write_table(shared.where("fp <> hub").groupBy("fp", "hub").agg(F.count(F.lit(1)).alias("c")), "jaccard-stars")
     best = stars.groupBy("fp").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub"))
-    links = _links(_sketched(best.select(F.col("fp").alias("a"), F.col("hub").alias("b")), sets), tagged, sets, "_text")
+    links = _links(_sketched(best.select(F.col("fp").alias("a"), F.col("hub").alias("b")), sets), src, sets)
     root = components(links)
 
     def rooted(df: DataFrame, node: str, out: str) -> DataFrame:
@@ -502,7 +495,7 @@ def _join(p: DataFrame, text: str, id: str) -> tuple[DataFrame, DataFrame, DataF
     # Further partners of a block's smallest document, where the components still differ.
     more = rooted(rooted(stars.select("fp", "hub"), "fp", "ra"), "hub", "rb").where("ra <> rb")
     more = _sketched(more.select(F.col("fp").alias("a"), F.col("hub").alias("b")), sets)
-    new = _links(more, tagged, sets, "_text")
+    new = _links(more, src, sets)
     if not new.isEmpty():
         links = links.unionAll(new)
         root = components(links)
@@ -524,10 +517,10 @@ def _join(p: DataFrame, text: str, id: str) -> tuple[DataFrame, DataFrame, DataF
     large = (large.select("key", "at.i", "at.j", "own", "fp", "r", "n", "sk")
              .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_near_across, "a long, b long"))
     cross = cross.unionAll(large).distinct()
-    new = _links(cross, tagged, sets, "_text")
+    new = _links(cross, src, sets)
     if not new.isEmpty():
         root = components(links.unionAll(new))
-    return rows, root, tagged
+    return rows, root
 
 
 def _with_component(rows: DataFrame, root: DataFrame) -> DataFrame:
@@ -541,7 +534,7 @@ def _with_component(rows: DataFrame, root: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """id, n_shingles, component_id of every row."""
     p, names = positional(docs)
-    rows, root, _ = _join(p, position(names, text), position(names, id))
+    rows, root = _join(p, position(names, text), position(names, id))
     return _with_component(rows, root).select(F.col("_id").alias(id), F.col("_n").alias("n_shingles"), "component_id")
 
 
@@ -550,16 +543,17 @@ def one_per_component(docs: DataFrame, text: str = "text", id: str = "doc_id") -
     smallest id (repeated rows once), and every row with an empty set."""
     p, names = positional(docs)
     t, i = position(names, text), position(names, id)
-    rows, root, _ = _join(p, t, i)
+    rows, root = _join(p, t, i)
     found = _with_component(rows, root).where("_n > 0")
-    each = found.groupBy("_root", "_id", "_fp").agg(F.count(F.lit(1)).alias("_c"))
-    stay = write_table(each.groupBy("_root").agg(F.min(F.struct("_id", "_fp", "_c")).alias("s")).select("s.*"), "jaccard-stay")
-    full = _tagged(p, t)
-    linked = full.where("_n > 0").join(stay.withColumnRenamed("_fp", "_f"),
-                                       (F.col("_fp") == F.col("_f")) & F.col(i).eqNullSafe(F.col("_id")), "left_semi")
+    each = found.groupBy("_root", "_id", "_fp").agg(F.count(F.lit(1)).alias("_c"), F.min("_hash").alias("_h"))
+    stay = write_table(each.groupBy("_root").agg(F.min(F.struct("_id", "_fp", "_c", "_h")).alias("s")).select("s.*"),
+                       "jaccard-stay")
+    full = p.withColumn("_hash", F.xxhash64(t))
+    linked = _with_words(full, t).join(stay, (F.col("_hash") == F.col("_h")) & F.col(i).eqNullSafe(F.col("_id")), "left_semi")
     if not stay.where("_c > 1").isEmpty():  # repeated rows of one id and set: one of them
-        linked = linked.dropDuplicates(["_fp"])
-    out = linked.unionByName(full.where("_n = 0")).select(*p.columns)
+        linked = linked.dropDuplicates([i, "_hash"])
+    empty = full.where(~F.coalesce(F.col(t).rlike(WORD_PATTERN), F.lit(False)))
+    out = linked.unionByName(empty).select(*p.columns)
     return restore(out, names, [])
 
 
