@@ -111,6 +111,28 @@ def dispersion_points(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.select(*by, CLUB, "finish_x", "finish_y")
 
 
+def binned_points(df: DataFrame, x: str = "finish_x", y: str = "finish_y", cell: float = 5.0,
+                  by: Sequence[str] = ()) -> DataFrame:
+    """R4 for a user of any size: the scatter on a grid of ``cell`` yards.
+
+    Per occupied cell: its number of points, its centre, and one of its points
+    (``shown_x``, ``shown_y``; the one with the smallest hash, so reruns agree).
+    Points without two finite coordinates share one row with NULL cell, so the
+    counts add up to the rows of ``dispersion_points``.  One partial aggregate:
+    a hot group sends its occupied cells, never its points.
+    """
+    require_columns(df, [*by, x, y], "binned_points")
+    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    whole = is_finite(x) & is_finite(y)
+    cells = df.select(*by, *[F.when(whole, F.floor(c / F.lit(float(cell))).cast("long")).alias(n)
+                             for n, c in (("cell_x", px), ("cell_y", py))],
+                      F.when(whole, F.struct(F.xxhash64(px, py), px.alias("x"), py.alias("y"))).alias("_pt"))
+    out = cells.groupBy(*by, "cell_x", "cell_y").agg(F.count(F.lit(1)).alias("shots"), F.min("_pt").alias("_pt"))
+    middle = [((F.col(n) + F.lit(0.5)) * F.lit(float(cell))).alias(m) for n, m in (("cell_x", "mid_x"), ("cell_y", "mid_y"))]
+    return out.select(*by, "cell_x", "cell_y", "shots", *middle,
+                      F.col("_pt.x").alias("shown_x"), F.col("_pt.y").alias("shown_y"))
+
+
 def start_vs_curve_points(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Scatter points of the start-vs-curve chart."""
     require_columns(df, [*by, CLUB, "start_yards", "curve_yards"], "start_vs_curve_points")

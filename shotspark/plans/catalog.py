@@ -317,6 +317,23 @@ def q_dispersion_points(spark, sf_dir):
     return ds.dispersion_points(sh.start_curve_finish(testdata.shots(spark, sf_dir)), by=BY)
 
 
+_CELL_SQL = ("CASE WHEN isfinite(finish_x) AND isfinite(finish_y) "
+             "THEN CAST(floor(CAST({} AS DOUBLE) / CAST(5.0 AS DOUBLE)) AS BIGINT) END")
+
+
+@register("dispersion_binned", with_shots(f"""
+SELECT user_id, cell_x, cell_y, count(*) AS shots, {r6('(cell_x + 0.5) * 5.0')} AS mid_x,
+  {r6('(cell_y + 0.5) * 5.0')} AS mid_y, count(*) FILTER (cell_x IS NOT NULL) > 0 AS shown
+FROM (SELECT user_id, {_CELL_SQL.format('finish_x')} AS cell_x, {_CELL_SQL.format('finish_y')} AS cell_y FROM sc)
+GROUP BY user_id, cell_x, cell_y""", _SCF_SQL))
+def q_dispersion_binned(spark, sf_dir):
+    """The point shown is picked by a hash that SQL lacks: the query tells whether it lies in its cell."""
+    cells = ds.binned_points(sh.start_curve_finish(testdata.shots(spark, sf_dir)), by=BY)
+    inside = [F.floor(F.col(f"shown_{a}") / F.lit(5.0)) == F.col(f"cell_{a}") for a in "xy"]
+    return (cells.withColumn("shown", F.coalesce(inside[0] & inside[1], F.lit(False)))
+            .drop("shown_x", "shown_y"))
+
+
 @register("start_vs_curve_points", with_shots(
     f"SELECT user_id, club_type, {r6('start_yards')} AS start_yards, {r6('curve_yards')} AS curve_yards FROM sc",
     _SCF_SQL))
