@@ -1,9 +1,14 @@
 """Toxicity: held-out accuracy, the effect of counterfactuals, cases."""
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 
 from shotspark.llm import op05_toxicity as X
+from shotspark.llm import wordsets as W
 from tests.conftest import SF_SMALL
 
 
@@ -73,3 +78,36 @@ def test_held_out_recall_and_precision(spark):
     toxic, found = sum(r.toxic == 1 for r in rows), sum(r.predicted == 1 for r in rows)
     print(f"held out {len(rows)}: recall {right}/{toxic}, precision {right}/{found}")
     assert toxic > 50 and right / toxic > 0.9 and right / found > 0.9
+
+
+def plain_score(text, model):
+    """One text, word by word in Python integers: every known word counts once,
+    a known beginning as often as it occurs over the root of the words."""
+    top = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & top
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & top
+        return x ^ (x >> 31)
+
+    def poly(word):
+        return sum(int(W._CODE[b]) * pow(W._BASE, k, 1 << 64) for k, b in enumerate(word)) & top
+
+    place = {int(h): k for k, h in enumerate(model.hashes)}
+    words = re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode())
+    found = Counter()
+    for w in words:
+        own = [mixed(poly(w))] + [mixed((poly(w[:p]) + p) & top) for p in X.PREFIXES if len(w) > p]
+        found.update(place[h] for h in own if h in place)
+    z = model.bias + sum(model.weights[k] * (n / math.sqrt(len(words)) if model.by_count[k] else 1.0) for k, n in found.items())
+    return 1 / (1 + math.exp(-min(max(z, -40), 40)))
+
+
+def test_scores_against_a_plain_scorer(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    model = X.train(docs, spark.read.parquet(f"{SF_SMALL}/labels.parquet"))
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "Straße, ÉTÉ vile's women-men\n\n"), (-4, "vile " * 5000)], docs.schema)
+    rows = X.score_texts(docs.unionByName(odd), model).collect()
+    assert len(model.hashes) > 50 and len(rows) == docs.count() + 4
+    for r in rows:
+        assert abs(r.score - plain_score(r.text, model)) < 1e-9
