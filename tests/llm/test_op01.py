@@ -1,5 +1,8 @@
 """Language identification: held-out accuracy, rejection, cases."""
 
+import math
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -83,3 +86,41 @@ def test_a_left_out_language_is_rejected(spark, left):
             .join(docs.select("doc_id", "lang"), "doc_id").collect())
     assert np.mean([r.accepted for r in rows if r.lang == left]) < 0.15
     assert np.mean([r.accepted for r in rows if r.lang != left]) > 0.99
+
+
+def plain_scores(text, model):
+    """Probability of each language, subword by subword in Python integers."""
+    top = (1 << 64) - 1
+    c = b" " + re.sub(rb"[^A-Za-z\x80-\xff]", b" ", text.encode()).lower() + b" "
+    buckets = []
+    for i in range(len(c)):
+        for n in L.SIZES:
+            part = c[i:i + n]
+            if len(part) < n or b" " in part[1:-1] or part[:1] == part[-1:] == b" ":
+                continue
+            h = part[0]
+            for k in range(1, n):
+                h = (h * 0x100000001B3 + part[k] + k + 1) & top
+            buckets.append(((h * 0x9E3779B97F4A7C15 & top) >> 40) % (L.BUCKETS - 1) + 1)
+    n = max(len(buckets), 1)
+    mean = [sum(int(model.table[b, k]) for b in buckets) / L.SCALE / n for k in range(model.table.shape[1])]
+    z = [(m + b) / model.temperature for m, b in zip(mean, model.bias)]
+    e = [math.exp(x - max(z)) for x in z]
+    middle, width = (np.interp(math.log(n), model.curve[0], c) for c in model.curve[1:])
+    learned = 1 / (1 + math.exp(-min(max((mean[-1] - middle) / width, -40), 40)))
+    return [x / sum(e) * learned for x in e]
+
+
+def test_scores_against_a_plain_scorer(spark, model):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(-1, "Straße, ÉTÉ -- l'eau 2x\n\n"), (-2, "a"), (-3, "the " * 3000)], docs.schema)
+    rows = L.identify(docs.where("text is not null").unionByName(odd), model).collect()
+    checked = 0
+    for r in rows:
+        if r.lang_pred == "und" or len(r.text) > 20_000 or (r.doc_id > 0 and len(r.text) > 3000 and r.doc_id % 3):
+            continue  # the plain version is slow on long texts
+        want = plain_scores(r.text, model)
+        assert abs(r.score - max(want)) < 1e-9 and abs(want[model.languages.index(r.lang_pred)] - max(want)) < 1e-9
+        assert r.accepted == (r.score >= model.least)
+        checked += 1
+    assert checked > 100
