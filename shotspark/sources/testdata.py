@@ -9,6 +9,9 @@ any order.  The expressions are portable SQL: Spark evaluates them through
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shotspark.functions.expr import in_small_methods
 
 _NULL_KEY = "(l_orderkey + 3*l_partkey + l_suppkey) % {m} = 0"
 
@@ -81,7 +84,8 @@ def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = table(spark, sf_dir, "lineitem").select(*_LINEITEM_COLS)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return li.join(orders, li["l_orderkey"] == orders["o_orderkey"]).selectExpr(*SHOT_SELECT)
+    cols = [in_small_methods(F.expr(s)).alias("club_type") if s.endswith(" AS club_type") else F.expr(s) for s in SHOT_SELECT]
+    return li.join(orders, li["l_orderkey"] == orders["o_orderkey"]).select(*cols)
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +103,6 @@ def write_session_csvs(shots_df: DataFrame, out_dir: str, shots_per_file: int =
     whose names hold a blank.  Notes hold commas, doubled quotes and a line
     break.  The number of files follows the number of shots.
     """
-    from pyspark.sql import functions as F
     files = max(2, -(-shots_df.count() // shots_per_file))
     from shotspark.schema import METRIC_TITLES
 
