@@ -2,10 +2,10 @@
 
 A session file is one practice session, so it is small and is read whole: one
 ``binaryFile`` scan gives a row per file, and an Arrow function parses header and
-records of a file together.  Files may differ in header (order, extra or missing
+records of a file in pieces of some thousand rows.  Files may differ in header (order, extra or missing
 columns); a cell is found by its file's own header, so there is no plan per layout
 and no second scan.  Only ``read_raw``, whose columns are the headers' union, reads
-the names first.  Task memory is a few times the largest file; ``max_bytes`` refuses
+the names first.  Task memory is the files' bytes and a piece of rows; ``max_bytes`` refuses
 larger ones with their name (such a table is one for ``read_csv_table``).
 
 Per file: first blank lines are skipped; header names are cleaned (blanks, BOM);
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import re
 from typing import Iterable, NamedTuple, Sequence
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from shotspark.functions.expr import null_if_na_text, to_double
+from shotspark.functions.expr import in_small_methods, null_if_na_text, to_double
 from shotspark.operators.clean import clean_name, snake
 from shotspark.schema import CLUB_TITLE, METRICS, NA_STRINGS, PLAYER_TITLE, SNAKE_TO_TITLE
 from shotspark.session import send_package
@@ -38,7 +39,7 @@ SOURCE = "source_file"
 LINE = "line"
 MAX_BYTES = 256 << 20
 _FILES = f"{SOURCE} string, content binary"
-_ROWS_A_BATCH = 20_000
+_ROWS_A_BATCH = 10_000
 _MISSING = frozenset(NA_STRINGS)
 
 
@@ -115,18 +116,19 @@ def column_names(header: str) -> list[str]:
     return unique_names(next(csv.reader([header]), []))
 
 
-def _records(content: bytes):
-    """Header names of a file (None if it has none) and its rows (number, cells)."""
+def _records(content: pa.Buffer):
+    """Header names of a file (None if it has none) and its rows (number, cells), which
+    are decoded and parsed as they are taken."""
     csv.field_size_limit((1 << 31) - 1)
-    text = content.decode("utf-8-sig", "replace")
-    rows = (r for r in csv.reader(io.StringIO(text, newline="")) if len(r) > 1 or (r and r[0].strip(" \t")))
+    text = io.TextIOWrapper(pa.BufferReader(content), "utf-8-sig", "replace", newline="")
+    rows = (r for r in csv.reader(text) if len(r) > 1 or (r and r[0].strip(" \t")))
     head = next(rows, None)
     return (None, ()) if head is None else (unique_names(head), enumerate(rows))
 
 
 def _headers(batches):
     for batch in batches:
-        found = [(f, _records(c)[0]) for f, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        found = [(f, _records(c.as_buffer())[0]) for f, c in zip(batch.column(0).to_pylist(), batch.column(1))]
         found = [(f, h) for f, h in found if h is not None]
         yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()),
                                           pa.array([h for _, h in found], pa.list_(pa.string()))], names=[SOURCE, "header"])
@@ -162,19 +164,19 @@ def _cells(wanted: list[str], loose: bool):
     def run(batches):
         for batch in batches:
             for source, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                names, rows = _records(content.as_py())
+                names, rows = _records(content.as_buffer())
                 if names is None:
                     continue
-                rows = list(rows)
-                places = [_place(names, w, loose) for w in wanted]
+                # Parsed twice: whether the file is rejected is known at its end, and its rows are not kept.
                 if any(len(r) > len(names) for _, r in rows):
                     yield batch_of(source, [(0, [])], [None] * len(wanted), True)
                     continue
+                places, rows = [_place(names, w, loose) for w in wanted], _records(content.as_buffer())[1]
                 if PLAYER_TITLE in names:
                     p = names.index(PLAYER_TITLE)
-                    rows = [(n, r) for n, r in rows if p < len(r) and r[p] not in _MISSING]
-                for a in range(0, len(rows), _ROWS_A_BATCH):
-                    yield batch_of(source, rows[a:a + _ROWS_A_BATCH], places)
+                    rows = ((n, r) for n, r in rows if p < len(r) and r[p] not in _MISSING)
+                while some := list(itertools.islice(rows, _ROWS_A_BATCH)):
+                    yield batch_of(source, some, places)
 
     return run
 
@@ -219,6 +221,7 @@ def typed_shots(raw: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     by_snake = {snake(c): c for c in raw.columns}
     cols = [F.col(f"`{by_snake['club_type']}`").alias("club_type") if "club_type" in by_snake
             else F.lit(None).cast("string").alias("club_type")]
+    cols[0] = in_small_methods(cols[0]).alias("club_type")
     for m in METRICS:
         cols.append(to_double(F.col(f"`{by_snake[m]}`")).alias(m) if m in by_snake
                     else F.lit(None).cast("double").alias(m))

@@ -1,10 +1,14 @@
 """Bounds that keep the shot queries in proportion to their rows."""
 
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from shotspark.schema import METRICS, SNAKE_TO_TITLE
+from shotspark.sources import csv_sessions as csvs
 from shotspark.sources import testdata
 
 
@@ -33,3 +37,35 @@ def test_shots_are_compiled_as_small_methods(spark, tiny):
     assert shots.columns == plain.columns and shots.dtypes == plain.dtypes
     assert sorted(map(repr, shots.collect())) == sorted(map(repr, plain.collect()))
     assert {r.club_type for r in shots.collect()} > {None, "3W"}
+
+
+def test_typed_csv_cells_are_compiled_as_small_methods(spark):
+    raw = spark.createDataFrame([("7i", *[str(k)] * len(METRICS)) for k in range(3)], ["Club Type", *[SNAKE_TO_TITLE[m] for m in METRICS]])
+    typed = csvs.typed_shots(raw)
+    assert _fused_projects(typed) == []
+    assert sorted((r.club_type, r.carry_distance) for r in typed.collect()) == [("7i", 0.0), ("7i", 1.0), ("7i", 2.0)]
+
+
+def _peak(rows: int) -> tuple[int, int]:
+    head = "Player,Club Type," + ",".join(SNAKE_TO_TITLE[m] for m in METRICS)
+    line = "p,7i," + ",".join(f"{k}.125" for k in range(len(METRICS)))
+    content = ("\ufeff" + "\r\n".join([head, *[line] * rows])).encode()
+    batch = pa.RecordBatch.from_arrays([pa.array(["a.csv"]), pa.array([content])], names=["source_file", "content"])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in csvs._cells(["Club Type", "Carry Distance"], True)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return n, peak
+
+
+def test_memory_of_parsing_does_not_follow_the_file():
+    (few, small), (many, large) = _peak(25_000), _peak(100_000)
+    assert (few, many) == (25_000, 100_000)
+    assert large < 1.2 * small
+
+
+def test_rejection_at_the_end_of_a_long_file():
+    content = ("Club Type,Carry Distance\n" + "7i,1\n" * 25_000 + "7i,1,2\n").encode()
+    batch = pa.RecordBatch.from_arrays([pa.array(["a.csv"]), pa.array([content])], names=["source_file", "content"])
+    out = list(csvs._cells(["Club Type"], False)([batch]))
+    assert [(b.num_rows, b.column("rejected").to_pylist()) for b in out] == [(1, [True])]
