@@ -54,7 +54,7 @@ def upload_sessions(spark: SparkSession, tables: Tables, paths: str | Sequence[s
     session_id = F.sha2(F.concat_ws("|", F.col(SOURCE), F.lit(uploaded_at.isoformat())), 256)
     parsed = shots_of_files(files, keep).withColumnsRenamed({k: snake(k) for k in keep})
     shots = (parsed.where("NOT rejected").withColumn("user_id", owner).withColumn("session_id", session_id)
-             .withColumn("id", F.sha2(F.concat_ws("|", "session_id", F.col(LINE).cast("string")), 256)))
+             .withColumn("row_number", F.col(LINE)))
     done = tables.append_shots(shots, batch=name, landed_at=uploaded_at)
     landed = (tables.batch("shots", name).groupBy("user_id", "session_id")
               .agg(F.count(F.lit(1)).alias("rows_imported")))
@@ -81,6 +81,6 @@ def ingest_sessions(spark: SparkSession, tables: Tables, paths: str | Sequence[s
 
 
 def ingest_frame(tables: Tables, shots: DataFrame, sessions: DataFrame) -> None:
-    """Append already-typed shots (with id, session_id, user_id) and sessions."""
+    """Append already-typed shots (with id or row_number, session_id, user_id) and sessions."""
     tables.append_shots(shots)
     tables.append_sessions(sessions)

@@ -31,7 +31,7 @@ import datetime as dt
 import uuid
 from typing import Iterable, NamedTuple, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,14 +142,18 @@ class Tables:
         parts, counted = self._parts(table), Observation()
         if "user_bucket" in parts:
             df = df.hint("rebalance", *parts)
+        if "row_number" in df.columns:
+            df = df.withColumn("id", F.when(F.col("row_number").isNotNull(), shot_id("row_number"))).drop("row_number")
         # Counted in the writing stage, whose tasks count once each however often they are run.
         df = df.observe(counted, F.count(_KEYS.get(table, "id")).alias("rows"), *[c.alias(n) for n, c in seen.items()])
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts)
-         .parquet(self._path(table)))
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+         .partitionBy(*parts).parquet(self._path(table)))
         return counted.get
 
     def _append(self, table: str, df: DataFrame, batch: str | None, owner: str | None = None, **seen) -> dict:
-        rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _SCHEMAS[table].fields])
+        numbered = table == "shots" and "id" not in df.columns
+        rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in _SCHEMAS[table].fields if not (numbered and f.name == "id")],
+                         *([F.col("row_number").cast("long")] if numbered else []))
         if owner is not None:
             other = F.raise_error(F.concat(F.lit(f"a row of another user than {owner}: "), F.coalesce("user_id", F.lit("NULL"))))
             rows = rows.withColumn("user_id", F.when(F.col("user_id") == owner, F.col("user_id")).otherwise(other.cast("string")))
@@ -157,7 +161,10 @@ class Tables:
         if "user_bucket" in self._parts(table):
             rows = rows.withColumn("user_bucket", bucket_of(F.col("user_id"), self.buckets))
         if batch:  # a replay may lack rows for a bucket that the first run wrote
-            rows = rows.unionByName(self._fillers(table, self._files(table).where(F.col("batch") == batch)))
+            fillers = self._fillers(table, self._files(table).where(F.col("batch") == batch))
+            if numbered:
+                fillers = fillers.drop("id").withColumn("row_number", F.lit(None).cast("long"))
+            rows = rows.unionByName(fillers)
         return self._replace(table, rows, **seen)
 
     def append_sessions(self, sessions: DataFrame, batch: str | None = None, owner: str | None = None) -> dict:
@@ -167,7 +174,9 @@ class Tables:
     def append_shots(self, shots: DataFrame, batch: str | None = None, owner: str | None = None,
                      landed_at: dt.datetime | None = None, **seen) -> dict:
         """NaN metrics become NULL, so that averages skip them.  Returns ``rows`` and
-        the aggregates ``seen``, counted while writing."""
+        the aggregates ``seen``, counted while writing.  Shots with a ``row_number``
+        instead of an ``id`` get their ids behind the shuffle, which 64 letters that
+        no codec shortens would otherwise go through."""
         clean = shots.withColumns({m: nan_to_null(F.col(m).cast("double")) for m in METRICS if m in shots.columns})
         return self._append("shots", clean.withColumn("landed_at", F.lit(landed_at or _now())), batch, owner, **seen)
 
@@ -370,6 +379,11 @@ def session_rows(files: DataFrame, user_id_col: str = "user_id",
         F.lit(ts).cast("timestamp").alias("uploaded_at"))
 
 
+def shot_id(number: str) -> Column:
+    """A shot's id: a hash of its session and its number."""
+    return F.sha2(F.concat_ws("|", "session_id", F.col(number).cast("string")), 256)
+
+
 def with_shot_ids(shots: DataFrame, key_cols: Sequence[str] = ("session_id",)) -> DataFrame:
     """Shot ids: a hash of the session and the row's place in the scan.  They
     are unique within a batch; a scan that is split otherwise gives others."""
@@ -380,10 +394,11 @@ def with_shot_ids(shots: DataFrame, key_cols: Sequence[str] = ("session_id",)) -
 
 def shots_from_view(view: DataFrame) -> DataFrame:
     """Shots-table rows from a frame with user_id, session_id, club_type and
-    the metrics (keys cast to string)."""
+    the metrics (keys cast to string); ``row_number`` is the place in the scan, from
+    which ``append_shots`` makes the ids of ``with_shot_ids``."""
     df = view.withColumn("user_id", F.col("user_id").cast("string")) \
              .withColumn("session_id", F.col("session_id").cast("string"))
-    return with_shot_ids(df)
+    return df.withColumn("row_number", F.monotonically_increasing_id())
 
 
 def users_frame(spark: SparkSession, user_ids: Iterable[str]) -> DataFrame:

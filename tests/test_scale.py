@@ -1,5 +1,6 @@
 """Bounds that keep the shot queries in proportion to their rows."""
 
+import hashlib
 import re
 import tracemalloc
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shotspark.schema import METRICS, SNAKE_TO_TITLE
 from shotspark.sources import csv_sessions as csvs
+from shotspark.sources import tables as tb
 from shotspark.sources import testdata
 
 
@@ -69,3 +71,17 @@ def test_rejection_at_the_end_of_a_long_file():
     batch = pa.RecordBatch.from_arrays([pa.array(["a.csv"]), pa.array([content])], names=["source_file", "content"])
     out = list(csvs._cells(["Club Type"], False)([batch]))
     assert [(b.num_rows, b.column("rejected").to_pylist()) for b in out] == [(1, [True])]
+
+
+def test_ids_are_made_behind_the_shuffle(spark, tmpdir_path):
+    t = tb.Tables(spark, f"{tmpdir_path}/t", buckets=2)
+    none = [F.lit(None).cast("double").alias(m) for m in METRICS]
+    rows = spark.createDataFrame([(5, "s1", "u1", "7i"), (6, "s1", "u1", None), (7, None, "u2", "D")],
+                                 "row_number long, session_id string, user_id string, club_type string").select("*", *none)
+    for _ in range(2):  # a replay of the batch adds fillers, which are no shots
+        assert t.append_shots(rows, batch="b")["rows"] == 3
+    assert t.append_shots(rows.where("row_number = 5"), batch="b")["rows"] == 1
+    t.append_shots(rows.where("row_number > 5"), batch="c")
+    of = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert sorted(r.id for r in t.batch("shots", "b").collect() + t.batch("shots", "c").collect()) == sorted(
+        [of("s1|5"), of("s1|6"), of("7")])
