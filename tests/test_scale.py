@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from shotspark.llm import op04_records as op4
 from shotspark.schema import METRICS, SNAKE_TO_TITLE
 from shotspark.sources import csv_sessions as csvs
 from shotspark.sources import tables as tb
@@ -85,3 +86,8 @@ def test_ids_are_made_behind_the_shuffle(spark, tmpdir_path):
     of = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert sorted(r.id for r in t.batch("shots", "b").collect() + t.batch("shots", "c").collect()) == sorted(
         [of("s1|5"), of("s1|6"), of("7")])
+
+
+def test_words_kept_by_a_worker_are_few():
+    known = op4._Known(tokenizer=None)
+    assert known.most <= 200_000
