@@ -138,24 +138,26 @@ def _encode_words(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 class _Known:
     """The ids of words that a worker met before, for its later batches: the first
-    ``most`` of them, among which are the frequent ones, so memory is bounded."""
-
-    def __init__(self, tokenizer, most: int = 200_000):
-        self.tokenizer, self.most, self.number = tokenizer, most, {}
-        self.flat, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids in one array, and start and length of those of each of the words."""
-        new = [w for w in words if w not in self.number]
-        number = dict(zip(new, range(len(self.number), len(self.number) + len(new))))
-        flat, length = _encode_words(self.tokenizer, new)
-        flat, length = np.concatenate([self.flat, flat]), np.concatenate([self.length, length])
-        kept = self.number
-        at = np.fromiter((kept[w] if w in kept else number[w] for w in words), np.int64, len(words))
-        if len(kept) + len(new) <= self.most:
-            self.number.update(number)
-            self.flat, self.length = flat, length
-        return flat, (np.cumsum(length) - length)[at], length[at]
+    ``most`` of them, among which are the frequent ones, so memory is bounded.  The
+    words are one Arrow array, a tenth of a dictionary's size, hashed once a batch."""
+
+    def __init__(self, tokenizer, most: int = 1_000_000):
+        self.tokenizer, self.most, self.words = tokenizer, most, pa.array([], pa.large_string())
+        self.flat, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int32)
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in one array, and start and length of those of each of the (distinct) words."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = words.filter(pa.array(at < 0))
+        at[at < 0] = len(self.words) + np.arange(len(new))
+        flat, length = _encode_words(self.tokenizer, new.to_pylist())
+        flat, length = np.concatenate([self.flat, flat]), np.concatenate([self.length, length.astype(np.int32)])
+        if len(new) and len(self.words) < self.most:
+            self.words = pa.concat_arrays([self.words, new.slice(0, self.most - len(self.words))])
+            self.length = length[:len(self.words)].copy()
+            self.flat = flat[:int(self.length.sum())].copy()
+        start = np.cumsum(length, dtype=np.int64) - length
+        return flat, start[at], length[at].astype(np.int64)
 
 
 def encode_texts(spec: str, texts: pa.Array, specials: bool = False) -> list[np.ndarray]:
@@ -172,13 +174,13 @@ def encode_texts(spec: str, texts: pa.Array, specials: bool = False) -> list[np.
         return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
     pieces = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
     coded = pieces.flatten().dictionary_encode()
-    flat, start, length = known(coded.dictionary.to_pylist())
+    flat, start, length = known(coded.dictionary)
     index = coded.indices.to_numpy()
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(pieces).to_numpy(), dtype=np.int64)])
     return [gather(flat, start, length, index[a:b]) for a, b in zip(ends[:-1], ends[1:])]
 
 
-def _to_records(spec, end_id: int, specials: bool, batch_bytes: int = 1 << 21):
+def _to_records(spec, end_id: int, specials: bool, batch_bytes: int = 1 << 23):
     def run(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.large_string())

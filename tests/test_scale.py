@@ -4,6 +4,7 @@ import hashlib
 import re
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +89,17 @@ def test_ids_are_made_behind_the_shuffle(spark, tmpdir_path):
         [of("s1|5"), of("s1|6"), of("7")])
 
 
-def test_words_kept_by_a_worker_are_few():
-    known = op4._Known(tokenizer=None)
-    assert known.most <= 200_000
+def test_known_words_are_kept_up_to_the_bound(monkeypatch):
+    asked = []
+
+    def encode(_, words):
+        asked.append(words)
+        return np.array([ord(c) for w in words for c in w], np.uint32), np.array([len(w) for w in words], np.int64)
+
+    monkeypatch.setattr(op4, "_encode_words", encode)
+    known = op4._Known(None, most=3)
+    for words in (["ab", "c", "d", "efg"], ["x", "c", "efg", "ab"], ["d"]):
+        flat, start, length = known(pa.array(words, pa.large_string()))
+        assert ["".join(map(chr, flat[a:a + n])) for a, n in zip(start, length)] == words
+    assert asked == [["ab", "c", "d", "efg"], ["x", "efg"], []]
+    assert len(known.words) == 3 and len(known.flat) == 4
