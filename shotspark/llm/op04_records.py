@@ -141,7 +141,7 @@ class _Known:
     ``most`` of them, among which are the frequent ones, so memory is bounded.  The
     words are one Arrow array, a tenth of a dictionary's size, hashed once a batch."""
 
-    def __init__(self, tokenizer, most: int = 1_000_000):
+    def __init__(self, tokenizer, most: int = 300_000):
         self.tokenizer, self.most, self.words = tokenizer, most, pa.array([], pa.large_string())
         self.flat, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int32)
 
@@ -180,7 +180,7 @@ def encode_texts(spec: str, texts: pa.Array, specials: bool = False) -> list[np.
     return [gather(flat, start, length, index[a:b]) for a, b in zip(ends[:-1], ends[1:])]
 
 
-def _to_records(spec, end_id: int, specials: bool, batch_bytes: int = 1 << 23):
+def _to_records(spec, end_id: int, specials: bool, batch_bytes: int = 1 << 21):
     def run(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.large_string())
