@@ -43,6 +43,19 @@ def test_shots_are_compiled_as_small_methods(spark, tiny):
     assert {r.club_type for r in shots.collect()} > {None, "3W"}
 
 
+def test_club_codes_are_looked_up_in_compiled_code(spark, tmpdir_path):
+    keys = [None, -16, -1, 0, 1, 13, 14, 15, 29, 2**40 + 7]
+    (spark.createDataFrame([(1, p, 1, n, 1.0) for n, p in enumerate(keys)],
+                           "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double")
+     .write.parquet(f"{tmpdir_path}/lineitem.parquet"))
+    spark.createDataFrame([(1, 2)], "o_orderkey long, o_custkey long").write.parquet(f"{tmpdir_path}/orders.parquet")
+    shots = testdata.shots(spark, tmpdir_path)
+    plan = shots._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"aggregate\(\[0\], l_partkey#", plan) and "transform(" not in plan  # only a bare column in the lambda
+    plain = spark.read.parquet(f"{tmpdir_path}/lineitem.parquet").selectExpr(testdata._club_sql())
+    assert sorted(map(repr, shots.select("club_type").collect())) == sorted(map(repr, plain.collect()))
+
+
 def test_typed_csv_cells_are_compiled_as_small_methods(spark):
     raw = spark.createDataFrame([("7i", *[str(k)] * len(METRICS)) for k in range(3)], ["Club Type", *[SNAKE_TO_TITLE[m] for m in METRICS]])
     typed = csvs.typed_shots(raw)
