@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotspark.functions.expr import nan_to_null
+from shotspark.functions.expr import in_small_methods, nan_to_null
 from shotspark.operators.deliverables import club_summary
 from shotspark.schema import CACHE_RENAMES, CLUB_SUMMARIES_SCHEMA, METRICS, SESSIONS_SCHEMA, SHOTS_SCHEMA
 from shotspark.session import checkpoint_dir
@@ -143,7 +143,7 @@ class Tables:
         if "user_bucket" in parts:
             df = df.hint("rebalance", *parts)
         if "row_number" in df.columns:
-            df = df.withColumn("id", F.when(F.col("row_number").isNotNull(), shot_id("row_number"))).drop("row_number")
+            df = df.withColumn("id", F.when(in_small_methods("row_number").isNotNull(), shot_id("row_number"))).drop("row_number")
         # Counted in the writing stage, whose tasks count once each however often they are run.
         df = df.observe(counted, F.count(_KEYS.get(table, "id")).alias("rows"), *[c.alias(n) for n, c in seen.items()])
         (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
@@ -177,7 +177,8 @@ class Tables:
         the aggregates ``seen``, counted while writing.  Shots with a ``row_number``
         instead of an ``id`` get their ids behind the shuffle, which 64 letters that
         no codec shortens would otherwise go through."""
-        clean = shots.withColumns({m: nan_to_null(F.col(m).cast("double")) for m in METRICS if m in shots.columns})
+        clean = shots.withColumns({m: nan_to_null(F.col(m).cast("double")) for m in METRICS if m in shots.columns}
+                                  | {"session_id": in_small_methods("session_id")})
         return self._append("shots", clean.withColumn("landed_at", F.lit(landed_at or _now())), batch, owner, **seen)
 
     # -- maintenance ----------------------------------------------------------

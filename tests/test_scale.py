@@ -56,6 +56,19 @@ def test_club_codes_are_looked_up_in_compiled_code(spark, tmpdir_path):
     assert sorted(map(repr, shots.select("club_type").collect())) == sorted(map(repr, plain.collect()))
 
 
+def test_appended_shots_are_compiled_as_small_methods(spark, tiny, monkeypatch):
+    dealt, observe = [], type(spark.range(1)).observe
+    monkeypatch.setattr(type(spark.range(1)), "observe", lambda self, *a: dealt.append(self) or observe(self, *a))
+    t = tb.Tables(spark, f"{tiny}/t", buckets=2)
+    assert t.append_shots(tb.shots_from_view(testdata.shots(spark, tiny)))["rows"] == 25
+    rows = dealt[0].collect()  # the plan is final only now
+    assert len({r.id for r in rows}) == 25 and {r.session_id for r in rows} == {str(k) for k in range(1, 9)}
+    plan = dealt[0]._jdf.queryExecution().executedPlan().toString()
+    final = plan[:plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    wide = [x for x in final.splitlines() if "Project [" in x and x.count("#") > 20]
+    assert len(wide) == 3 and not [x for x in wide if re.search(r"\*\(\d+\) Project", x)]
+
+
 def test_typed_csv_cells_are_compiled_as_small_methods(spark):
     raw = spark.createDataFrame([("7i", *[str(k)] * len(METRICS)) for k in range(3)], ["Club Type", *[SNAKE_TO_TITLE[m] for m in METRICS]])
     typed = csvs.typed_shots(raw)
