@@ -167,11 +167,15 @@ def _cells(wanted: list[str], loose: bool):
                 names, rows = _records(content.as_buffer())
                 if names is None:
                     continue
-                # Parsed twice: whether the file is rejected is known at its end, and its rows are not kept.
-                if any(len(r) > len(names) for _, r in rows):
+                rows = iter(rows)
+                some = list(itertools.islice(rows, _ROWS_A_BATCH))
+                long = len(some) == _ROWS_A_BATCH
+                # Whether a file is rejected is known at its end: one longer than a piece is parsed twice, its rows not kept.
+                if any(len(r) > len(names) for _, r in some) or (long and any(len(r) > len(names) for _, r in rows)):
                     yield batch_of(source, [(0, [])], [None] * len(wanted), True)
                     continue
-                places, rows = [_place(names, w, loose) for w in wanted], _records(content.as_buffer())[1]
+                places = [_place(names, w, loose) for w in wanted]
+                rows = iter(_records(content.as_buffer())[1] if long else some)
                 if PLAYER_TITLE in names:
                     p = names.index(PLAYER_TITLE)
                     rows = ((n, r) for n, r in rows if p < len(r) and r[p] not in _MISSING)

@@ -74,6 +74,9 @@ SESSION_SELECT = [
 ]
 SESSIONS_SQL = "SELECT " + ", ".join(SESSION_SELECT) + " FROM orders"
 
+#: Session files that one task writes, where there are more than shuffle partitions.
+_FILES_A_TASK = 64
+
 _LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
 
 
@@ -105,11 +108,14 @@ def write_session_csvs(shots_df: DataFrame, out_dir: str, shots_per_file: int =
     A: Player, User Id, Session Id, Club Type, metrics in file order.
     B: BOM + padded headers, reversed metric order, an extra Note column,
        NULL written as ``NA``.
-    Users are split between the layouts by key parity; returns the two dirs,
-    whose names hold a blank.  Notes hold commas, doubled quotes and a line
-    break.  The number of files follows the number of shots.
+    Users are split between the layouts by key parity; returns the two layouts'
+    paths, whose names hold a blank.  Notes hold commas, doubled quotes and a line
+    break.  The number of files follows the number of shots; a task writes several,
+    each below a folder of its number, as a shuffle to one partition a file would
+    have blocks by files times tasks.
     """
     files = max(2, -(-shots_df.count() // shots_per_file))
+    parts = max(min(files, int(shots_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-files // _FILES_A_TASK))
     from shotspark.schema import METRIC_TITLES
 
     def layout(df, cols, bom, null_value, path):
@@ -118,14 +124,14 @@ def write_session_csvs(shots_df: DataFrame, out_dir: str, shots_per_file: int =
                            F.lit("").alias(cols[3][0]),
                            *[F.lit("[u]").alias(c) for c, _ in cols[4:]], F.lit(0).alias("_data")))
         data = df.select("_file", *[F.col(src).cast("string").alias(c) for c, src in cols], F.lit(1).alias("_data"))
-        out = units.unionByName(data).repartition(files, "_file").sortWithinPartitions("_file", "_data")
+        out = units.unionByName(data).repartition(parts, "_file").sortWithinPartitions("_file", "_data")
         names = [c for c, _ in cols]
         if bom:
             names = ["\ufeff" + names[0]] + [f" {n} " if n == "Club Type" else n for n in names[1:]]
-        (out.drop("_file", "_data").toDF(*names)
-            .write.mode("overwrite").option("header", True).option("nullValue", null_value)
+        (out.drop("_data").toDF("file", *names)
+            .write.mode("overwrite").partitionBy("file").option("header", True).option("nullValue", null_value)
             .option("escape", '"').csv(path))
-        return path
+        return f"{path}/file=*"
 
     base = shots_df.withColumn("_file", F.pmod(F.xxhash64("session_id"), F.lit(files)))
     keys = [("Player", "user_id"), ("User Id", "user_id"), ("Session Id", "session_id"), ("Club Type", "club_type")]

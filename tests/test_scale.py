@@ -69,6 +69,33 @@ def test_appended_shots_are_compiled_as_small_methods(spark, tiny, monkeypatch):
     assert len(wide) == 3 and not [x for x in wide if re.search(r"\*\(\d+\) Project", x)]
 
 
+def test_a_task_writes_several_session_files(spark, tiny):
+    shots = testdata.shots(spark, tiny)
+    dirs = testdata.write_session_csvs(shots, f"{tiny}/csv", shots_per_file=1)
+    files = [r.path for d in dirs for r in spark.read.format("binaryFile").load(d).select("path").collect()]
+    assert len(files) == 50  # one of each number and layout
+    assert {int(re.search(r"/part-(\d+)-", f).group(1)) for f in files} <= set(range(8))  # the session's shuffle partitions
+    assert all(re.search(r"/layout [ab]/file=\d+/part-", f) for f in files)
+    back = csvs.read_sessions(spark, dirs, keep=["User Id", "Session Id"])
+    plain = shots.withColumn("user_id", F.col("user_id").cast("string")).withColumn("session_id", F.col("session_id").cast("string"))
+    assert sorted(map(str, map(tuple, back.collect()))) == sorted(map(str, map(tuple, plain.collect())))
+
+
+def test_short_files_are_parsed_once(monkeypatch):
+    parsed, records = [], csvs._records
+    monkeypatch.setattr(csvs, "_records", lambda c: parsed.append(1) or records(c))
+    monkeypatch.setattr(csvs, "_ROWS_A_BATCH", 3)
+    for rows, times, rejected in ((0, 1, False), (2, 1, False), (3, 2, False), (7, 2, False), (2, 1, True), (7, 1, True)):
+        lines = ["Player,Club Type"] + ["p,7i"] * rows + (["p,7i,1"] if rejected else [])
+        batch = pa.RecordBatch.from_arrays([pa.array(["a.csv"]), pa.array(["\n".join(lines).encode()])], names=["source_file", "content"])
+        parsed.clear()
+        out = list(csvs._cells(["Club Type"], False)([batch]))
+        assert len(parsed) == times, (rows, rejected)
+        flags = [x for b in out for x in b.column("rejected").to_pylist()]
+        lines = [x for b in out for x in b.column("line").to_pylist()]
+        assert (flags, lines) == (([True], [0]) if rejected else ([False] * rows, list(range(rows))))
+
+
 def test_typed_csv_cells_are_compiled_as_small_methods(spark):
     raw = spark.createDataFrame([("7i", *[str(k)] * len(METRICS)) for k in range(3)], ["Club Type", *[SNAKE_TO_TITLE[m] for m in METRICS]])
     typed = csvs.typed_shots(raw)
