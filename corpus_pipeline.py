@@ -24,6 +24,10 @@ from shotspark.llm.op03_jaccard_join import one_per_component
 from shotspark.llm.op08_exact_dedup import exact_dedup
 from shotspark.llm.op09_byte_bpe import digests, encode_decode, public_tokenizer
 
+#: Characters of a block of stage 5: fewer than op9's own, as the stages before leave a
+#: worker less memory; more blocks repeat more words in the shuffle, which has room here.
+BLOCK_CHARS = 4_000_000
+
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID (1): rejected documents go."""
@@ -54,7 +58,7 @@ def take_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE (9): doc_id, n_tokens and digests of ids and decoded bytes."""
-    return digests(encode_decode(docs, public_tokenizer()))
+    return digests(encode_decode(docs, public_tokenizer(), block_chars=BLOCK_CHARS))
 
 
 STAGES = [

@@ -54,6 +54,15 @@ def test_stages_one_by_one(spark, tmpdir_path):
         {(i, len(ids[i]), hashlib.sha256(ids[i].tobytes()).hexdigest()): n for i, n in copies.items()})
 
 
+def test_blocks_of_the_last_stage_are_small(spark, monkeypatch):
+    asked, whole = [], C.encode_decode
+    monkeypatch.setattr(C, "encode_decode", lambda *a, **k: asked.append(k.get("block_chars", 16_000_000)) or whole(*a, **k))
+    docs = spark.createDataFrame([(1, "a b c"), (2, "c b"), (3, None), (1, "a b c")], "doc_id long, text string")
+    few = sorted(map(tuple, C.encode(spark, docs, "").collect()), key=str)
+    assert asked == [4_000_000]  # Python's memory in a worker follows it
+    assert few == sorted(map(tuple, C.digests(whole(docs, public_tokenizer())).collect()), key=str) and len(few) == 4
+
+
 def test_null_rows_and_extra_columns(spark):
     some = documents(spark, SF_SMALL).limit(30)
     df = some.selectExpr("*", "1 as score", "'x' as kept", "2 as copies").unionByName(spark.createDataFrame(
