@@ -1,18 +1,21 @@
 """Session construction for local runs, tests and the bench.
 
-On a cluster the session comes from the platform; library code never sets
-session-wide configuration.  ``get_spark`` is only a convenience for local
+On a cluster the session comes from the platform; library code leaves its
+configuration as it is, but for one setting while it writes
+(``shuffles_end_with_jobs``).  ``get_spark`` is only a convenience for local
 runs and only fills in settings that are still unset.
 """
 
 from __future__ import annotations
 
+import contextlib
 import os
 import pathlib
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Defaults for local runs.  AQE coalesces the post-shuffle partitions and
 # splits skewed join partitions at run time; the shuffle partition count is
@@ -71,6 +74,36 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+#: Spark's setting that a query's shuffle files go when it is done.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: A frame of at most so many narrow rows may be broadcast.
+FEW_ROWS = 200_000
+
+
+@contextlib.contextmanager
+def shuffles_end_with_jobs(spark: SparkSession):
+    """Inside, the shuffle files of a query that is run are removed as it ends, not
+    when the driver happens to collect its garbage: a job of several writes then needs
+    disk for one write's shuffles.  Lazy frames made inside are not touched."""
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, was)
+
+
+def counted(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """``df`` written once (checkpoint) and, if it has at most ``most`` rows, marked to
+    be broadcast, so that wide rows joined with it are not shuffled.  With more rows
+    Spark joins as it does without the mark."""
+    checkpoint_dir(df.sparkSession)
+    with shuffles_end_with_jobs(df.sparkSession):
+        df = df.checkpoint(eager=True)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def send_package(spark: SparkSession) -> None:
     """Send this package's modules to the executors, once a session: Arrow functions
     are found there by name.  Only the driver reads the zip's folder."""

@@ -13,7 +13,9 @@ the units row is dropped (rows with an empty ``Player``, only when that column
 exists); pandas' missing markers (``NA``, ``n/a``, ...) become NULL.  Quotes are
 doubled inside quoted fields, which may hold line breaks, in the header too.  A row
 longer than its header rejects the whole file (the reference refuses such a file);
-shorter rows get trailing NULLs, blank lines are no rows.
+shorter rows get trailing NULLs, blank lines are no rows.  A file may be compressed
+with gzip (told by its first bytes, as pandas tells by the name); it is unpacked as
+it is parsed.
 """
 
 from __future__ import annotations
@@ -116,11 +118,28 @@ def column_names(header: str) -> list[str]:
     return unique_names(next(csv.reader([header]), []))
 
 
+def _plain(content: pa.Buffer):
+    """The file's bytes as a stream, unpacked if it is a gzip file (no text begins so)."""
+    raw = pa.BufferReader(content)
+    return pa.CompressedInputStream(raw, "gzip") if content.size > 1 and content.slice(0, 2).to_pybytes() == b"\x1f\x8b" else raw
+
+
+def unpacked(batches):
+    """The rows with their column ``content`` unpacked, a file at a time."""
+    for batch in batches:
+        k = batch.schema.get_field_index("content")
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1)
+            content = row.column(k)[0].as_buffer()
+            whole = None if content is None else _plain(content).read()
+            yield row.set_column(k, batch.schema.field(k), pa.array([whole], batch.schema.field(k).type))
+
+
 def _records(content: pa.Buffer):
     """Header names of a file (None if it has none) and its rows (number, cells), which
     are decoded and parsed as they are taken."""
     csv.field_size_limit((1 << 31) - 1)
-    text = io.TextIOWrapper(pa.BufferReader(content), "utf-8-sig", "replace", newline="")
+    text = io.TextIOWrapper(_plain(content), "utf-8-sig", "replace", newline="")
     rows = (r for r in csv.reader(text) if len(r) > 1 or (r and r[0].strip(" \t")))
     head = next(rows, None)
     return (None, ()) if head is None else (unique_names(head), enumerate(rows))

@@ -38,9 +38,11 @@ from pyspark.sql import types as T
 from shotspark.functions.expr import in_small_methods, nan_to_null
 from shotspark.operators.deliverables import club_summary
 from shotspark.schema import CACHE_RENAMES, CLUB_SUMMARIES_SCHEMA, METRICS, SESSIONS_SCHEMA, SHOTS_SCHEMA
-from shotspark.session import checkpoint_dir
+from shotspark.session import checkpoint_dir, counted, shuffles_end_with_jobs
 
 DEFAULT_BUCKETS = 64
+#: A table partitioned by user is rewritten in so many rounds, so that each shuffles that part of it.
+ROUNDS = 8
 _LANDED = T.StructField("landed_at", T.TimestampType())
 _SCHEMAS = {
     "sessions": SESSIONS_SCHEMA, "shots": T.StructType([*SHOTS_SCHEMA.fields, _LANDED]),
@@ -146,8 +148,9 @@ class Tables:
             df = df.withColumn("id", F.when(in_small_methods("row_number").isNotNull(), shot_id("row_number"))).drop("row_number")
         # Counted in the writing stage, whose tasks count once each however often they are run.
         df = df.observe(counted, F.count(_KEYS.get(table, "id")).alias("rows"), *[c.alias(n) for n, c in seen.items()])
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-         .partitionBy(*parts).parquet(self._path(table)))
+        with shuffles_end_with_jobs(self.spark):
+            (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+             .partitionBy(*parts).parquet(self._path(table)))
         return counted.get
 
     def _append(self, table: str, df: DataFrame, batch: str | None, owner: str | None = None, **seen) -> dict:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotspark.functions.expr import in_small_methods
+from shotspark.session import shuffles_end_with_jobs
+from shotspark.sources.sinks import GZIP
 
 _NULL_KEY = "(l_orderkey + 3*l_partkey + l_suppkey) % {m} = 0"
 
@@ -112,25 +114,29 @@ def write_session_csvs(shots_df: DataFrame, out_dir: str, shots_per_file: int =
     paths, whose names hold a blank.  Notes hold commas, doubled quotes and a line
     break.  The number of files follows the number of shots; a task writes several,
     each below a folder of its number, as a shuffle to one partition a file would
-    have blocks by files times tasks.
+    have blocks by files times tasks.  The files are compressed (gzip).
     """
-    files = max(2, -(-shots_df.count() // shots_per_file))
-    parts = max(min(files, int(shots_df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-files // _FILES_A_TASK))
+    spark = shots_df.sparkSession
+    with shuffles_end_with_jobs(spark):
+        files = max(2, -(-shots_df.count() // shots_per_file))
+    parts = max(min(files, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-files // _FILES_A_TASK))
     from shotspark.schema import METRIC_TITLES
 
     def layout(df, cols, bom, null_value, path):
-        units = (df.sparkSession.range(files)
-                   .select(F.col("id").alias("_file"), *[F.lit(None).cast("string").alias(c) for c, _ in cols[:3]],
-                           F.lit("").alias(cols[3][0]),
-                           *[F.lit("[u]").alias(c) for c, _ in cols[4:]], F.lit(0).alias("_data")))
-        data = df.select("_file", *[F.col(src).cast("string").alias(c) for c, src in cols], F.lit(1).alias("_data"))
+        data = df.select("_file", *[F.col(src).alias(c) for c, src in cols], F.lit(1).alias("_data"))
+        units = spark.range(files).select(F.col("id").alias("_file"), *[F.lit(None).cast(data.schema[c].dataType).alias(c) for c, _ in cols],
+                                          F.lit(0).alias("_data"))
         out = units.unionByName(data).repartition(parts, "_file").sortWithinPartitions("_file", "_data")
-        names = [c for c, _ in cols]
+        # Text is made behind the shuffle, of whose bytes it would take twice as many.
+        is_data, text_of = in_small_methods("_data") == 1, dict(zip([c for c, _ in cols], [None] * 3 + [""] + ["[u]"] * len(cols)))
+        names = list(text_of)
+        out = out.select("_file", *[F.when(is_data, F.col(c).cast("string")).otherwise(F.lit(u)).alias(c) for c, u in text_of.items()])
         if bom:
             names = ["\ufeff" + names[0]] + [f" {n} " if n == "Club Type" else n for n in names[1:]]
-        (out.drop("_data").toDF("file", *names)
-            .write.mode("overwrite").partitionBy("file").option("header", True).option("nullValue", null_value)
-            .option("escape", '"').csv(path))
+        with shuffles_end_with_jobs(spark):
+            (out.toDF("file", *names)
+                .write.mode("overwrite").partitionBy("file").option("header", True).option("nullValue", null_value)
+                .option("escape", '"').options(**GZIP).csv(path))
         return f"{path}/file=*"
 
     base = shots_df.withColumn("_file", F.pmod(F.xxhash64("session_id"), F.lit(files)))
