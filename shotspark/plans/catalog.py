@@ -29,6 +29,7 @@ from shotspark.plans.oracle import SESSIONS_CTE, dbl, r6, rnd, with_shots
 from shotspark.schema import (BASE_CARRY, CLUBS, ELLIPSE_POINTS, GAP_EDGES, METRIC_TITLES, METRICS,
                               PERFORMANCE_METRICS, SCRIPT_HEADWIND_PENALTY, SCRIPT_MEAN_COLUMNS,
                               SCRIPT_TAILWIND_SUBTRACT, SCRIPT_WIND_MULTIPLIERS, WIND_FACTORS)
+from shotspark.session import counted
 from shotspark.sources import csv_sessions as csvs
 from shotspark.sources import tables as tb
 from shotspark.sources import testdata
@@ -788,8 +789,9 @@ def q_landing_latest(spark, sf_dir):
     old = od.positions(csvs.session_files(spark, dirs[1]).select(csvs.SOURCE), [F.asc(csvs.SOURCE)]).withColumnRenamed(csvs.SOURCE, "to")
     new = od.positions(again.select(csvs.SOURCE), [F.asc(csvs.SOURCE)])
     spare = F.coalesce("to", csvs.SOURCE).alias("storage_path")
-    moved = again.join(new.join(old, "position", "full"), csvs.SOURCE, "right").select(
-        spare, F.coalesce("content", F.lit(b"")).alias("content"))
+    names = counted(new.join(old, "position", "full").select(csvs.SOURCE, "to"))
+    moved = again.join(names, csvs.SOURCE).select(spare, "content").unionByName(
+        names.where(F.col(csvs.SOURCE).isNull()).select(spare, F.lit(b"").alias("content")))
     landing.land(moved, dt.datetime(2025, 1, 2), batch="second")
     files = landing.latest().withColumnRenamed("storage_path", csvs.SOURCE)
     shots = csvs.shots_of_files(files, ["User Id", "Session Id"])

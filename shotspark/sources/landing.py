@@ -3,8 +3,9 @@
 Rows are (storage_path, landed_at, content), partitioned by batch; content is the
 file's bytes, so that what is read back is what was landed.  A batch that is run again
 replaces itself (dynamic partition overwrite); an older version of a path stays until
-``vacuum``.  Which version is the latest is an aggregate over path and time alone, so
-no content is shuffled for it, and the join back is on the path.
+``vacuum``.  Which versions a later one replaced is found from path and time alone; they
+are counted, and while they are few (``session.FEW_ROWS``) sent to the contents, which
+then are not shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotspark.sources.csv_sessions import SOURCE
+from shotspark.session import counted, send_package, shuffles_end_with_jobs
+from shotspark.sources.csv_sessions import SOURCE, unpacked
 
 _SCHEMA = "storage_path string, landed_at timestamp, content binary, batch string"
 
@@ -30,8 +32,9 @@ class Landing:
         return self.spark.read.schema(_SCHEMA).parquet(self.path).where("storage_path IS NOT NULL")
 
     def _put(self, rows: DataFrame) -> None:
-        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch")
-         .parquet(self.path))
+        with shuffles_end_with_jobs(self.spark):
+            (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+             .partitionBy("batch").parquet(self.path))
 
     def land(self, files: DataFrame, landed_at: dt.datetime, batch: str | None = None) -> None:
         """Keep ``files`` (storage_path or source_file, content) as of ``landed_at``."""
@@ -49,13 +52,16 @@ class Landing:
 
     def latest(self) -> DataFrame:
         """storage_path, landed_at and content of every path's last version."""
-        return (self._rows().join(self._newest(), ["storage_path", "landed_at", "batch"], "left_semi")
-                .select("storage_path", "landed_at", "content"))
+        key = ["storage_path", "landed_at", "batch"]
+        replaced = self._rows().select(*key).distinct().join(self._newest(), key, "left_anti")
+        return self._rows().join(counted(replaced), key, "left_anti").select("storage_path", "landed_at", "content")
 
     def lines(self) -> DataFrame:
         """storage_path, landed_at, number (from 0) and text of the last versions' lines."""
         text = F.regexp_replace(F.decode("content", "UTF-8"), "\\r\\n?", "\n")
-        return self.latest().select("storage_path", "landed_at", F.posexplode(F.split(F.regexp_replace(text, "\n$", ""), "\n"))
+        send_package(self.spark)
+        latest = self.latest()
+        return latest.mapInArrow(unpacked, latest.schema).select("storage_path", "landed_at", F.posexplode(F.split(F.regexp_replace(text, "\n$", ""), "\n"))
                                     .alias("number", "line"))
 
     def vacuum(self) -> None:
