@@ -4,18 +4,22 @@ statistics.
 A group may hold any share of the rows, so no window gathers a group.  Rows are dealt
 by range of (group, order), numbered inside their partitions, and a table of one row
 per partition and group that meet gives each partition its offset.  The dealt rows
-are checkpointed, so that a lost executor cannot deal them anew.
+are written, so that a lost executor cannot deal them anew.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shotspark.session import checkpoint_dir
+from shotspark.session import checkpoint_dir, shuffles_end_with_jobs
+
+_NOT_IN_PARQUET = (T.NullType, T.CalendarIntervalType)
 
 
 def same(pairs: Sequence[tuple[Column, Column]]) -> Column:
@@ -23,15 +27,27 @@ def same(pairs: Sequence[tuple[Column, Column]]) -> Column:
     return reduce(lambda x, y: x & y, [a.eqNullSafe(b) for a, b in pairs], F.lit(True))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the checkpoint folder, a third of a checkpoint's
+    bytes; its rows may lie in other partitions then."""
+    spark, names = df.sparkSession, df.columns
+    folder = checkpoint_dir(spark).rstrip("/")
+    with shuffles_end_with_jobs(spark):
+        if any(isinstance(f.dataType, _NOT_IN_PARQUET) for f in df.schema):
+            return df.checkpoint(eager=True)
+        df = df.toDF(*[f"c{k}" for k in range(len(names))])
+        df.write.option("compression", "zstd").parquet(path := f"{folder}/shotspark-dealt-{uuid.uuid4().hex[:12]}")
+    return spark.read.schema(df.schema).parquet(path).toDF(*names)
+
+
 def running(df: DataFrame, order: Sequence[Column], within: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """``df`` with ``_before``, the sum of ``weight`` (1 without) over the rows of the
     same group that come earlier by ``order``, and ``_total``, the group's sum.
 
     Rows that ``order`` does not tell apart come in any order among themselves."""
-    checkpoint_dir(df.sparkSession)
     by = [*[F.col(f"`{w}`").asc_nulls_first() for w in within], *order]
     dealt = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
-    dealt = dealt.checkpoint(eager=True).withColumn("_part", F.shiftright("_at", 33))
+    dealt = _written(dealt).withColumn("_part", F.shiftright("_at", 33))
     amount = F.lit(1).cast("long") if weight is None else F.col(weight)
     spans = dealt.groupBy("_part", *within).agg(F.min("_at").alias("_first"), F.sum(amount).alias("_sum"))
     group = Window.partitionBy(*within)
@@ -47,7 +63,8 @@ def running(df: DataFrame, order: Sequence[Column], within: Sequence[str] = (),
         dealt = dealt.withColumn("_own", F.coalesce(F.sum(weight).over(chunk), F.lit(0)))
     on = (F.col("_part") == F.col("_p")) & same([(F.col(f"`{w}`"), F.col(f"_w{k}")) for k, w in enumerate(within)])
     start = F.col("_first") if weight is None else F.lit(0)
-    out = dealt.join(spans, on).withColumn("_before", F.col("_base") + F.col("_own") - start)
+    # Without groups a row per partition, which is sent to the rows; they are not shuffled again.
+    out = dealt.join(spans if within else F.broadcast(spans), on).withColumn("_before", F.col("_base") + F.col("_own") - start)
     return out.select(*[F.col(f"`{c}`") for c in df.columns], "_before", "_total")
 
 

@@ -742,7 +742,7 @@ def q_merged_shots_csv(spark, sf_dir):
     """All shots merged into one CSV with its row index, read back."""
     from shotspark.sources import sinks
     path = sinks.write_merged_csv(testdata.shots(spark, sf_dir), _scratch(spark, "merged"),
-                                  [F.asc_nulls_first(c) for c in _MERGED_ORDER])
+                                  [F.asc_nulls_first(c) for c in _MERGED_ORDER], options=sinks.GZIP)
     back = sinks.read_csv_table(spark, path, infer=False)
     return back.select(*[F.col(c).cast("bigint").alias(c) for c in ("row_index", "user_id", "session_id")], "club_type",
                        *[F.col(m).cast("double").alias(m) for m in METRICS])
