@@ -206,8 +206,15 @@ class Tables:
         names = self._files("shots").select("batch").unionAll(self._files("sessions").select("batch")).distinct()
         return tuple(names.agg(F.count(F.lit(1)), F.sum(F.xxhash64("batch").cast("decimal(38,0)"))).first())
 
+    def _rounds(self, buckets: Iterable[int]) -> list[Column]:
+        """Conditions on ``user_bucket`` that part the buckets into at most ``ROUNDS``."""
+        buckets = sorted(buckets)
+        size = max(1, -(-len(buckets) // ROUNDS))
+        return [F.col("user_bucket").isin(buckets[k:k + size]) for k in range(0, len(buckets), size)]
+
     def compact(self) -> None:
-        """Rewrite, in place, the partitions that hold tombstoned rows.
+        """Rewrite, in place, the partitions that hold tombstoned rows, some buckets at a
+        time: beside the table there is disk for one round's shuffles and new files.
 
         Tombstones that were there at the start are retired afterwards if no batch
         came in meanwhile.  A crash leaves each partition old or new; the
@@ -218,9 +225,13 @@ class Tables:
             parts = self._parts(table)
             hit = [d.select(*parts) for d in self._dead(table, self._read(table), "left_semi")]
             touched = hit[0] if len(hit) == 1 else hit[0].unionAll(hit[1])
-            touched = touched.distinct().checkpoint(eager=True)  # a row per partition
-            keep = self._live(table).join(touched, parts, "left_semi")
-            self._replace(table, keep.unionByName(self._fillers(table, touched)))
+            touched = counted(touched.distinct())  # a row per partition
+            # At most as many numbers as there are buckets.
+            rounds = (self._rounds(r[0] for r in touched.select("user_bucket").distinct().collect())
+                      if "user_bucket" in parts else [F.lit(True)])
+            for some in rounds:
+                keep = self._dead(table, self._read(table).where(some).join(touched, parts, "left_semi"), "left_anti")[0]
+                self._replace(table, keep.unionByName(self._fillers(table, touched.where(some))))
         if self._batches() == before:
             for kind, was in marks.items():
                 gone = was.where(F.col(_KEYS[kind]).isNotNull()).select("batch").distinct()
