@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from functools import reduce
 from typing import Iterable, NamedTuple, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -341,23 +342,32 @@ def generate(tables: Tables, users: DataFrame | None = None, computed_at: dt.dat
 
     The first generation is one write.  Later ones rewrite only buckets that get
     new rows: their other users' rows are carried over, and a user without shots
-    keeps the cached rows.  Without any shots nothing is changed and ``NoShotData``
-    is raised.
+    keeps the cached rows.  The rows of those are computed some buckets at a time,
+    so that there are one round's shuffles on disk, and written together.  Without any
+    shots nothing is changed and ``NoShotData`` is raised.
     """
-    shots, at = tables.shots(), computed_at or _now()
-    if users is not None:
-        shots = shots.join(users.select(F.col("user_id").cast("string")).distinct(), "user_id", "left_semi")
+    at = computed_at or _now()
     bucket = bucket_of(F.col("user_id"), tables.buckets)
-    new = to_cache_rows(club_summary(shots, by=("user_id",)), at).withColumn("user_bucket", bucket)
+    if users is not None:
+        users = users.select(F.col("user_id").cast("string")).distinct()
+
+    def computed(some: Column) -> DataFrame:
+        shots = tables._read("shots").where(some)
+        if users is not None:  # before the tombstones: fewer rows meet them
+            shots = shots.join(users, "user_id", "left_semi")
+        shots = tables._dead("shots", shots, "left_anti")[0]
+        return to_cache_rows(club_summary(shots, by=("user_id",)), at).withColumn("user_bucket", bucket)
+
     old = tables._read("club_summaries")
     if old.isEmpty():
-        clubs = tables._replace("club_summaries", new)["rows"]
+        clubs = tables._replace("club_summaries", computed(F.lit(True)))["rows"]
         if not clubs:
             raise NoShotData("no shot data")
         new = tables._read("club_summaries")
     else:
         checkpoint_dir(tables.spark)
-        new = new.checkpoint(eager=True)
+        with shuffles_end_with_jobs(tables.spark):
+            new = reduce(DataFrame.unionAll, [computed(some).checkpoint(eager=True) for some in tables._rounds(range(tables.buckets))])
         # At most as many numbers as there are buckets.
         touched = [r[0] for r in new.select("user_bucket").distinct().collect()]
         if not touched:
